@@ -2,6 +2,10 @@
 
 from tidemark.plans import (  # noqa: F401
     aggregates,
+    audits,
+    generated,
+    joins,
+    messages,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 

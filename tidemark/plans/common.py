@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.hashing import topic_partition
 from tidemark.sources.tables import parquet_tables
 
 EVENT_SCHEMA = (
@@ -23,3 +24,49 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_start(column: str = "window"):
     return F.unix_micros(F.col(f"{column}.start")).alias("window_start_us")
+
+
+def event_log(spark: SparkSession, sf_dir: str, partitions: int = 12) -> DataFrame:
+    """Events as a topic log: one topic per event type, keyed by user, JSON value.
+
+    The offset is the event id, so offsets of one topic have gaps.
+    """
+    rows = events(spark, sf_dir)
+    key = F.col("user_id").cast("string")
+    return rows.select(
+        F.col("event_type").alias("topic"),
+        topic_partition(key, partitions).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").alias("timestamp"),
+        key.alias("key"),
+        F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("value"),
+    )
+
+
+VALUE_SQL = (
+    "to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type, 'value': value})::varchar"
+)
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested log lines: a 23-character time, a blank, and a JSON object."""
+    doc = F.to_json(F.struct(
+        F.struct(
+            F.md5(F.col("event_id").cast("string")).alias("TranId"),
+            F.struct(
+                F.col("user_id").alias("UserId"),
+                F.concat(F.lit("char"), F.col("user_id").cast("string")).alias("CharName"),
+            ).alias("Actor"),
+        ).alias("Header"),
+        F.struct(
+            F.col("event_type").alias("Action"),
+            F.array(F.struct(
+                F.upper("event_type").alias("Domain"), F.col("value").alias("Amount"),
+            )).alias("Infos"),
+        ).alias("Body"),
+    ))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
+    return events(spark, sf_dir).select("event_id", F.concat(stamp, F.lit(" "), doc).alias("line"))
+
+
+STAMP_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"
