@@ -3,7 +3,9 @@
 from tidemark.plans import (  # noqa: F401
     aggregates,
     audits,
+    files,
     generated,
+    ingest,
     joins,
     messages,
 )

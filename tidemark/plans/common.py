@@ -9,7 +9,7 @@ from tidemark.functions.hashing import topic_partition
 from tidemark.sources.tables import parquet_tables
 
 EVENT_SCHEMA = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 )
 
 
