@@ -8,6 +8,7 @@ from tidemark.plans import (  # noqa: F401
     ingest,
     joins,
     messages,
+    streams,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
