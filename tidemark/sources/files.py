@@ -31,8 +31,10 @@ def read_json_lines(
 
 def count_valid(lines: DataFrame) -> DataFrame:
     """One row: ``valid`` and ``invalid`` lines."""
-    bad = F.col(CORRUPT).isNotNull()
-    return lines.agg(F.count(F.when(~bad, 1)).alias("valid"), F.count(F.when(bad, 1)).alias("invalid"))
+    good = F.col(CORRUPT).isNull()
+    # the scan only finds corrupt lines if it has to parse a declared column too
+    row = F.struct(*[c for c in lines.columns if c != CORRUPT])
+    return lines.agg(F.count(F.when(good, row)).alias("valid"), F.count(F.when(~good, 1)).alias("invalid"))
 
 
 def path_value(pattern: str, group: int = 1) -> Column:

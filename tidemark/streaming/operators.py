@@ -33,7 +33,6 @@ def first_per_window(
     """
     carried = [c for c in rows.columns if c not in keys]
     marked = rows.withWatermark(ts, watermark).where(agg.has_key(keys))
-    # the event time inside the struct would clash with the window's, so it is renamed
     first = F.min_by(F.struct(*carried), F.col(offset)).alias("first")
     return marked.groupBy(F.window(ts, size), *keys).agg(first, F.count(F.lit(1)).alias("copies"))
 
