@@ -89,7 +89,9 @@ def test_inclusive_poll(spark):
 def test_poll_batches(spark):
     df = people(spark, 25).withColumn("regdt", F.timestamp_seconds(F.col("id") % 2))
     order = sorted(range(1, 26), key=lambda i: (i % 2, i))
-    assert dict(rows(poll_batches(df, "regdt", "id", 10), "id", "poll")) == {i: n // 10 for n, i in enumerate(order)}
+    for limits in ({}, {"hot_rows": 1, "segment_rows": 4}):
+        got = dict(rows(poll_batches(df, "regdt", "id", 10, **limits), "id", "poll"))
+        assert got == {i: n // 10 for n, i in enumerate(order)}
 
 
 def test_poll_is_pushed_to_the_scan(spark):

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as j
-from tidemark.operators.running import by_position, by_value
+from tidemark.operators.skew import lookup_join
 
 
 def people(spark):
@@ -53,8 +53,9 @@ def test_lookup_join_keeps_every_row_of_a_hot_key(spark):
     big = spark.range(1000).select(F.lit(1).alias("k"), "id")
     small = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     for how, n in (("inner", 1000), ("left", 1000)):
-        assert j.lookup_join(big, small, ["k"], ["id"], how).count() == n
-    assert j.lookup_join(big.withColumn("k", F.lit(3)), small, ["k"], ["id"], "left").where("v is null").count() == 1000
+        assert lookup_join(big, small, ["k"], ["id"], how, hot_rows=50).count() == n
+    other = lookup_join(big.withColumn("k", F.lit(3)), small, ["k"], ["id"], "left", hot_rows=50)
+    assert other.where("v is null").count() == 1000
 
 
 # arrival order of the two streams: emails, people, late emails, new emails, people
@@ -82,7 +83,7 @@ def arrivals(spark):
 @pytest.mark.parametrize("size", [1, 3, 1000])
 def test_left_join_sees_the_table_at_arrival(spark, size):
     p, e = arrivals(spark)
-    got = j.asof_join(p, e, ["id"], ["seq"], ["email"], segments=by_position("seq", size))
+    got = j.asof_join(p, e, ["id"], ["seq"], ["email"], hot_rows=1, segment_rows=size)
     assert rows(got, "id", "name", "email") == JOINED
 
 
@@ -90,7 +91,7 @@ def test_left_join_sees_the_table_at_arrival(spark, size):
 def test_left_join_by_event_time_back_fills(spark, ignore_nulls):
     p, e = arrivals(spark)
     got = j.asof_join(p, e, ["id"], ["at", "seq"], ["email"], ignore_nulls,
-                      segments=lambda log: by_value(log, "at", tie="seq", parts=4, tie_rows=1))
+                      dense=False, hot_rows=1, segment_rows=3)
     want = [(i, n, m or f"{i}-1") for i, n, m in JOINED]
     assert rows(got, "id", "name", "email") == want
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import running as r
+from tidemark.operators import skew
 
 
 @pytest.fixture(scope="module")
@@ -36,34 +37,50 @@ def plain(df, keys, order):
 
 
 @pytest.mark.parametrize("size", [1, 7, 100, 10**6])
+@pytest.mark.parametrize("hot", [0, 500, 10**9])
 @pytest.mark.parametrize("keys", [["key"], []])
-def test_segments_by_position(log, size, keys):
-    got = r.with_running(log, keys, ["seq"], measures(F.col("seq")), r.by_position("seq", size))
+def test_cut_by_position(log, size, hot, keys):
+    got = r.with_running(log, keys, ["seq"], measures(F.col("seq")), hot_rows=hot, segment_rows=size)
     assert rows(got, "seq", "n", "top", "last") == rows(plain(log, keys, ["seq"]))
 
 
-@pytest.mark.parametrize("parts", [2, 16, 256])
-def test_segments_by_value_with_heavy_ties(log, parts):
-    cuts = r.by_value(log, "at", tie="seq", parts=parts, tie_rows=50)
-    got = r.with_running(log, ["key"], ["at", "seq"], measures(F.struct("at", "seq")), cuts)
-    assert rows(got, "seq", "n", "top", "last") == rows(plain(log, ["key"], ["at", "seq"]))
+@pytest.mark.parametrize("size", [50, 700, 10**6])
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_cut_by_value_with_heavy_ties(log, size, keys):
+    got = r.with_running(log, keys, ["at", "seq"], measures(F.struct("at", "seq")), dense=False,
+                         hot_rows=500, segment_rows=size)
+    assert rows(got, "seq", "n", "top", "last") == rows(plain(log, keys, ["at", "seq"]))
 
 
-def test_groups_stay_bounded(log):
-    cuts = r.by_position("seq", 100)
-    assert log.groupBy("key", *cuts).count().agg(F.max("count")).first()[0] <= 100
-    by_value = r.by_value(log, "at", tie="seq", parts=16, tie_rows=50)
-    assert log.groupBy("key", *by_value).count().agg(F.max("count")).first()[0] <= 400
+def test_ranges_are_bounded_even_for_equal_values(log):
+    stored = r.stored_in_order(log, ["at", "seq"], 100)
+    assert stored.count() == 3000
+    assert stored.groupBy(r.SEGMENT).count().agg(F.max("count")).first()[0] <= 300
 
 
-def test_all_values_equal(spark):
-    df = spark.range(40).select(F.col("id").alias("seq"), F.lit(7).alias("at"))
-    cuts = r.by_value(df, "at", tie="seq", tie_rows=8)
-    got = r.with_running(df, [], ["at", "seq"], {"n": r.running_count()}, cuts)
-    assert rows(got, "seq", "n") == [(i, i + 1) for i in range(40)]
+def test_null_keys_are_no_group(spark):
+    df = spark.range(100).select(F.col("id").alias("seq"), F.lit(None).cast("int").alias("key"),
+                                 F.lit(None).cast("int").alias("value"))
+    got = r.with_running(df, ["key"], ["seq"], {"last": r.running_last(F.col("value"), F.col("seq"))},
+                         hot_rows=10, segment_rows=7)
+    assert got.count() == 100 and got.where("last is not null").count() == 0
 
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "seq bigint, at bigint")
-    cuts = r.by_value(df, "at", tie="seq")
-    assert r.with_running(df, [], ["at", "seq"], {"n": r.running_count()}, cuts).count() == 0
+    assert r.with_running(df, [], ["at", "seq"], {"n": r.running_count()}, dense=False, hot_rows=0).count() == 0
+
+
+def test_hot_keys(log, monkeypatch):
+    assert rows(skew.hot_keys(log, ["key"], 500)) == [(0, 2143)]
+    assert skew.hot_keys(log, ["key"], 2200) is None
+    monkeypatch.setattr(skew, "MAX_HOT", 2)
+    assert skew.hot_keys(log, ["key"], 1).count() == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [10, 500, 10**9])
+def test_lookup_join_equals_plain_join(spark, log, how, hot):
+    small = spark.createDataFrame([(0, "zero"), (1, "one"), (99, "x")], "key bigint, text string")
+    got = skew.lookup_join(log, small, ["key"], ["seq"], how, hot_rows=hot)
+    assert rows(got, "seq", "text") == rows(log.join(small, "key", how), "seq", "text")

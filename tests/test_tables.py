@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
 from tidemark.operators import audit, dedup, rekey
-from tidemark.operators.running import by_position
 from tidemark.sources import generate, topic
 from tidemark.sources.tables import chosen_tables, jdbc_options
 
@@ -80,12 +79,12 @@ def test_repartition_keeps_order_per_key(spark, size):
     data = [(k, v) for v in "123" for k in "abcd"]
     log = spark.createDataFrame([(0, i, *d) for i, d in enumerate(data)],
                                 "partition int, offset bigint, key string, value string")
-    moved = rekey.repartition_topic(log, 2, by_position("offset", size))
+    moved = rekey.repartition_topic(log, 2, hot_rows=1, segment_rows=size)
     got = rows(moved, "partition", "offset", "key", "value")
     assert [g for g in got if g[0] == 1] == [(1, i, "d", str(i + 1)) for i in range(3)]
     assert [g[1:] for g in got if g[0] == 0] == [(i, k, v) for i, (k, v) in enumerate(
         d for d in data if d[0] != "d")]
-    places = rekey.key_positions(moved, by_position("offset", size))
+    places = rekey.key_positions(moved, hot_rows=1, segment_rows=size)
     assert all(v == str(p) for v, p in rows(places, "value", "position"))
 
 

@@ -74,9 +74,9 @@ def earliest_by_offset(
     )
 
 
-def changelog_count(rows: DataFrame, keys: Sequence[str], offset: str, segments=None) -> DataFrame:
+def changelog_count(rows: DataFrame, keys: Sequence[str], offset: str, **limits) -> DataFrame:
     """Every update of a per-key count, one row per input row: column ``n``."""
-    return with_running(rows.where(has_key(keys)), keys, [offset], {"n": running_count()}, segments)
+    return with_running(rows.where(has_key(keys)), keys, [offset], {"n": running_count()}, **limits)
 
 
 def throughput(rows: DataFrame, by: Sequence[str], ts: str) -> DataFrame:

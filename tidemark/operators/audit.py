@@ -8,8 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import lookup_join
-from tidemark.operators.running import by_value, running_max, with_running
+from tidemark.operators.running import running_max, with_running
+from tidemark.operators.skew import lookup_join
 
 
 def missing_ids(seen: DataFrame, id_col: str, first: int, last: int) -> DataFrame:
@@ -48,15 +48,14 @@ def reconcile_counts(source: DataFrame, sink: DataFrame, keys: Sequence[str]) ->
     return both.withColumn("status", status)
 
 
-def late_rows(log: DataFrame, ts: str, order: Sequence[str], delay: str) -> DataFrame:
+def late_rows(log: DataFrame, ts: str, order: Sequence[str], delay: str, **limits) -> DataFrame:
     """Messages that arrive more than ``delay`` behind the newest event time so far.
 
-    ``order`` is the arrival order: a time first, then a numeric and further tie-breakers.
+    ``order`` is the arrival order, unique over the log.
     """
-    arrival = F.unix_micros(order[0])
-    timed = log.withColumns({"__at": arrival, "__ts": F.unix_micros(ts)})
-    cuts = by_value(timed, "__at", tie=order[1])
-    seen = with_running(timed, [], ["__at", *order[1:]], {"__newest": running_max(F.col("__ts"))}, cuts)
+    timed = log.withColumn("__ts", F.unix_micros(ts))
+    newest = {"__newest": running_max(F.col("__ts"))}
+    seen = with_running(timed, [], order, newest, dense=False, **limits)
     behind = F.col("__newest") - F.col("__ts")
     limit = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {delay}"))
     return seen.where(behind > limit).select(*log.columns, behind.alias("behind_us"))

@@ -1,8 +1,8 @@
 """Joins of streams with streams and of streams with tables.
 
 Stream rows may be heavily skewed towards one key, so no join here sends all
-rows of a key to one task: lookups are salted, time-bounded joins are cut by
-time, and as-of joins are cut by log position.
+rows of a hot key to one task: lookups are salted, time-bounded joins are cut by
+time, and as-of joins are cut along the log.
 """
 
 from __future__ import annotations
@@ -15,25 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import earliest_by_offset, has_key, latest_by_offset
 from tidemark.operators.running import running_last, with_running
-
-SALTS = 16
-
-
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
-    how: str = "inner", salts: int = SALTS,
-) -> DataFrame:
-    """Join many rows per key with at most one ``lookup`` row per key.
-
-    Rows of a key are spread over ``salts`` tasks by a hash of the ``spread``
-    columns, and the lookup row is copied to each of them.  A lookup that is
-    measured to be small enough is broadcast by the adaptive planner instead.
-    """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    left, right = rows.withColumn("__salt", salt), lookup.withColumn("__salt", copies)
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
-
+from tidemark.operators.skew import lookup_join
 
 def within_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, within: str
@@ -71,7 +53,7 @@ def join_latest(
 
 def asof_in_log(
     log: DataFrame, is_row: Column, on: Sequence[str], order: Sequence[str], values: Sequence[str],
-    ignore_nulls: bool = True, segments: Sequence[Column] | None = None,
+    ignore_nulls: bool = True, **limits,
 ) -> DataFrame:
     """Left as-of join inside one log that holds both sides.
 
@@ -88,27 +70,27 @@ def asof_in_log(
         measures = {"__v": running_last(F.when(is_table, F.struct(*values)), place)}
         found = {v: F.col("__v").getField(v) for v in values}
     kept = [c for c in log.columns if c not in values]
-    seen = with_running(marked, on, order, measures, segments).where("__row")
+    seen = with_running(marked, on, order, measures, **limits).where("__row")
     return seen.select(*kept, *[c.alias(v) for v, c in found.items()])
 
 
 def asof_join(
     rows: DataFrame, changes: DataFrame, on: Sequence[str], order: Sequence[str], values: Sequence[str],
-    ignore_nulls: bool = True, segments=None,
+    ignore_nulls: bool = True, dense: bool = True, **limits,
 ) -> DataFrame:
     """Left join of each row with the table state when the row arrived.
 
     Both sides carry the ``order`` columns of one common order.  With an arrival
     position first, later table messages never fill earlier rows, whatever their
     event time says; with an event time first, event time decides.  A table
-    message counts for a row at the same place.  ``segments`` may be a function of
-    the combined log.
+    message counts for a row at the same place.  ``dense`` says that the first order
+    column is an arrival position.
     """
     side = "__side"
     table = changes.select(*on, *order, *values, F.lit(0).alias(side))
     log = rows.withColumn(side, F.lit(1)).unionByName(table, allowMissingColumns=True)
-    cuts = segments(log) if callable(segments) else segments
-    joined = asof_in_log(log, F.col(side) == 1, on, [*order, side], values, ignore_nulls, cuts)
+    joined = asof_in_log(
+        log, F.col(side) == 1, on, [*order, side], values, ignore_nulls, dense=dense, **limits)
     return joined.select(*rows.columns, *values)
 
 

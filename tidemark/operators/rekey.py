@@ -14,9 +14,7 @@ def rekey(log: DataFrame, key: Column) -> DataFrame:
     return log.withColumn("key", key.cast("string"))
 
 
-def repartition_topic(
-    log: DataFrame, partitions: int, segments: list[Column] | None = None
-) -> DataFrame:
+def repartition_topic(log: DataFrame, partitions: int, **limits) -> DataFrame:
     """Move every message to the partition of its key and number it there.
 
     Messages keep their relative order; new offsets are dense from 0 in each
@@ -26,10 +24,10 @@ def repartition_topic(
         topic_partition(F.col("key"), partitions), F.pmod(F.col("offset"), F.lit(partitions)).cast("int")
     )
     moved = log.withColumn("partition", place)
-    numbered = with_running(moved, ["partition"], ["offset"], {"__n": running_count()}, segments)
+    numbered = with_running(moved, ["partition"], ["offset"], {"__n": running_count()}, **limits)
     return numbered.withColumn("offset", F.col("__n") - 1).drop("__n")
 
 
-def key_positions(log: DataFrame, segments: list[Column] | None = None) -> DataFrame:
+def key_positions(log: DataFrame, **limits) -> DataFrame:
     """The place of each message in the ordered list of its partition and key: ``position`` from 1."""
-    return with_running(log, ["partition", "key"], ["offset"], {"position": running_count()}, segments)
+    return with_running(log, ["partition", "key"], ["offset"], {"position": running_count()}, **limits)

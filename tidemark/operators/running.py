@@ -1,21 +1,26 @@
 """Running values over an ordered log.
 
 A plain window over one key sorts all rows of that key in one task, which fails
-when one key holds a large share of the log.  Here the order column is cut into
-segments; every (key, segment) group is bounded, and what a segment must know
-about the ones before it comes from a small table of per-segment totals that is
-aggregated map-side.  The result is the same as that of the plain window.
+when the key holds a large share of the log.  Keys are therefore counted first.
+The order of a hot key is cut into segments of bounded size, and what a segment
+must know about the ones before it comes from a small table of per-segment totals
+that is aggregated map-side.  The result is the same as that of the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import HOT_ROWS, hot_keys
+from tidemark.session import fresh_dir
+
 SEGMENT_ROWS = 1 << 20
+SEGMENT = "__segment"
 
 
 @dataclass(frozen=True)
@@ -56,32 +61,17 @@ def running_last(value: Column, order: Column) -> Running:
     )
 
 
-def by_position(order: str, rows: int = SEGMENT_ROWS) -> list[Column]:
-    """Segments for a unique, dense position such as an offset: at most ``rows`` rows each."""
-    return [F.floor(F.col(order) / F.lit(rows))]
-
-
-def by_value(
-    df: DataFrame, value: str, tie: str, parts: int = 256, tie_rows: int = SEGMENT_ROWS
-) -> list[Column]:
-    """Segments for a value with uneven density and ties, such as an event time in micros.
+def stored_in_order(rows: DataFrame, order: Sequence[str], segment_rows: int) -> DataFrame:
+    """``rows`` range-partitioned by ``order``, with the number of their range as ``__segment``.
 
-    Cut points are approximate quantiles, at most ``parts`` numbers.  A value that
-    fills whole quantiles by itself gets a segment of its own, cut by the unique
-    position ``tie``, so that equal values do not pile up in one group.
+    They are written to the shared folder, since ranges are sampled and a second
+    evaluation could cut them elsewhere.
     """
-    steps = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(value, steps, 100 * parts)).first()[0] or []
-    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    edges = sorted(set(cuts) | {h + 1 for h in heavy})
-    col = F.col(value)
-    if not edges:
-        return [F.lit(0)]
-    at_least = F.filter(F.lit(edges), lambda e: e <= col)
-    segment = F.when(col.isNull(), F.lit(-1)).otherwise(F.size(at_least))
-    if not heavy:
-        return [segment]
-    return [segment, F.when(col.isin(heavy), F.floor(F.col(tie) / F.lit(tie_rows))).otherwise(0)]
+    parts = rows.count() // segment_rows + 1
+    path = fresh_dir(rows.sparkSession, "ordered")
+    ranged = rows.repartitionByRange(parts, *order)
+    ranged.withColumn(SEGMENT, F.spark_partition_id().cast("bigint")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def with_running(
@@ -89,25 +79,42 @@ def with_running(
     keys: Sequence[str],
     order: Sequence[str],
     measures: Mapping[str, Running],
-    segments: Sequence[Column] | None = None,
+    dense: bool = True,
+    hot_rows: int = HOT_ROWS,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """``rows`` plus one column per measure, running per key up to and including each row.
 
-    ``order`` must be unique within a key; ``segments`` must not decrease along it.
-    Rows with a null key only see rows of their own segment.
+    ``order`` must be unique within a key.  ``dense`` says that its first column is a
+    position such as an offset, unique over all rows, so that equal steps of it hold a
+    bounded number of rows; otherwise hot keys are cut at sampled ranges of the order.
+    Rows with a null key are no group: each sees some rows with a null key before it.
     """
-    segments = by_position(order[0]) if segments is None else segments
-    seg = [f"__seg{i}" for i in range(len(segments))]
-    cut = rows.withColumns(dict(zip(seg, segments)))
-    group = [*keys, *seg]
-
-    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(*seg).rowsBetween(Window.unboundedPreceding, -1)
-
-    totals = cut.groupBy(*group).agg(*[m.total.alias(f"__t_{n}") for n, m in measures.items()])
+    unbounded = Window.unboundedPreceding
+    hot = hot_keys(rows, keys, hot_rows)
+    if hot is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(unbounded, 0)
+        return rows.select("*", *[m.inside(w).alias(n) for n, m in measures.items()])
+
+    if dense:
+        cut = rows.withColumn(SEGMENT, F.floor(F.col(order[0]) / F.lit(segment_rows)))
+    else:
+        cut = stored_in_order(rows, order, segment_rows)
+    is_hot = "__hot"
+    if keys:
+        cut = cut.join(F.broadcast(hot.select(*keys, F.lit(True).alias(is_hot))), list(keys), "left")
+        no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        cut = cut.withColumn(SEGMENT, F.when(F.col(is_hot) | no_key, F.col(SEGMENT)).otherwise(F.lit(-1)))
+    else:
+        cut = cut.withColumn(is_hot, F.lit(True))
+
+    group = [*keys, SEGMENT]
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(unbounded, 0)
+    earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(unbounded, -1)
+    totals = cut.where(is_hot).groupBy(*group).agg(
+        *[m.total.alias(f"__t_{n}") for n, m in measures.items()])
     carried = totals.select(
-        *group, *[m.carry(F.col(f"__t_{n}"), earlier).alias(f"__c_{n}") for n, m in measures.items()]
-    )
+        *group, *[m.carry(F.col(f"__t_{n}"), earlier).alias(f"__c_{n}") for n, m in measures.items()])
     local = cut.withColumns({f"__i_{n}": m.inside(inside) for n, m in measures.items()})
     return local.join(carried, group, "left").select(
         *rows.columns,

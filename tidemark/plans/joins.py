@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as j
-from tidemark.operators.running import by_value
 from tidemark.plans.common import events
 from tidemark.plans.registry import query
 
@@ -88,10 +87,7 @@ def join_asof_event_time(spark, sf_dir):
         "event_id", "user_id", F.col("value").alias("paid"), F.unix_micros("ts").alias("at"))
     clicks = _of_type(spark, sf_dir, "click").select(
         "event_id", "user_id", "value", F.unix_micros(back).alias("at"))
-    joined = j.asof_join(
-        purchases, clicks, ["user_id"], ["at", "event_id"], ["value"],
-        segments=lambda log: by_value(log, "at", tie="event_id"),
-    )
+    joined = j.asof_join(purchases, clicks, ["user_id"], ["at", "event_id"], ["value"], dense=False)
     return joined.select("event_id", "user_id", "paid", "value")
 
 

@@ -228,7 +228,9 @@ def json_concat(spark, sf_dir):
     head = F.to_json(F.struct(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("RegDate"), F.lit("raw").alias("kind")))
     tail = F.to_json(F.struct("event_id", F.col("event_type").alias("kind")))
-    merged = rows.select("event_id", jsonfn.json_concat(jsonfn.json_concat(head, F.col("props")), tail).alias("m"))
+    parts = rows.select("event_id", "props", head.alias("head"), tail.alias("tail"))
+    first = parts.select("event_id", "tail", jsonfn.json_concat(F.col("head"), F.col("props")).alias("m"))
+    merged = first.select("event_id", jsonfn.json_concat(F.col("m"), F.col("tail")).alias("m"))
     return merged.select(
         "event_id",
         F.from_json("m", "RegDate string, event_id bigint, k bigint, kind string").alias("d"),

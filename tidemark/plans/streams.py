@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins
 from tidemark.operators.aggregates import latest_by_offset
+from tidemark.operators.skew import lookup_join
 from tidemark.plans.audits import DEDUP_SQL
 from tidemark.plans.common import EVENT_SCHEMA, VALUE_SQL, event_log, events, table, window_start
 from tidemark.plans.joins import ASOF_SQL, LATEST_SQL
@@ -70,7 +70,7 @@ def stream_join_latest(spark, sf_dir):
         events(spark, sf_dir).where("event_type = 'click'"), ["user_id"], ["value"], "event_id")
     purchases = event_stream(spark, sf_dir).where("event_type = 'purchase'").select(
         "event_id", "user_id", F.col("value").alias("paid"))
-    joined = joins.lookup_join(purchases, clicks, ["user_id"], ["event_id"])
+    joined = lookup_join(purchases, clicks, ["user_id"], ["event_id"])
     return append_to(joined.select("event_id", "user_id", "paid", "value"), out, checkpoint)
 
 

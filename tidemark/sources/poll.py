@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import by_value, running_count, with_running
+from tidemark.operators.running import running_count, with_running
 
 
 @dataclass(frozen=True)
@@ -93,13 +93,11 @@ def unseen(polled: DataFrame, delivered: DataFrame, identity: list[str]) -> Data
     return polled.join(delivered.select(*identity).distinct(), identity, "left_anti")
 
 
-def poll_batches(table: DataFrame, ts_col: str, id_col: str, batch: int) -> DataFrame:
+def poll_batches(table: DataFrame, ts_col: str, id_col: str, batch: int, **limits) -> DataFrame:
     """The whole table with the number of the poll that delivers each row, from 0.
 
     Polls run in (time, id) order and deliver ``batch`` rows each.
     """
-    timed = table.withColumn("__at", F.unix_micros(ts_col))
-    cuts = by_value(timed, "__at", tie=id_col)
-    ranked = with_running(timed, [], ["__at", id_col], {"__n": running_count()}, cuts)
+    ranked = with_running(table, [], [ts_col, id_col], {"__n": running_count()}, dense=False, **limits)
     number = F.call_function("div", F.col("__n") - 1, F.lit(batch))
     return ranked.select(*table.columns, number.cast("bigint").alias("poll"))
