@@ -82,8 +82,9 @@ def test_a_delay_waits_for_tied_times(spark):
 
 def test_inclusive_poll(spark):
     first = poll(tied(spark, 1), Mark(), ts_col="regdt")
-    again = poll(tied(spark, 2), next_mark(first, Mark(), ts_col="regdt"), ts_col="regdt", inclusive=True)
-    assert again.count() == 2 and rows(unseen(again, first, ["id"]), "id") == [(2,)]
+    mark = next_mark(first, Mark(), ts_col="regdt")
+    again = poll(tied(spark, 2), mark, ts_col="regdt", inclusive=True)
+    assert again.count() == 2 and rows(unseen(again, first, mark, "regdt", ["id"]), "id") == [(2,)]
 
 
 def test_poll_batches(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,47 +14,53 @@ MASK32 = 0xFFFFFFFF
 MASK31 = 0x7FFFFFFF
 
 
-def _lit(n: int) -> Column:
-    return F.lit(n).cast("bigint")
+def _hash_udf():
+    # a local function travels to the workers by value, so they need not have this package
+    def hash_batch(keys: pa.Array) -> pa.Array:
+        """MurmurHash2 of every key of an Arrow batch, all keys at once, four bytes per step."""
+        data = keys.cast(pa.binary())
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset:][: len(data) + 1].astype(np.int64)
+        body = data.buffers()[2]
+        raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        raw = np.append(raw, np.zeros(4, np.uint8)).astype(np.uint64)
+        start, size = ends[:-1], np.diff(ends)
+        multiplier, mask = np.uint64(MURMUR_MULTIPLIER), np.uint64(MASK32)
 
+        def times(x):
+            return x * multiplier & mask
 
-def _times(h: Column) -> Column:
-    # both factors are below 2^32 and 2^31, so the product fits a signed bigint
-    return (h * _lit(MURMUR_MULTIPLIER)).bitwiseAND(_lit(MASK32))
+        def fold(x, bits):
+            return x ^ x >> np.uint64(bits)
 
+        def word(at, count):
+            return sum(raw[at + i] << np.uint64(8 * i) for i in range(count))
 
-def _fold(h: Column, bits: int) -> Column:
-    return h.bitwiseXOR(F.shiftright(h, bits))
+        h = np.uint64(MURMUR_SEED) ^ size.astype(np.uint64)
+        words = size // 4
+        for w in range(int(words.max(initial=0))):
+            rows = np.flatnonzero(words > w)
+            h[rows] = times(h[rows]) ^ times(fold(times(word(start[rows] + 4 * w, 4)), 24))
+        for left in (1, 2, 3):
+            rows = np.flatnonzero(size % 4 == left)
+            h[rows] = times(h[rows] ^ word(start[rows] + 4 * words[rows], left))
+        h = fold(times(fold(h, 13)), 15)
+        return pa.array(h.astype(np.int64), pa.int64(), mask=keys.is_null().to_numpy(zero_copy_only=False))
 
-
-def _word(hexed: Column, start: Column) -> Column:
-    """Four bytes as a little-endian number; ``start`` is the 1-based place in the hex text."""
-    pairs = [F.substring(hexed, start + shift, F.lit(2)) for shift in (6, 4, 2, 0)]
-    return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
+    return F.arrow_udf(hash_batch, "bigint")
 
 
 def murmur2(key: Column) -> Column:
-    """Unsigned MurmurHash2 of the key's UTF-8 bytes, as a bigint."""
-    hexed = F.hex(F.encode(key, "UTF-8"))
-    size = F.floor(F.length(hexed) / 2)
-    words = F.floor(size / 4).cast("int")
-    starts = F.when(words > 0, F.sequence(F.lit(0), words - 1)).otherwise(F.array().cast("array<int>"))
-
-    def mix(h: Column, i: Column) -> Column:
-        k = _times(_fold(_times(_word(hexed, i * 8 + 1)), 24))
-        return _times(h).bitwiseXOR(k)
+    """Unsigned MurmurHash2 of the key's UTF-8 bytes, as a bigint; null for a null key.
 
-    body = F.aggregate(starts, _lit(MURMUR_SEED).bitwiseXOR(size.cast("bigint")), mix)
-    tail = F.substring(hexed, words * 8 + 1, F.lit(6))
-    # missing bytes count as zero, which leaves the exclusive-or unchanged
-    rest = _word(F.rpad(tail, 8, "0"), F.lit(1))
-    h = F.when(F.length(tail) > 0, _times(body.bitwiseXOR(rest))).otherwise(body)
-    return _fold(_times(_fold(h, 13)), 15)
+    Spark has no such function.  Whole Arrow batches are hashed at once, which is
+    several times faster than the same arithmetic over SQL byte functions.
+    """
+    return _hash_udf()(key)
 
 
 def topic_partition(key: Column, partitions: int) -> Column:
     """Partition of a keyed message; null for a null key."""
-    return (murmur2(key).bitwiseAND(_lit(MASK31)) % partitions).cast("int")
+    return (murmur2(key).bitwiseAND(F.lit(MASK31)) % partitions).cast("int")
 
 
 def draw(salt: str, *identity: Column) -> Column:
@@ -63,4 +71,4 @@ def draw(salt: str, *identity: Column) -> Column:
 
 def chance(salt: str, rate: float, *identity: Column) -> Column:
     """True for about ``rate`` of the rows, always the same ones."""
-    return draw(salt, *identity) < _lit(int(rate * 2**32))
+    return draw(salt, *identity) < F.lit(int(rate * 2**32)).cast("bigint")

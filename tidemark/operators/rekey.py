@@ -20,10 +20,8 @@ def repartition_topic(log: DataFrame, partitions: int, **limits) -> DataFrame:
     Messages keep their relative order; new offsets are dense from 0 in each
     partition.  Messages without a key are dealt out by their old offset.
     """
-    place = F.coalesce(
-        topic_partition(F.col("key"), partitions), F.pmod(F.col("offset"), F.lit(partitions)).cast("int")
-    )
-    moved = log.withColumn("partition", place)
+    dealt = F.pmod(F.col("offset"), F.lit(partitions)).cast("int")
+    moved = log.withColumn("partition", F.coalesce(topic_partition(F.col("key"), partitions), dealt))
     numbered = with_running(moved, ["partition"], ["offset"], {"__n": running_count()}, **limits)
     return numbered.withColumn("offset", F.col("__n") - 1).drop("__n")
 

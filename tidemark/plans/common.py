@@ -31,9 +31,8 @@ def event_log(spark: SparkSession, sf_dir: str, partitions: int = 12) -> DataFra
 
     The offset is the event id, so offsets of one topic have gaps.
     """
-    rows = events(spark, sf_dir)
     key = F.col("user_id").cast("string")
-    return rows.select(
+    return events(spark, sf_dir).select(
         F.col("event_type").alias("topic"),
         topic_partition(key, partitions).alias("partition"),
         F.col("event_id").alias("offset"),
@@ -66,7 +65,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("Body"),
     ))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
-    return events(spark, sf_dir).select("event_id", F.concat(stamp, F.lit(" "), doc).alias("line"))
+    return events(spark, sf_dir).select("event_id", "props", F.concat(stamp, F.lit(" "), doc).alias("line"))
 
 
 STAMP_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"

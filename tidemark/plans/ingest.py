@@ -67,7 +67,7 @@ def _two_polls(spark, sf_dir, delay_us=0, inclusive=False):
     mark = next_mark(first, Mark(), ts_col="o_orderdate")
     second = poll(rows, mark, ts_col="o_orderdate", now_us=LATER_US, delay_us=delay_us, inclusive=inclusive)
     if inclusive:
-        second = unseen(second, first, ["o_orderkey"])
+        second = unseen(second, first, mark, "o_orderdate", ["o_orderkey"])
     return first.withColumn("poll", F.lit(1)).unionByName(second.withColumn("poll", F.lit(2))).select(
         "poll", "o_orderkey")
 

@@ -186,17 +186,13 @@ def payload_fields(spark, sf_dir):
            upper(event_type) as domain from events
 """)
 def json_extract(spark, sf_dir):
-    lines = log_lines(spark, sf_dir)
     body = jsonfn.split_log_line(F.col("line"))[1]
-    from_line = lines.select(
+    return log_lines(spark, sf_dir).select(
         "event_id",
+        jsonfn.json_field(F.col("props"), "$.k").cast("bigint").alias("k"),
         jsonfn.json_field(body, "$.Header.Actor.UserId").alias("actor_user"),
         jsonfn.json_field(jsonfn.json_field(body, "$.Body.Infos"), "$[0].Domain").alias("domain"),
     )
-    props = events(spark, sf_dir).select(
-        "event_id", jsonfn.json_field(F.col("props"), "$.k").cast("bigint").alias("k")
-    )
-    return from_line.join(props, "event_id")
 
 
 @query("json_flatten", f"""

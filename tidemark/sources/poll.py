@@ -88,9 +88,13 @@ def next_mark(polled: DataFrame, mark: Mark, id_col: str | None = None, ts_col:
     return mark if last is None else Mark(id=last.id, ts_us=last.ts)
 
 
-def unseen(polled: DataFrame, delivered: DataFrame, identity: list[str]) -> DataFrame:
-    """Rows of an inclusive poll that no earlier poll delivered."""
-    return polled.join(delivered.select(*identity).distinct(), identity, "left_anti")
+def unseen(polled: DataFrame, delivered: DataFrame, mark: Mark, ts_col: str, identity: list[str]) -> DataFrame:
+    """Rows of an inclusive poll that no earlier poll delivered.
+
+    Only rows at the mark can be repeats, so only those are compared.
+    """
+    tied = delivered.where(F.col(ts_col) >= _instant(mark.ts_us))
+    return polled.join(tied.select(*identity).distinct(), identity, "left_anti")
 
 
 def poll_batches(table: DataFrame, ts_col: str, id_col: str, batch: int, **limits) -> DataFrame:
