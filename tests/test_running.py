@@ -71,9 +71,16 @@ def test_empty_input(spark):
     assert r.with_running(df, [], ["at", "seq"], {"n": r.running_count()}, dense=False, hot_rows=0).count() == 0
 
 
+def test_hot_keys_are_found_on_a_sample(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    (key, n), = rows(skew.hot_keys(df, ["key"], 40_000))
+    assert key == 7 and 50_000 < n < 85_000
+    assert 150_000 < skew.row_estimate(df, 40_000) < 250_000
+
+
 def test_hot_keys(log, monkeypatch):
-    assert rows(skew.hot_keys(log, ["key"], 500)) == [(0, 2143)]
-    assert skew.hot_keys(log, ["key"], 2200) is None
+    assert rows(skew.hot_keys(log, ["key"], 400)) == [(0, 2143)]
+    assert skew.hot_keys(log, ["key"], 10**6) is None
     monkeypatch.setattr(skew, "MAX_HOT", 2)
     assert skew.hot_keys(log, ["key"], 1).count() == 2
 

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, hot_keys
+from tidemark.operators.skew import HOT_ROWS, hot_keys, row_estimate
 from tidemark.session import fresh_dir
 
 SEGMENT_ROWS = 1 << 20
@@ -67,7 +67,7 @@ def stored_in_order(rows: DataFrame, order: Sequence[str], segment_rows: int) ->
     They are written to the shared folder, since ranges are sampled and a second
     evaluation could cut them elsewhere.
     """
-    parts = rows.count() // segment_rows + 1
+    parts = row_estimate(rows, segment_rows) // segment_rows + 1
     path = fresh_dir(rows.sparkSession, "ordered")
     ranged = rows.repartitionByRange(parts, *order)
     ranged.withColumn(SEGMENT, F.spark_partition_id().cast("bigint")).write.parquet(path)

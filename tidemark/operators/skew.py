@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,9 @@ HOT_ROWS = 1 << 22
 # holds less than this fraction of all rows.
 MAX_HOT = 10_000
 
+# Keys are counted on a sample in which a key of ``hot_rows`` rows is expected this often.
+SAMPLE_HITS = 400
+
 COUNT = "__n"
 
 
@@ -24,20 +28,34 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The hot keys of ``rows`` with their row count ``__n``, or None if there is none.
+    """The keys of ``rows`` that hold over ``hot_rows`` rows, with their estimated count ``__n``.
 
-    Counting is one map-side combined pass over the key columns.  It is skipped if
-    all of ``rows`` is estimated at less than a byte per ``hot_rows``.  The result has
-    at most ``MAX_HOT`` rows and may be broadcast.
+    None if there is no such key.  Rows are sampled and counted per key, so hardly
+    anything is shuffled; a key is taken as hot from half the expected hits on, which
+    makes it all but impossible to miss one.  The answer only decides how rows are
+    spread, never which rows there are.  No job runs if all of ``rows`` is estimated
+    at less than a byte per ``hot_rows``.  The result has at most ``MAX_HOT`` rows and
+    may be broadcast.
     """
     if estimated_bytes(rows) < hot_rows:
         return None
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > hot_rows)
+    fraction = min(1.0, SAMPLE_HITS / max(hot_rows, 1))
+    drawn = rows.select(*keys) if fraction == 1.0 else rows.select(*keys).sample(fraction, seed=17)
+    hits = hot_rows if fraction == 1.0 else SAMPLE_HITS // 2
+    counts = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > hits)
     found = counts.orderBy(F.desc(COUNT)).limit(MAX_HOT).collect()
     if not found:
         return None
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(COUNT, T.LongType())])
-    return rows.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+    return rows.sparkSession.createDataFrame(
+        [(*r[:-1], math.ceil(r[-1] / fraction)) for r in found], schema)
+
+
+def row_estimate(rows: DataFrame, unit: int) -> int:
+    """About how many rows there are, good enough to cut them into parts of ``unit`` rows."""
+    fraction = min(1.0, SAMPLE_HITS / max(unit, 1))
+    none = rows.select(F.lit(1).alias("one"))
+    return math.ceil((none if fraction == 1.0 else none.sample(fraction, seed=17)).count() / fraction)
 
 
 def lookup_join(

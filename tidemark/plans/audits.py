@@ -8,6 +8,7 @@ from tidemark.operators import audit, dedup, rekey
 from tidemark.plans.common import event_log, events, table
 from tidemark.plans.generated import SENDS_SQL, deliveries
 from tidemark.plans.registry import query
+from tidemark.session import fresh_dir
 
 
 @query("missing_ids", """
@@ -178,5 +179,6 @@ def repartition_keys(spark, sf_dir):
     log = events(spark, sf_dir).select(
         F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
         F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"))
-    moved = rekey.repartition_topic(log, 4)
-    return rekey.key_positions(moved)
+    path = fresh_dir(spark, "topic")
+    rekey.repartition_topic(log, 4).write.parquet(path)
+    return rekey.key_positions(spark.read.parquet(path))
