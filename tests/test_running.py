@@ -53,7 +53,7 @@ def test_cut_by_value_with_heavy_ties(log, size, keys):
 
 
 def test_ranges_are_bounded_even_for_equal_values(log):
-    stored = r.stored_in_order(log, ["at", "seq"], 100)
+    stored = r.stored_in_order(log, ["at", "seq"], 30)
     assert stored.count() == 3000
     assert stored.groupBy(r.SEGMENT).count().agg(F.max("count")).first()[0] <= 300
 

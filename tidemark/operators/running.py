@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import HOT_ROWS, hot_keys, row_estimate
+from tidemark.operators.skew import COUNT, HOT_ROWS, hot_keys, row_estimate
 from tidemark.session import fresh_dir
 
 SEGMENT_ROWS = 1 << 20
@@ -61,13 +61,12 @@ def running_last(value: Column, order: Column) -> Running:
     )
 
 
-def stored_in_order(rows: DataFrame, order: Sequence[str], segment_rows: int) -> DataFrame:
-    """``rows`` range-partitioned by ``order``, with the number of their range as ``__segment``.
+def stored_in_order(rows: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
+    """``rows`` in ``parts`` ranges of ``order``, with the number of their range as ``__segment``.
 
     They are written to the shared folder, since ranges are sampled and a second
     evaluation could cut them elsewhere.
     """
-    parts = row_estimate(rows, segment_rows) // segment_rows + 1
     path = fresh_dir(rows.sparkSession, "ordered")
     ranged = rows.repartitionByRange(parts, *order)
     ranged.withColumn(SEGMENT, F.spark_partition_id().cast("bigint")).write.parquet(path)
@@ -99,7 +98,8 @@ def with_running(
     if dense:
         cut = rows.withColumn(SEGMENT, F.floor(F.col(order[0]) / F.lit(segment_rows)))
     else:
-        cut = stored_in_order(rows, order, segment_rows)
+        total = row_estimate(rows, segment_rows) if keys else hot.first()[COUNT]
+        cut = stored_in_order(rows, order, total // segment_rows + 1)
     is_hot = "__hot"
     if keys:
         cut = cut.join(F.broadcast(hot.select(*keys, F.lit(True).alias(is_hot))), list(keys), "left")
