@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsonfn, textfn, timefn
-from tidemark.plans.common import STAMP_SQL, VALUE_SQL, event_log, events, log_lines, table
+from tidemark.operators.aggregates import tumbling_count
+from tidemark.plans.common import STAMP_SQL, VALUE_SQL, event_log, events, log_lines, table, window_start
 from tidemark.plans.registry import query
 from tidemark.sinks import topic as sink
 from tidemark.sources import tables as tab
@@ -286,3 +287,28 @@ def nan_filter(spark, sf_dir):
     value = F.when(F.col("event_type") == "signup", F.lit(float("nan"))).otherwise(F.col("value"))
     topic = events(spark, sf_dir).select("event_id", value.alias("value"))
     return topic.where(~F.isnan("value"))
+
+
+@query("time_label", """
+    select event_id, strftime(ts - interval 1 minute, '%d%H%M') as previous_minute,
+           strftime(ts + interval 1 day, '%Y%m%d') as next_day from events
+""")
+def time_label(spark, sf_dir):
+    """The name suffix of the table that was closed a minute before each event, and of the next day's."""
+    ts = F.col("ts")
+    return events(spark, sf_dir).select(
+        "event_id", timefn.shifted_label(ts, -1, "ddHHmm").alias("previous_minute"),
+        timefn.shifted_label(ts, 24 * 60, "yyyyMMdd").alias("next_day"))
+
+
+@query("promoted_count", """
+    select epoch_us(date_trunc('hour', ts)) as window_start_us, event_type, count(*) as n
+    from events group by all
+""")
+def promoted_count(spark, sf_dir):
+    """A number in the message, epoch milliseconds, becomes the event time of the stream."""
+    message = F.to_json(F.struct("event_type", timefn.epoch_ms(F.col("ts")).alias("regts")))
+    log = events(spark, sf_dir).select(message.alias("value"))
+    rows = src.decode(log, "event_type string, regts bigint")
+    timed = rows.withColumn("ts", timefn.from_epoch_ms(F.col("regts")))
+    return tumbling_count(timed, ["event_type"], "ts", "1 hour").select(window_start(), "event_type", "n")

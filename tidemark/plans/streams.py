@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import latest_by_offset
+from tidemark.operators.audit import reconcile_counts
 from tidemark.operators.skew import lookup_join
 from tidemark.plans.audits import DEDUP_SQL
 from tidemark.plans.common import EVENT_SCHEMA, VALUE_SQL, event_log, events, table, window_start
@@ -149,3 +150,22 @@ def poll_ingest(spark, sf_dir):
     poller = ingest.TablePoller(fresh_dir(spark, "polls"), id_col="o_orderkey")
     delivered = poller.run([lambda top=top: orders.where(F.col("o_orderkey") <= top) for top in sizes])
     return delivered.select("o_orderkey", F.col("poll").cast("int").alias("poll"))
+
+
+@query("reconcile_sink", """
+    select event_type as topic, strftime(ts + interval 9 hour, '%Y%m%d') as day,
+           count(*) as source_n, count(*) as sink_n, 'ok' as status from events group by 1, 2
+""")
+def reconcile_sink(spark, sf_dir):
+    """Source rows are written to a topic, streamed to time-partitioned objects, and counted on both ends."""
+    root = fresh_dir(spark, "reconcile")
+    source = event_log(spark, sf_dir, partitions=4)
+    write_topic(source, path=f"{root}/topic")
+    stream = read_topic(spark, KINDS, path=f"{root}/topic", stream=True)
+    ingest.stream_time_partitioned(
+        stream, f"{root}/objects", f"{root}/checkpoint", "timestamp", "offset", unit="day")
+    lines = read_json_lines(spark, f"{root}/objects", TOPIC_SCHEMA, partitions=time_partition_schema("day"))
+    local = F.from_utc_timestamp("timestamp", "Asia/Seoul")
+    sent = source.select("topic", F.date_format(local, "yyyyMMdd").alias("day"))
+    stored = lines.select("topic", F.concat("year", "month", "day").alias("day"))
+    return reconcile_counts(sent, stored, ["topic", "day"])
