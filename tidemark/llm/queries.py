@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
@@ -23,6 +24,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def vocabulary_path() -> str:
+    """Where the tokenizer file is; any other path can be given to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_bpe_encoding")
+def op2_bpe_encoding(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs):
+    """Texts encoded, and decoded again from the ids."""
+    path = vocabulary_path()
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query("op7_quality_rules", r"""
     with base as (
       select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
