@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
+from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
 from tidemark.llm.url_filter import filter_urls
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -45,6 +47,38 @@ def bpe_digests(docs):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+_WORDS = r"regexp_extract_all(translate(text, " + _AZ + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op5_decontamination", rf"""
+    with d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+    b as (select item_id, {_WORDS} as w from benchmark where text is not null),
+    bw as (
+      select distinct item_id, least(len(w), 10) as size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+      from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+    dw as (
+      select doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') as g
+      from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i
+            from d, (select distinct size from bw) where len(w) >= size)),
+    hit as (select doc_id, i, dw.size, item_id from dw join bw on dw.g = bw.g and dw.size = bw.size),
+    words as (
+      select doc_id, count(distinct p) as n_hit
+      from (select doc_id, unnest(generate_series(i, i + size - 1)) as p from hit) group by 1),
+    named as (
+      select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+      from (select distinct doc_id, item_id from hit) group by 1)
+    select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+      sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join words on d.doc_id = words.doc_id left join named on d.doc_id = named.doc_id
+""")
+def op5_decontamination(spark, sf_dir):
+    out = decontaminate(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op7_quality_rules", r"""
     with base as (
       select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -100,7 +134,6 @@ def _fit_sql(host: str, path: str) -> str:
 
 
 _BLOCKED = ", ".join(f"'{h}{p}'" for h, p, v in URL_RULES if v == "block")
-_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _HOST = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), " + _AZ + ")"
 _PATH = r"regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _KEY = ("case when " + _HOST + " <> '' then " + _HOST

@@ -137,6 +137,14 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def grams_at(codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``grams(codes, n)[at]``, computed there only."""
+    out = codes[at]
+    for k in range(1, n):
+        out = out * U64(_BASE) + codes[at + k]
+    return mix(out)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` values in a row."""
     out, have = values, 1
