@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.html_extract import extract_text
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
 from tidemark.llm.url_filter import filter_urls
@@ -47,6 +48,12 @@ def bpe_digests(docs):
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf_dir):
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, " + _AZ + r"), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
