@@ -8,6 +8,7 @@ from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.html_extract import extract_text
+from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
 from tidemark.llm.url_filter import filter_urls
@@ -127,6 +128,33 @@ def op7_quality_rules(spark, sf_dir):
         failed.alias("base_failed"), "kept")
 
 
+@query("op8_jaccard_join", r"""
+    with recursive d as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), """ + _AZ + r"""), '[^\x20\x09-\x0D]+') as w from documents),
+    s as (
+      select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+      from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from d where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by 1),
+    sets as (select doc_id, md5(string_agg(g, chr(10) order by g)) as k from s group by 1),
+    class as (select k, min(doc_id) as rep from sets group by 1),
+    rs as (select s.doc_id, g from s join class on s.doc_id = rep),
+    pairs as (
+      select a.doc_id as a, b.doc_id as b, count(*) as c from rs a join rs b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    links as (
+      select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)
+      union select rep, doc_id from sets join class on sets.k = class.k where doc_id <> rep),
+    both_ways as (select a, b from links union select b, a from links),
+    reach as (
+      select distinct a as id, a as r from both_ways
+      union select reach.id, both_ways.b from reach join both_ways on reach.r = both_ways.a),
+    least as (select id, min(r) as r from reach group by 1)
+    select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(least.r, d.doc_id)) as component_id
+    from d left join n on d.doc_id = n.doc_id left join least on d.doc_id = least.id
+""")
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,56 +24,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Buckets for packed rows: a few per shuffle partition, so one bucket is a small part of a task."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets for packed rows: two per shuffle partition, dealt evenly by ``by_bucket``."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function that yields dicts of columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+PACKED = "bucket int, payload binary"
 
-    def run(batches):
-        for columns in fn(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal neighbours."""
+    if not len(keys):
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    return np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
 
 
-PACKED = "bucket int, payload binary"
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def packed(buckets: np.ndarray, fields: np.ndarray) -> dict:
-    """One row per bucket that holds the records of a structured array as bytes."""
+def packed(buckets: np.ndarray, *fields: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket with its records, field after field, behind their number."""
     order = np.argsort(buckets, kind="stable")
-    buckets, fields = buckets[order], fields[order]
-    cuts = np.flatnonzero(np.diff(buckets)) + 1
-    starts = np.concatenate([[0], cuts]) if len(buckets) else np.zeros(0, dtype=np.int64)
-    ends = np.concatenate([cuts, [len(buckets)]]) if len(buckets) else starts
-    return {"bucket": buckets[starts].astype(np.int32),
-            "payload": [fields[a:b].tobytes() for a, b in zip(starts, ends)]}
+    buckets, fields = buckets[order], [np.ascontiguousarray(f[order]) for f in fields]
+    starts, ends = runs(buckets)
+    rows = [np.int64(b - a).tobytes() + b"".join([f[a:b].tobytes() for f in fields]) for a, b in zip(starts, ends)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets[starts].astype(np.int32)), pa.array(rows, type=pa.binary())], names=["bucket", "payload"])
+
+
+def unpack(row: bytes, *kinds: str) -> list[np.ndarray]:
+    n, at, out = int(np.frombuffer(row, dtype=np.int64, count=1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(row, dtype=kind, count=n, offset=at))
+        at += out[-1].nbytes
+    return out
 
 
 def by_bucket(df: DataFrame) -> DataFrame:
     """Bring the rows of a bucket together, buckets in order."""
-    return df.repartition("bucket").sortWithinPartitions("bucket")
+    return df.repartitionById(bucket_count(df.sparkSession) // 2, "bucket").sortWithinPartitions("bucket")
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], dtype: np.dtype) -> Iterator[np.ndarray]:
-    """The records of each bucket in turn, from rows dealt by ``by_bucket``."""
+def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The payloads of each bucket in turn, from rows dealt by ``by_bucket``."""
     have, held = None, []
     for batch in batches:
-        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if bucket != have and held:
-                yield np.frombuffer(b"".join(held), dtype=dtype)
+                yield held
                 held = []
             have = bucket
-            held.append(payload.as_buffer().to_pybytes())
+            held.append(payload)
     if held:
-        yield np.frombuffer(b"".join(held), dtype=dtype)
+        yield held
+
+
+def bucket_fields(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[list[np.ndarray]]:
+    """The fields of each bucket in turn, from rows made by ``packed``."""
+    for held in bucket_rows(batches):
+        parts = [unpack(row, *kinds) for row in held]
+        yield [np.concatenate(f) for f in zip(*parts)]
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,7 +101,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     forward = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     def mark(df):
-        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum("b")).first()
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b"))).first()
 
     now = written(forward.distinct(), "edges")
     seen = mark(now)

@@ -1,7 +1,7 @@
 """Vectorised work on the UTF-8 bytes of a text column, one bounded slice at a time.
 
 A slice holds whole texts, concatenated.  A null text is an empty text.  A slice ends
-once it has ``SLICE`` bytes, so a text longer than that is a slice of its own and the
+once it has ``SLICE`` bytes or ``MOST_TEXTS`` texts, so a text longer than that is a slice of its own and the
 memory of a task is bounded by the longest text, not by the partition.
 """
 
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+MOST_TEXTS = 1 << 15
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _powers = np.ones(1, dtype=U64)
@@ -115,7 +116,7 @@ def slices(column, limit: int = SLICE) -> Iterator[Texts]:
     low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1
-        high = min(max(high, low + 1), n)
+        high = min(max(high, low + 1), n, low + MOST_TEXTS)
         yield Texts(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], low)
         low = high
 
