@@ -9,6 +9,7 @@ from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, r
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
 from tidemark.llm.url_filter import filter_urls
@@ -87,6 +88,13 @@ def op5_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op7_quality_rules", r"""
     with base as (
       select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
