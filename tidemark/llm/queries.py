@@ -12,6 +12,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
+from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.url_filter import filter_urls
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -29,6 +30,32 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_suffix_array_dedup", """
+    with hexed as (select doc_id, hex(encode(coalesce(text, ''))) as t from documents),
+    starts as (select doc_id, i, t[2 * i + 1:2 * i + 200] as s
+      from (select doc_id, t, unnest(generate_series(0, len(t) // 2 - 100)) as i from hexed where len(t) >= 200)),
+    ranked as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from starts),
+    later as (select doc_id, i from ranked where k > 1),
+    marked as (select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -1000) as step from later),
+    spans as (
+      select doc_id, min(i) as a, max(i) + 100 as b from (
+        select doc_id, i, sum((step > 100)::int) over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+    kept as (
+      select doc_id, unnest(list_zip(list_prepend(0, list(b order by a)), list_append(list(a order by a), 1000000000000))) as p
+      from spans group by doc_id),
+    rest as (
+      select h.doc_id, string_agg(t[2 * p[1] + 1:least(2 * p[2], len(t))], '' order by p[1]) as r
+      from hexed h join kept k on h.doc_id = k.doc_id group by 1),
+    sums as (select doc_id, sum(b - a) as n, count(*) as c from spans group by 1)
+    select h.doc_id, (len(t) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(c, 0)::bigint as n_spans,
+      sha256(unhex(coalesce(r, t))) as kept_sha256
+    from hexed h left join sums s on h.doc_id = s.doc_id left join rest r on h.doc_id = r.doc_id
+""")
+def op1_suffix_array_dedup(spark, sf_dir):
+    out = dedup_strings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def vocabulary_path() -> str:
     """Where the tokenizer file is; any other path can be given to the operators."""
     import public_tokenizers
