@@ -9,6 +9,10 @@ from tidemark.llm.shared import table, written
 
 STAGES = [
     ("quality rules", stages.quality_rules),
+    ("line dedup", stages.line_dedup),
+    ("n-gram Jaccard join", stages.ngram_join),
+    ("benchmark decontamination", stages.benchmark_decontamination),
+    ("BPE encoding and decoding", stages.bpe_encoding),
 ]
 
 #: Fuzzy lines and byte-pair encoding are beyond SQL; the stages are tested against brute force.

@@ -37,7 +37,7 @@ SECOND = U64(0x8CB92BA72F3D8DD7)
 
 def _words(texts: Texts):
     starts, ends, counts = texts.spans(WORD_BYTE)
-    return texts.span_hash(starts, ends, lower=True), counts
+    return texts.span_hash(starts, ends, codes="lower"), counts
 
 
 def _windows(codes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_decode, bpe_encode
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
+from tidemark.llm.chunk_dedup import dedup_chunks
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
+from tidemark.llm.stages import bpe_encoding
 from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.url_filter import filter_urls
 
@@ -56,25 +57,17 @@ def op1_suffix_array_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def vocabulary_path() -> str:
-    """Where the tokenizer file is; any other path can be given to the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op2_bpe_encoding")
 def op2_bpe_encoding(spark, sf_dir):
-    return bpe_digests(table(spark, sf_dir, "documents"))
+    coded = bpe_encoding(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
-def bpe_digests(docs):
-    """Texts encoded, and decoded again from the ids."""
-    path = vocabulary_path()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
-    return coded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, sf_dir):
+    out = dedup_chunks(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op4_html_extraction")

@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    """The default vocabulary file; the operators take any other path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def bucket_count(spark: SparkSession) -> int:
     """Buckets for packed rows: two per shuffle partition, dealt evenly by ``by_bucket``."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,12 +1,50 @@
-"""Pipeline stages ``(spark, docs, sf_dir) -> docs``; all but the last return the columns of ``documents``."""
+"""Pipeline stages ``(spark, docs, sf_dir) -> docs``; all but the last return the columns of ``documents``.
+
+Each works on all rows it is given.  Rows with the same id and text are one document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
+from tidemark.llm.shared import table, vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality_cascade(docs).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; of fuzzily equal lines one occurrence stays, and ``n_chars`` is counted anew."""
+    out = dedup_lines(docs)
+    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.withColumn("n_chars", chars).select(docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id; documents without words all stay."""
+    group = jaccard_components(docs)
+    first = group.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    return (kept if ids.n == ids.d else kept.dropDuplicates(["doc_id", "text"])).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(docs.columns)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded_sha256)``: each document's token numbers, and a digest of what they decode to."""
+    path = vocabulary_path()
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -163,7 +163,7 @@ def deal_runs(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return docs.select("row", text).mapInArrow(run, ROWS)
 
 
-def match_runs(dealt: DataFrame, buckets: int) -> DataFrame:
+def match_runs(dealt: DataFrame, buckets: int, many_runs: int = MANY_RUNS) -> DataFrame:
     """Repeats of whole runs as covered spans (kind 1), and first runs of anchors with several (kind 2)."""
 
     def run(batches):
@@ -179,7 +179,7 @@ def match_runs(dealt: DataFrame, buckets: int) -> DataFrame:
                 need = np.zeros(len(first), dtype=NEEDED)
                 for f in ("row", "g", "start", "more", "lead"):
                     need[f] = first[f]
-                need["many"] = several > MANY_RUNS
+                need["many"] = several > many_runs
                 parts.append(_by_row(need, buckets, 2))
             yield _batch(parts)
 
@@ -354,12 +354,13 @@ def match_pieces(dealt: DataFrame, buckets: int) -> DataFrame:
     return by_bucket(dealt).mapInArrow(run, ROWS)
 
 
-def _kept(data: bytes, *spans: bytes | None) -> tuple[int, int, bytes]:
+def _kept(data: bytes, least: int, spans: list[bytes | None]) -> tuple[int, int, bytes]:
     """Removed bytes, removed runs, and what is left of a text."""
     c = np.concatenate([np.zeros(0, dtype=COVERED), *(np.frombuffer(s, dtype=COVERED) for s in spans if s)])
     if not len(c):
         return 0, 0, data
     c = _covers(np.zeros(len(c), dtype=np.int64), c["start"], c["end"])
+    c = c[c["end"] - c["start"] >= least]
     out, at, gone = [], 0, 0
     for start, end in zip(c["start"].tolist(), c["end"].tolist()):
         out.append(data[at:start])
@@ -368,29 +369,34 @@ def _kept(data: bytes, *spans: bytes | None) -> tuple[int, int, bytes]:
     return gone, len(c), b"".join([*out, data[at:]])
 
 
-def dedup_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", many_runs: int = MANY_RUNS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``; ``kept`` has the remaining bytes."""
     buckets = bucket_count(docs.sparkSession)
     rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    found = written(per_row(match_runs(deal_runs(rows, "text", buckets), buckets)), "runs")
+    found = written(per_row(match_runs(deal_runs(rows, "text", buckets), buckets, many_runs)), "runs")
     placed = rows.repartition("row")
     needed = found.where(F.octet_length("needed") > 0).select("row", "needed").join(placed, "row").select("row", "needed", "text")
     pieces = match_pieces(fetch_pieces(needed, buckets), buckets)
     more = per_row(pieces).select("row", F.col("covered").alias("more"))
-    joined = placed.join(found.select("row", "covered"), "row", "left").join(more, "row", "left").select(
-        "doc_id", "text", "covered", "more")
+    spans = found.select("row", "covered")
+    return cut_out(placed.join(spans, "row", "left").join(more, "row", "left"), "covered", "more")
+
+
+def cut_out(rows: DataFrame, *spans: str, least: int = 1) -> DataFrame:
+    """``rows (doc_id, text, ...)`` without the bytes of the spans, if a run of them has ``least`` bytes."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 out = []
-                for text, covered, more in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
+                for text, *covered in zip(*(c.to_pylist() for c in part.columns[1:])):
                     data = (text or "").encode()
-                    out.append((len(data), *_kept(data, covered, more)))
+                    out.append((len(data), *_kept(data, least, covered)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0)] + [pa.array([o[k] for o in out], type=pa.int64()) for k in range(3)]
                     + [pa.array([o[3] for o in out], type=pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = dict(docs.dtypes)[doc_id]
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.select("doc_id", "text", *spans).mapInArrow(
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

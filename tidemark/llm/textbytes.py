@@ -32,6 +32,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Numbers of bytes: as they are, with A-Z lower-cased, and another choice for a second hash.
+CODES = {"as is": BYTE_CODE, "lower": BYTE_CODE[LOWER], "second": mix(BYTE_CODE ^ U64(0x2545F4914F6CDD1D))}
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of [^\x20\x09-\x0D]: everything but blanks.
@@ -58,24 +60,23 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int):
         self.data, self.offsets, self.first = data, offsets, first
         self.n = len(offsets) - 1
-        self._sums: dict[bool, np.ndarray] = {}
+        self._sums: dict[str, np.ndarray] = {}
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
-    def sums(self, lower: bool = False) -> np.ndarray:
+    def sums(self, codes: str = "as is") -> np.ndarray:
         """Prefix sums that ``span_hash`` takes differences of."""
-        if lower not in self._sums:
+        if codes not in self._sums:
             powers, _ = _power_tables(len(self.data) + 1)
-            codes = BYTE_CODE[LOWER] if lower else BYTE_CODE
             out = np.zeros(len(self.data) + 1, dtype=U64)
-            np.cumsum(codes[self.data] * powers[:-1], out=out[1:])
-            self._sums[lower] = out
-        return self._sums[lower]
+            np.cumsum(CODES[codes][self.data] * powers[:-1], out=out[1:])
+            self._sums[codes] = out
+        return self._sums[codes]
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    def span_hash(self, start: np.ndarray, end: np.ndarray, codes: str = "as is") -> np.ndarray:
         """64-bit hashes of byte spans, a function of their content alone."""
-        sums = self.sums(lower)
+        sums = self.sums(codes)
         _, inverse = _power_tables(len(self.data) + 1)
         return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
 
