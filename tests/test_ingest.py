@@ -215,3 +215,24 @@ def test_registry_gives_the_same_schema_the_same_version(spark):
     reg = evolve.schema_registry(msgs, "offset")
     assert rows(reg, "version", "fields", "first_offset", "n") == [(1, "a,b", 0, 2), (2, "a", 2, 1)]
     assert rows(evolve.field_changes(reg, [])) == [(2, "b", "removed", True)]
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_batched_time_polls_lose_nothing(spark, tmp_path, inclusive):
+    """Ties larger than the batch stay together, and a poll goes on where the last one ended."""
+    data = [(i, datetime(2020, 1, 1 + (i // 4))) for i in range(10)] + [(50 + i, datetime(2020, 2, 1)) for i in range(9)]
+    table = spark.createDataFrame(data, "id long, at timestamp")
+    options = {"inclusive": True, "identity": ["id"]} if inclusive else {}
+    got = TablePoller(f"{tmp_path}/p{inclusive}", ts_col="at", batch=3, **options).run_until_empty(table)
+    assert rows(got, "id") == [(i,) for i, _ in data]
+    assert rows(got.groupBy("at").agg(F.countDistinct("poll").alias("n")).where("n > 1")) == []
+
+
+def test_inclusive_batches_pass_a_mark_that_fills_a_batch(spark):
+    table = spark.createDataFrame([(i, datetime(2020, 1, 1 + i // 5)) for i in range(10)], "id long, at timestamp")
+    first = poll(table, Mark(), ts_col="at", batch=2, inclusive=True)
+    mark = next_mark(first, Mark(), ts_col="at")
+    late = table.union(spark.createDataFrame([(99, datetime(2020, 1, 1))], "id long, at timestamp"))
+    second = poll(late, mark, ts_col="at", batch=2, inclusive=True, delivered=first, identity=["id"])
+    assert rows(first, "id") == [(i,) for i in range(5)]
+    assert rows(second, "id") == [(i,) for i in range(5, 10)] + [(99,)]

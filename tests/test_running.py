@@ -58,12 +58,26 @@ def test_ranges_are_bounded_even_for_equal_values(log):
     assert stored.groupBy(r.SEGMENT).count().agg(F.max("count")).first()[0] <= 300
 
 
-def test_null_keys_are_no_group(spark):
-    df = spark.range(100).select(F.col("id").alias("seq"), F.lit(None).cast("int").alias("key"),
-                                 F.lit(None).cast("int").alias("value"))
-    got = r.with_running(df, ["key"], ["seq"], {"last": r.running_last(F.col("value"), F.col("seq"))},
-                         hot_rows=10, segment_rows=7)
-    assert got.count() == 100 and got.where("last is not null").count() == 0
+@pytest.mark.parametrize("size", [1, 7, 10**9])
+def test_null_keys_are_numbered_alike_at_every_size(spark, size):
+    key = F.when(F.col("id") % 3 == 0, F.col("id") % 2)
+    df = spark.range(100).select(F.col("id").alias("seq"), key.alias("key"), F.lit(None).cast("int").alias("value"))
+    for dense in (True, False):
+        got = r.with_running(
+            df, ["key"], ["seq"], {"n": r.running_count(), "last": r.running_last(F.col("value"), F.col("seq"))},
+            dense=dense, hot_rows=size, segment_rows=size)
+        want, have = {}, []
+        for seq in range(100):
+            k = seq % 2 if seq % 3 == 0 else None
+            want[k] = want.get(k, 0) + 1
+            have.append((seq, want[k], None))
+        assert rows(got, "seq", "n", "last") == have
+
+
+def test_a_hot_key_is_found_in_rows_that_take_no_space(spark, tmp_path):
+    spark.range(300_000).select(F.lit(5).alias("key")).write.parquet(f"{tmp_path}/one")
+    (key, n), = rows(skew.hot_keys(spark.read.parquet(f"{tmp_path}/one"), ["key"], 100_000))
+    assert key == 5 and n > 200_000
 
 
 def test_empty_input(spark):
@@ -81,8 +95,8 @@ def test_hot_keys_are_found_on_a_sample(spark):
 def test_hot_keys(log, monkeypatch):
     assert rows(skew.hot_keys(log, ["key"], 400)) == [(0, 2143)]
     assert skew.hot_keys(log, ["key"], 10**6) is None
-    monkeypatch.setattr(skew, "MAX_HOT", 2)
-    assert skew.hot_keys(log, ["key"], 1).count() == 2
+    monkeypatch.setattr(skew, "MOST_HOT", 4)
+    assert rows(skew.hot_keys(log, ["key"], 1)) == [(0, 2143)]
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

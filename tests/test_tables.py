@@ -88,6 +88,18 @@ def test_repartition_keeps_order_per_key(spark, size):
     assert all(v == str(p) for v, p in rows(places, "value", "position"))
 
 
+def test_repartition_of_several_topics_and_partitions_is_repeatable(spark):
+    log = spark.createDataFrame(
+        [(t, p, o, f"k{(p + o) % 5}" if o % 3 else None, f"{t}{p}{o}") for t in "ab" for p in range(4) for o in range(20)],
+        "topic string, partition int, offset long, key string, value string")
+    one, two = (rows(rekey.repartition_topic(d, 3)) for d in (log, log.orderBy(F.desc("value")).repartition(5)))
+    assert one == two and len({r[:3] for r in one}) == 160
+    for size in (1, 10**9):
+        assert rows(rekey.repartition_topic(log, 3, hot_rows=size, segment_rows=7)) == one
+    places = rows(rekey.key_positions(rekey.repartition_topic(log, 3)), "topic", "partition", "key", "position")
+    assert len(set(places)) == 160
+
+
 def test_repartition_deals_out_messages_without_key(spark):
     log = spark.range(10).select(F.lit(0).alias("partition"), F.col("id").alias("offset"),
                                  F.lit(None).cast("string").alias("key"), F.lit("v").alias("value"))

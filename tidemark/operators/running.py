@@ -11,16 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import COUNT, HOT_ROWS, hot_keys, row_estimate
+from tidemark.operators.skew import COUNT, HOT_ROWS, hot_keys, null_safe, row_estimate
 from tidemark.session import fresh_dir
 
 SEGMENT_ROWS = 1 << 20
 SEGMENT = "__segment"
+# An order is stored in so many ranges at most; those of a larger log just grow.
+MOST_PARTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -87,7 +88,7 @@ def with_running(
     ``order`` must be unique within a key.  ``dense`` says that its first column is a
     position such as an offset, unique over all rows, so that equal steps of it hold a
     bounded number of rows; otherwise hot keys are cut at sampled ranges of the order.
-    Rows with a null key are no group: each sees some rows with a null key before it.
+    Rows with a null key are a group like any other, at every size.
     """
     unbounded = Window.unboundedPreceding
     hot = hot_keys(rows, keys, hot_rows)
@@ -99,12 +100,11 @@ def with_running(
         cut = rows.withColumn(SEGMENT, F.floor(F.col(order[0]) / F.lit(segment_rows)))
     else:
         total = row_estimate(rows, segment_rows) if keys else hot.first()[COUNT]
-        cut = stored_in_order(rows, order, total // segment_rows + 1)
+        cut = stored_in_order(rows, order, min(total // segment_rows + 1, MOST_PARTS))
     is_hot = "__hot"
     if keys:
-        cut = cut.join(F.broadcast(hot.select(*keys, F.lit(True).alias(is_hot))), list(keys), "left")
-        no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        cut = cut.withColumn(SEGMENT, F.when(F.col(is_hot) | no_key, F.col(SEGMENT)).otherwise(F.lit(-1)))
+        cut = null_safe(cut, F.broadcast(hot.select(*keys, F.lit(True).alias(is_hot))), keys, "left")
+        cut = cut.withColumn(SEGMENT, F.when(F.col(is_hot), F.col(SEGMENT)).otherwise(F.lit(-1)))
     else:
         cut = cut.withColumn(is_hot, F.lit(True))
 
@@ -116,7 +116,7 @@ def with_running(
     carried = totals.select(
         *group, *[m.carry(F.col(f"__t_{n}"), earlier).alias(f"__c_{n}") for n, m in measures.items()])
     local = cut.withColumns({f"__i_{n}": m.inside(inside) for n, m in measures.items()})
-    return local.join(carried, group, "left").select(
+    return null_safe(local, carried, group, "left").select(
         *rows.columns,
         *[m.merge(F.col(f"__c_{n}"), F.col(f"__i_{n}")).alias(n) for n, m in measures.items()],
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 # A key above this many rows is treated as hot.
 HOT_ROWS = 1 << 22
 
-# At most so many hot keys are treated, the largest first.  A key that is left out
-# holds less than this fraction of all rows.
-MAX_HOT = 10_000
+# A key is hot only if it holds more than one in so many of all rows, so there are no
+# more hot keys than this; a key below that share is an ordinary part of a task of so large an input.
+MOST_HOT = 10_000
 
 # Keys are counted on a sample in which a key of ``hot_rows`` rows is expected this often.
 SAMPLE_HITS = 400
@@ -22,40 +23,39 @@ SAMPLE_HITS = 400
 COUNT = "__n"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's size estimate."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys of ``rows`` that hold over ``hot_rows`` rows, with their estimated count ``__n``.
 
     None if there is no such key.  Rows are sampled and counted per key, so hardly
     anything is shuffled; a key is taken as hot from half the expected hits on, which
     makes it all but impossible to miss one.  The answer only decides how rows are
-    spread, never which rows there are.  No job runs if all of ``rows`` is estimated
-    at less than a byte per ``hot_rows``.  The result has at most ``MAX_HOT`` rows and
-    may be broadcast.
+    spread, never which rows there are.  A hot key also holds more than one in
+    ``MOST_HOT`` rows, which bounds the result by construction; it may be broadcast.
+    Null is a key like any other.
     """
-    if estimated_bytes(rows) < hot_rows:
-        return None
     fraction = min(1.0, SAMPLE_HITS / max(hot_rows, 1))
-    drawn = rows.select(*keys) if fraction == 1.0 else rows.select(*keys).sample(fraction, seed=17)
-    hits = hot_rows if fraction == 1.0 else SAMPLE_HITS // 2
-    counts = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > hits)
-    found = counts.orderBy(F.desc(COUNT)).limit(MAX_HOT).collect()
+    drawn = rows.select(*keys) if fraction == 1.0 else rows.sample(fraction, seed=17).select(*keys)
+    hits = max(hot_rows if fraction == 1.0 else SAMPLE_HITS // 2, drawn.count() // MOST_HOT)
+    found = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > hits).collect()
     if not found:
         return None
-    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField(COUNT, T.LongType())])
+    schema = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in keys], T.StructField(COUNT, T.LongType())])
     return rows.sparkSession.createDataFrame(
         [(*r[:-1], math.ceil(r[-1] / fraction)) for r in found], schema)
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, null equal to null; each column once."""
+    names = {c: f"__r_{c}" for c in on}
+    other = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(other, same, how).drop(*names.values())
+
+
 def row_estimate(rows: DataFrame, unit: int) -> int:
     """About how many rows there are, good enough to cut them into parts of ``unit`` rows."""
     fraction = min(1.0, SAMPLE_HITS / max(unit, 1))
-    none = rows.select(F.lit(1).alias("one"))
-    return math.ceil((none if fraction == 1.0 else none.sample(fraction, seed=17)).count() / fraction)
+    return math.ceil((rows if fraction == 1.0 else rows.sample(fraction, seed=17)).count() / fraction)
 
 
 def lookup_join(
@@ -66,8 +66,8 @@ def lookup_join(
 
     The rows of a hot key are spread over several tasks by a hash of the ``spread``
     columns, and its lookup row is copied to each of them; other keys are joined as
-    they are.  A stream cannot be counted ahead, so there every key gets
-    ``stream_salts`` copies.
+    they are.  Rows with a null key match nothing and are spread too.  A stream cannot be
+    counted ahead, so there every key gets ``stream_salts`` copies.
     """
     salt, salts = "__salt", "__salts"
     if rows.isStreaming:
@@ -79,7 +79,7 @@ def lookup_join(
             return rows.join(lookup, list(on), how)
         share = F.ceil(F.col(COUNT) / F.lit(hot_rows)).cast("int")
         hot = F.broadcast(hot.select(*on, share.alias(salts)))
-        rows, lookup = rows.join(hot, list(on), "left"), lookup.join(hot, list(on), "left")
+        rows, lookup = null_safe(rows, hot, on, "left"), null_safe(lookup, hot, on, "left")
     n = F.coalesce(F.col(salts), F.lit(1))
     left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), n).cast("int")).drop(salts)
     right = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(salts)

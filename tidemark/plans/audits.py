@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, dedup, rekey
 from tidemark.plans.common import event_log, events, table
 from tidemark.plans.generated import SENDS_SQL, deliveries
 from tidemark.plans.registry import query
-from tidemark.session import fresh_dir
 
 
 @query("missing_ids", """
@@ -168,17 +168,23 @@ PARTITION_SQL = f"""
 
 
 @query("repartition_keys", f"""
-    with keyed as (select event_id, user_id::varchar as s, event_type from events), {PARTITION_SQL}
-    select part as partition, row_number() over (partition by part order by event_id) - 1 as "offset",
-           s as key, event_type as value,
-           row_number() over (partition by part, s order by event_id) as position
-    from placed
+    with numbered as (
+      select event_type as topic, user_id % 12 as source, user_id::varchar as s, event_id,
+             row_number() over (partition by event_type, user_id % 12 order by event_id) - 1 as old
+      from events),
+    keyed as (select * from numbered), {PARTITION_SQL},
+    moved as (
+      select topic, part, s, event_id,
+             row_number() over (partition by topic, part order by old, source) - 1 as "offset" from placed)
+    select topic, part as partition, "offset", s as key, event_id::varchar as value,
+           row_number() over (partition by topic, part, s order by "offset") as position
+    from moved
 """)
 def repartition_keys(spark, sf_dir):
-    """A one-partition topic spread over four by key hash, order kept per key."""
-    log = events(spark, sf_dir).select(
-        F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
-        F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"))
-    path = fresh_dir(spark, "topic")
-    rekey.repartition_topic(log, 4).write.parquet(path)
-    return rekey.key_positions(spark.read.parquet(path))
+    """Topics of twelve partitions moved to four each by key hash, order kept per key."""
+    source = Window.partitionBy("event_type", "source").orderBy("event_id")
+    log = events(spark, sf_dir).withColumn("source", F.pmod("user_id", F.lit(12)).cast("int")).select(
+        F.col("event_type").alias("topic"), F.col("source").alias("partition"),
+        (F.row_number().over(source) - 1).cast("bigint").alias("offset"),
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
+    return rekey.key_positions(rekey.repartition_topic(log, 4))

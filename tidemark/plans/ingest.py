@@ -13,6 +13,7 @@ from tidemark.session import fresh_dir
 from tidemark.sinks import files as sink
 from tidemark.sources import cdc, shards
 from tidemark.sources.poll import Mark, next_mark, poll, poll_batches, unseen
+from tidemark.streaming.ingest import TablePoller
 
 DAY_US = 86_400_000_000
 CUT = "1998-06-01"  # the time of the first poll
@@ -133,6 +134,28 @@ def poll_ts_inc(spark, sf_dir):
         "poll", "o_orderkey", "status")
 
 
+_YEARLY = "select o_orderkey, poll::int as poll from (select o_orderkey, dense_rank() over (order by year(o_orderdate)) as poll from orders)"
+
+
+def _yearly_polls(spark, sf_dir, **options):
+    """Orders that carry only their year, so that far more are tied than a batch holds."""
+    orders = _orders(spark, sf_dir).select("o_orderkey", F.date_trunc("year", "o_orderdate").alias("year"))
+    poller = TablePoller(fresh_dir(spark, "polls"), ts_col="year", batch=100, **options)
+    return poller.run_until_empty(orders).select("o_orderkey", "poll")
+
+
+@query("poll_ts_batched", _YEARLY)
+def poll_ts_batched(spark, sf_dir):
+    """Batched polls by time alone until nothing is left: every order once, ties in one poll."""
+    return _yearly_polls(spark, sf_dir)
+
+
+@query("poll_ts_batched_inclusive", _YEARLY)
+def poll_ts_batched_inclusive(spark, sf_dir):
+    """The same with inclusive polls, which leave out what was delivered before the batch is cut."""
+    return _yearly_polls(spark, sf_dir, inclusive=True, identity=["o_orderkey"])
+
+
 @query("poll_batches", """
     select o_orderkey, (row_number() over (order by o_orderdate, o_orderkey) - 1) // 1000 as poll from orders
 """)
@@ -175,7 +198,7 @@ def date_sharded_union(spark, sf_dir):
     orders = _orders(spark, sf_dir).select(
         "o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyyMM").alias("shard_date"))
     sink.write_shards(orders, path, "shard_date", F.floor(F.col("o_orderkey") / F.lit(1 << 20)))
-    return shards.read_shards(spark, path, "199501", "200112")
+    return shards.read_shards(spark, path)
 
 
 @query("shard_union_years", """

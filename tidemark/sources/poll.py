@@ -6,6 +6,7 @@ the file scan.  Marks are plain numbers: an id, and a time in microseconds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,24 +33,37 @@ def poll(
     delay_us: int = 0,
     inclusive: bool = False,
     batch: int | None = None,
+    delivered: DataFrame | None = None,
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """Rows a poll delivers after ``mark``.
 
     * ``id_col`` alone: rows with a higher id.  Updates of old rows are not seen.
-    * ``ts_col`` alone: rows with a later time (or the same time if ``inclusive``,
-      to be followed by :func:`unseen`).  Rows tied with the mark that were not yet
-      committed at the last poll are lost unless a delay covers them.
+    * ``ts_col`` alone: rows with a later time (or the same time if ``inclusive``;
+      give what was ``delivered`` and the ``identity`` of a row, or follow with
+      :func:`unseen`).  Rows tied with the mark that were not yet committed at the last
+      poll are lost unless a delay covers them or the poll is inclusive.
     * both: rows after the mark in (time, id) order, so a row whose time was
       updated is delivered again.
 
     With ``now_us`` only times up to ``now_us - delay_us`` count as complete.
-    ``batch`` delivers at most that many rows, the first ones in poll order.
+    ``batch`` delivers the first rows in poll order: that many where an id tells rows
+    apart, and in a poll by time alone as many times as it takes to have that many rows.
+    Rows of one time are never parted there, since the next poll starts behind it.
     """
     cond = _after(mark, id_col, ts_col, inclusive)
     if ts_col is not None and now_us is not None:
         cond = cond & (F.col(ts_col) <= _instant(now_us - delay_us))
     rows = table.where(cond)
-    return rows if batch is None else rows.orderBy(*_order(id_col, ts_col)).limit(batch)
+    if delivered is not None and mark.ts_us is not None:
+        rows = unseen(rows, delivered, mark, ts_col, list(identity))
+    if batch is None:
+        return rows
+    first = rows.orderBy(*_order(id_col, ts_col)).limit(batch)
+    if id_col is not None:
+        return first
+    last = first.agg(F.max(F.unix_micros(ts_col))).first()[0]
+    return rows.limit(0) if last is None else rows.where(F.col(ts_col) <= _instant(last))
 
 
 def _order(id_col: str | None, ts_col: str | None) -> list[str]:

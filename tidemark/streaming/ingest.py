@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +31,13 @@ class TablePoller:
 
     The mark after poll n is stored once its rows are written.  A poll that failed
     in between is repeated under the same number and replaces what it left behind.
+    An ``inclusive`` poll leaves out rows that earlier polls delivered, told by ``identity``.
     """
 
-    def __init__(self, path: str, id_col: str | None = None, ts_col: str | None = None, **options):
-        self.path, self.id_col, self.ts_col, self.options = path, id_col, ts_col, options
+    def __init__(
+        self, path: str, id_col: str | None = None, ts_col: str | None = None, identity: Sequence[str] = (), **options
+    ):
+        self.path, self.id_col, self.ts_col, self.identity, self.options = path, id_col, ts_col, identity, options
 
     def last(self, spark: SparkSession) -> tuple[int, Mark]:
         """Number of polls done, and the mark they left."""
@@ -54,7 +57,11 @@ class TablePoller:
         number = done + 1
         data = f"{self.path}/data/poll={number}"
         columns = {"id_col": self.id_col, "ts_col": self.ts_col}
-        poll(table, mark, **columns, **self.options).write.mode("overwrite").parquet(data)
+        before = {}
+        if self.options.get("inclusive") and done:
+            earlier = spark.read.schema(table.schema).parquet(*[f"{self.path}/data/poll={n}" for n in self._tied(spark, mark)])
+            before = {"delivered": earlier, "identity": self.identity}
+        poll(table, mark, **columns, **before, **self.options).write.mode("overwrite").parquet(data)
         after = next_mark(spark.read.parquet(data), mark, **columns)
         spark.range(1).select(
             F.lit(number).cast("bigint").alias("poll"), F.lit(after.id).cast("bigint").alias("id"),
@@ -62,6 +69,20 @@ class TablePoller:
         ).write.mode("overwrite").parquet(f"{self.path}/marks/n={number}")
         return number
 
+    def _tied(self, spark: SparkSession, mark: Mark) -> list[int]:
+        """The polls that may have delivered rows of the mark's time: the first that ended there, and all since."""
+        ended = spark.read.parquet(f"{self.path}/marks").where(F.col("ts_us") == mark.ts_us).agg(F.min("poll")).first()[0]
+        done = self.last(spark)[0]
+        return list(range(ended, done + 1))
+
+    def run_until_empty(self, table: DataFrame) -> DataFrame:
+        """Poll one table until a poll delivers nothing; returns everything delivered, with its ``poll``."""
+        spark = table.sparkSession
+        while True:
+            number = self.run_once(table)
+            if spark.read.parquet(f"{self.path}/data/poll={number}").isEmpty():
+                return spark.read.parquet(f"{self.path}/data")
+
     def run(self, versions: list[Callable[[], DataFrame]]) -> DataFrame:
         """One poll per version of the table; returns everything delivered, with its ``poll``."""
         spark = None
