@@ -12,6 +12,7 @@ from tidemark.operators import evolve
 from tidemark.operators.evolve import Field
 from tidemark.session import fresh_dir
 from tidemark.sinks import files as sink
+from tidemark.sinks.topic import encode
 from tidemark.sources import cdc, files, generate, shards
 from tidemark.sources.poll import Mark, next_mark, poll, poll_batches, unseen
 from tidemark.streaming.ingest import TablePoller
@@ -174,47 +175,88 @@ def test_log_files_have_limited_length(spark):
     assert rows(files.read_log_lines(spark, path))[0] == ('{"id":0}',)
 
 
-V1 = {"regdt": Field("string")}
-V2 = V1 | {"address": Field("string", "N/A")}
-V3 = V2 | {"company": Field("string", "N/A")}
-
 
 def test_mixed_version_reads(spark):
     msgs = spark.createDataFrame([
-        (1, '{"regdt":"t"}'), (2, '{"regdt":"t","address":"Seoul"}'),
-        (3, '{"regdt":"t","address":"Seoul","company":"wow.com"}'),
-        (4, '{"regdt":"t","address":null}')], "n int, value string")
-    assert rows(evolve.read_as(msgs, V1)) == [(i, "t") for i in (1, 2, 3, 4)]
-    assert rows(evolve.read_as(msgs, V2)) == [(1, "t", "N/A"), (2, "t", "Seoul"), (3, "t", "Seoul"), (4, "t", None)]
-    assert rows(evolve.read_as(msgs, V3)) == [
-        (1, "t", "N/A", "N/A"), (2, "t", "Seoul", "N/A"), (3, "t", "Seoul", "wow.com"), (4, "t", None, "N/A")]
-
-
-BASE = {"id": Field("int"), "regdt": Field("string"), "pid": Field("int", 0), "sid": Field("int", 0)}
-
-
-def test_compatibility():
-    bare = BASE | {n: Field("string") for n in ("name", "address", "ip")}
-    filled = BASE | {n: Field("string", "N/A") for n in ("name", "address", "ip")}
-    swapped = BASE | {n: Field("string", "N/A") for n in ("birth", "company", "phone")}
-    assert evolve.incompatible(BASE, BASE) == []
-    assert [p for _, p in evolve.incompatible(BASE, bare)] == [evolve.READER_FIELD_MISSING_DEFAULT_VALUE] * 3
-    with pytest.raises(ValueError, match="READER_FIELD_MISSING_DEFAULT_VALUE"):
-        evolve.ensure_compatible(BASE, bare)
-    evolve.ensure_compatible(BASE, filled)
-    evolve.ensure_compatible(filled, swapped)
-    assert evolve.incompatible(BASE, bare, "FORWARD") == []
-    assert evolve.incompatible(bare, BASE, "FULL") != [] and evolve.incompatible(bare, BASE) == []
-    assert evolve.incompatible({"a": Field("int")}, {"a": Field("bigint")}) == []
-    assert evolve.incompatible({"a": Field("bigint")}, {"a": Field("int")}) == [("a", evolve.TYPE_MISMATCH)]
-
-
-def test_registry_gives_the_same_schema_the_same_version(spark):
-    msgs = spark.createDataFrame([(0, '{"a":1,"b":2}'), (1, '{"b":3,"a":4}'), (2, '{"a":1}'), (3, "broken")],
-                                 "offset bigint, value string")
-    reg = evolve.schema_registry(msgs, "offset")
-    assert rows(reg, "version", "fields", "first_offset", "n") == [(1, "a,b", 0, 2), (2, "a", 2, 1)]
-    assert rows(evolve.field_changes(reg, [])) == [(2, "b", "removed", True)]
+        (1, '{"seat":4}'), (2, '{"seat":5,"meal":"soup"}'), (3, '{"meal":"rice","seat":6,"wifi":true}'), (4, '{"seat":7,"meal":null}')],
+        "n int, value string")
+    one = {"seat": Field("int")}
+    two = one | {"meal": Field("string", "any")}
+    three = two | {"wifi": Field("boolean", False)}
+    assert rows(evolve.read_as(msgs, one)) == [(1, 4), (2, 5), (3, 6), (4, 7)]
+    assert rows(evolve.read_as(msgs, two)) == [(1, 4, "any"), (2, 5, "soup"), (3, 6, "rice"), (4, 7, None)]
+    assert rows(evolve.read_as(msgs, three)) == [
+        (1, 4, "any", False), (2, 5, "soup", False), (3, 6, "rice", True), (4, 7, None, False)]
+
+
+PARCEL = {"code": Field("bigint"), "weight": Field("float"), "label": Field("string")}
+TYPES = ["int", "bigint", "float", "double", "string", "boolean"]
+
+
+def test_one_rule_for_each_kind_of_change():
+    lacks = evolve.READER_FIELD_MISSING_DEFAULT_VALUE
+    assert evolve.problems(PARCEL, PARCEL) == []
+    assert evolve.problems(PARCEL, PARCEL | {"depot": Field("int")}) == [("depot", lacks)]
+    assert evolve.problems(PARCEL, PARCEL | {"depot": Field("int", 0), "note": Field("string", None)}) == []
+    assert evolve.problems(PARCEL, {"code": PARCEL["code"]}) == []
+    assert sorted(evolve.problems({}, PARCEL)) == [(n, lacks) for n in ("code", "label", "weight")]
+
+
+@pytest.mark.parametrize("old", TYPES)
+@pytest.mark.parametrize("new", TYPES)
+def test_only_wider_types_can_be_read(old, new):
+    numbers = ["int", "bigint", "float", "double"]
+    fits = old == new or (old in numbers and new in numbers and numbers.index(old) < numbers.index(new))
+    assert (evolve.problems({"x": Field(old)}, {"x": Field(new)}) == []) == fits
+
+
+def test_modes_and_guard():
+    more = PARCEL | {"depot": Field("int")}
+    assert evolve.incompatible(PARCEL, more, "FORWARD") == [] and evolve.incompatible(more, PARCEL) == []
+    assert evolve.incompatible(more, PARCEL, "FULL") == [("depot", evolve.READER_FIELD_MISSING_DEFAULT_VALUE)]
+    with pytest.raises(ValueError, match="depot"):
+        evolve.ensure_compatible(PARCEL, more)
+    evolve.ensure_compatible(more, PARCEL)
+    with pytest.raises(ValueError):
+        evolve.incompatible(PARCEL, more, "SIDEWAYS")
+
+
+MESSAGES = [
+    (0, '{"code":1,"weight":2.5}'), (1, '{"weight":3.0,"code":4}'), (2, '{"code":null,"weight":1.5}'), (3, '{"code":7}'),
+    (4, '{"code":"x","weight":2.5}'), (5, "not json"), (6, None), (7, '[1,2]'), (8, '{"code":8'), (9, '{"weight":1.0,"tag":{"a":[1]}}')]
+
+
+def test_registry_knows_types_and_leaves_out_what_is_no_record(spark):
+    reg = evolve.schema_registry(spark.createDataFrame(MESSAGES, "offset bigint, value string"), "offset")
+    # a null code could be either of two types there, so it is a shape of its own
+    assert [(r.version, list(r.fields), r.first_offset, r.n) for r in reg.orderBy("version").collect()] == [
+        (1, ["code bigint", "weight double"], 0, 2), (2, ["code null", "weight double"], 2, 1), (3, ["code bigint"], 3, 1),
+        (4, ["code string", "weight double"], 4, 1), (5, ["tag object<a: array<bigint>>", "weight double"], 9, 1)]
+    changes = evolve.field_changes(reg, {"weight": Field("double", 0.0)}).where("version >= 3")
+    assert rows(changes, "version", "field", "change", "problem") == [
+        (3, "code", "retyped", evolve.TYPE_MISMATCH), (3, "weight", "removed", None),
+        (4, "code", "retyped", evolve.TYPE_MISMATCH), (4, "weight", "added", None),
+        (5, "code", "removed", None), (5, "tag", "added", evolve.READER_FIELD_MISSING_DEFAULT_VALUE)]
+
+
+def test_a_null_takes_the_type_of_the_field(spark):
+    msgs = spark.createDataFrame([(0, '{"a":null}'), (1, '{"a":2}')], "offset bigint, value string")
+    assert [list(r.fields) for r in evolve.schema_registry(msgs, "offset").collect()] == [["a bigint"]]
+
+
+def test_no_record_is_invented(spark):
+    msgs = spark.createDataFrame(MESSAGES, "offset bigint, value string")
+    schema = {"weight": Field("double"), "code": Field("bigint", -1)}
+    assert rows(evolve.read_as(msgs, schema), "offset", "code", "weight") == [
+        (0, 1, 2.5), (1, 4, 3.0), (2, None, 1.5), (9, -1, 1.0)]
+    assert rows(evolve.unreadable(msgs, schema), "offset", "problem") == [
+        (3, "missing weight"), (4, "malformed"), (5, "malformed"), (6, "tombstone"), (7, "malformed"), (8, "malformed")]
+
+
+def test_null_fields_survive_encoding(spark):
+    df = encode(spark.createDataFrame([(1, None)], "n int, tag string"), ["n", "tag"])
+    assert rows(df, "value") == [('{"n":1,"tag":null}',)]
+    assert rows(evolve.read_as(df.select("value"), {"n": Field("int"), "tag": Field("string", "?")})) == [(1, None)]
 
 
 @pytest.mark.parametrize("inclusive", [False, True])

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import PACKED, bucket_count, bucket_fields, by_bucket, components, packed, runs, written
@@ -191,15 +191,50 @@ def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
-def _similar(a: Column, b: Column) -> Column:
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.levenshtein(a, b) <= (1 - SIMILARITY) * longer
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance: equal ends are cut off, then all of a column is computed at once in the bits of an integer."""
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < most - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low:len(a) - high], b[low:len(b) - high]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    everywhere, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = everywhere, 0, len(a)  # where the column rises and falls from row to row
+    for c in b:
+        same = places.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = (down | ~(flat | up)) & everywhere, up & flat
+        distance += bool(right_up & last) - bool(right_down & last)
+        right_up, right_down = (right_up << 1 | 1) & everywhere, (right_down << 1) & everywhere
+        up, down = (right_down | ~(flat | right_up)) & everywhere, right_up & flat
+    return distance
+
+
+def _similar(a: str, b: str) -> bool:
+    longer = max(len(a), len(b))
+    allowed = (1 - SIMILARITY) * longer
+    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b, linked)``: whether the normal forms of two lines are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (2, 3))
+            linked = pa.array([_similar(x, y) for x, y in zip(a, b)], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], names=["a", "b", "linked"])
+
     one, two = (texts.select(F.col("line").alias(k), F.col("normal").alias(f"text_{k}")) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select(
-        "a", "b", _similar(F.col("text_a"), F.col("text_b")).alias("linked"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
+        run, "a long, b long, linked boolean")
 
 
 def fuzzy_links(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:

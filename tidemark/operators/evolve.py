@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running_count, with_running
+
 # Problem names reported by the compatibility check.
 READER_FIELD_MISSING_DEFAULT_VALUE = "READER_FIELD_MISSING_DEFAULT_VALUE"
 TYPE_MISMATCH = "TYPE_MISMATCH"
@@ -16,7 +19,17 @@ TYPE_MISMATCH = "TYPE_MISMATCH"
 # A field may be read as a wider type than it was written with.
 WIDER = {"int": {"bigint", "float", "double"}, "bigint": {"float", "double"}, "float": {"double"}}
 
-REQUIRED = object()
+_CORRUPT = "__corrupt"
+
+
+class _Required:
+    """No default; the one such object also after a trip to an executor."""
+
+    def __reduce__(self):
+        return "REQUIRED"
+
+
+REQUIRED = _Required()
 
 
 @dataclass(frozen=True)
@@ -65,16 +78,29 @@ def ensure_compatible(old: Schema, new: Schema, mode: str = "BACKWARD") -> None:
         raise ValueError("incompatible schema: " + ", ".join(f"{p} ({f})" for f, p in found))
 
 
+def _parsed(messages: DataFrame, schema: Schema, value: str) -> DataFrame:
+    """``messages`` with the record ``__r``, its keys, and ``problem``: why it is no record of this schema."""
+    ddl = ", ".join([*(f"`{n}` {f.type}" for n, f in schema.items()), f"`{_CORRUPT}` string"])
+    parsed = messages.withColumns({
+        "__r": F.from_json(value, ddl, {"columnNameOfCorruptRecord": _CORRUPT}), "__keys": F.json_object_keys(value)})
+    missing = F.filter(
+        F.array(*[F.lit(n) for n, f in schema.items() if f.required]).cast("array<string>"),
+        lambda n: ~F.array_contains("__keys", n))
+    problem = (
+        F.when(F.col(value).isNull(), "tombstone")
+        .when(F.col("__keys").isNull() | F.col("__r").getField(_CORRUPT).isNotNull(), "malformed")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))))
+    return parsed.withColumn("problem", problem)
+
+
 def read_as(messages: DataFrame, schema: Schema, value: str = "value") -> DataFrame:
     """Records of any version as the reader's schema.
 
     Fields the reader does not know are ignored; a field the record lacks takes its
-    default.  A field that is present and null stays null.
+    default.  A field that is present and null stays null.  Messages that are no records
+    of the schema are left out here and returned by :func:`unreadable`.
     """
     kept = [c for c in messages.columns if c != value]
-    ddl = ", ".join(f"`{n}` {f.type}" for n, f in schema.items())
-    parsed = messages.select(
-        *kept, F.from_json(value, ddl).alias("__r"), F.json_object_keys(value).alias("__keys"))
 
     def column(name: str, field: Field):
         read = F.col("__r").getField(name)
@@ -83,35 +109,76 @@ def read_as(messages: DataFrame, schema: Schema, value: str = "value") -> DataFr
                 F.lit(field.default).cast(field.type))
         return read.alias(name)
 
-    return parsed.select(*kept, *[column(n, f) for n, f in schema.items()])
+    return _parsed(messages, schema, value).where("problem is null").select(
+        *kept, *[column(n, f) for n, f in schema.items()])
 
 
-def schema_registry(messages: DataFrame, offset: str, value: str = "value") -> DataFrame:
-    """Distinct record shapes in order of first use: ``version, fingerprint, fields, first_offset, n``.
+def unreadable(messages: DataFrame, schema: Schema, value: str = "value") -> DataFrame:
+    """The messages that :func:`read_as` leaves out, with their ``problem``: a tombstone,
+    malformed JSON or a value of another type, or required fields that are missing."""
+    return _parsed(messages, schema, value).where("problem is not null").select(*messages.columns, "problem")
+
 
-    The same set of fields always gets the same version.
+def record_shape(value: str):
+    """Field names and types of a JSON object, ordered by name; null for anything else.
+
+    Types are those of the values, ``null`` where the value is null.  Numbers are ``bigint`` or ``double``.
     """
-    fields = F.array_join(F.array_sort(F.json_object_keys(value)), ",")
-    shapes = messages.select(F.col(offset), fields.alias("fields")).where(F.col("fields").isNotNull())
-    found = shapes.groupBy("fields").agg(
-        F.min(offset).alias("first_offset"), F.count(F.lit(1)).alias("n"))
-    # one row per distinct shape from here on
-    version = F.row_number().over(Window.orderBy("first_offset"))
-    return found.select(
-        version.cast("bigint").alias("version"), F.sha2("fields", 256).alias("fingerprint"),
-        "fields", "first_offset", "n")
+    kind = lambda v: F.regexp_replace(F.lower(F.schema_of_variant(v)), r"decimal\(\d+,\d+\)", "double")
+    fields = F.transform(
+        F.map_entries(F.from_json(value, "map<string,variant>")),
+        lambda e: F.struct(e["key"].alias("field"), F.regexp_replace(kind(e["value"]), "^void$", "null").alias("type")))
+    return F.when(F.json_object_keys(value).isNotNull(), F.array_sort(fields))
 
 
-def field_changes(registry: DataFrame, defaults: Sequence[str]) -> DataFrame:
-    """Fields added or removed from version to version, and whether that is allowed.
+def schema_registry(messages: DataFrame, offset: str, value: str = "value") -> DataFrame:
+    """Distinct record shapes in order of first use: ``version, fingerprint, fields, first_offset, n``.
 
-    BACKWARD rule: an added field needs a default; a field may always be removed.
+    The same fields with the same types always get the same version.  A null value takes the type that
+    the field has in other records of the same fields, if there is just one.  ``fields`` is an array of
+    ``field type``.  Tombstones and messages that are no objects have no shape.
+    """
+    shapes = messages.select(F.col(offset), record_shape(value).alias("shape")).where("shape is not null")
+    exact = shapes.groupBy("shape").agg(F.min(offset).alias("first_offset"), F.count(F.lit(1)).alias("n"))
+    # one row per distinct shape from here on
+    named = exact.withColumn("names", F.col("shape.field"))
+    typed = named.select("names", F.explode("shape").alias("f")).where("f.type <> 'null'").groupBy("names", "f.field").agg(
+        F.min("f.type").alias("type"), F.count_distinct("f.type").alias("types")).where("types = 1")
+    known = typed.groupBy("names").agg(F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("known"))
+    filled = named.join(known, "names", "left").withColumn("fields", F.transform("shape", lambda f: F.concat_ws(
+        " ", f["field"], F.when(f["type"] == "null", F.coalesce(F.try_element_at("known", f["field"]), f["type"])).otherwise(f["type"]))))
+    found = filled.groupBy("fields").agg(F.min("first_offset").alias("first_offset"), F.sum("n").alias("n"))
+    ranked = with_running(found, [], ["first_offset"], {"version": running_count()}, dense=False)
+    return ranked.select("version", F.sha2(F.array_join("fields", ","), 256).alias("fingerprint"), "fields", "first_offset", "n")
+
+
+def field_changes(registry: DataFrame, reader: Schema) -> DataFrame:
+    """What changes from version to version, judged by :func:`problems`: ``version, field, change, problem``.
+
+    A change is ``added``, ``removed`` or ``retyped``; ``problem`` is null if a reader of the new version
+    can read the old one.  Fields with a default in ``reader`` have one in every version.
     """
-    order = Window.orderBy("version")
-    shape = F.split("fields", ",")
-    steps = registry.select("version", shape.alias("now"), F.lag(shape).over(order).alias("before"))
-    added = F.transform(F.array_except("now", "before"), lambda f: F.struct(f.alias("field"), F.lit("added").alias("change")))
-    removed = F.transform(F.array_except("before", "now"), lambda f: F.struct(f.alias("field"), F.lit("removed").alias("change")))
-    rows = steps.where(F.col("before").isNotNull()).select("version", F.explode(F.concat(added, removed)).alias("c"))
-    accepted = (F.col("c.change") == "removed") | F.col("c.field").isin(list(defaults))
-    return rows.select("version", "c.field", "c.change", accepted.alias("accepted"))
+    now = registry.select("version", F.col("fields").alias("now"))
+    before = registry.select((F.col("version") + 1).alias("version"), F.col("fields").alias("before"))
+
+    def schema_of(fields: list[str]) -> Schema:
+        typed = dict(f.split(" ", 1) for f in fields)
+        return {n: Field(t, reader[n].default if n in reader else REQUIRED) for n, t in typed.items()}
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for version, new, old in zip(*(c.to_pylist() for c in batch.columns)):
+                writer, now_schema = schema_of(old), schema_of(new)
+                found = dict(problems(writer, now_schema))
+                for name in sorted(writer.keys() | now_schema.keys()):
+                    change = ("added" if name not in writer else "removed" if name not in now_schema
+                              else "retyped" if writer[name].type != now_schema[name].type else None)
+                    if change:
+                        rows.append((version, name, change, found.get(name)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))],
+                names=["version", "field", "change", "problem"])
+
+    return now.join(before, "version").select("version", "now", "before").mapInArrow(
+        judge, "version bigint, field string, change string, problem string")

@@ -76,40 +76,69 @@ def table_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-# The reader's schema; earlier versions lack the last one or the last two fields.
-PERSON_V3 = {
-    "regdt": Field("string"),
-    "address": Field("string", "N/A"),
-    "company": Field("string", "N/A"),
+# The reader's schema; earlier versions lack some of the last fields.
+READER = {
+    "at": Field("string"),
+    "kind": Field("string", "none"),
+    "score": Field("double", -1.0),
+    "visitor": Field("string", "nobody"),
 }
 
 
 def _versioned(spark, sf_dir):
-    """Event messages written with three schema versions, a new one every ten days."""
-    regdt = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("regdt")
-    address, company = F.col("event_type").alias("address"), F.col("user_id").cast("string").alias("company")
+    """Event messages of four schema versions, a new one every eight days; the last one changes a type.
+
+    Some messages have a null field, some are tombstones, and some are no JSON.
+    """
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")
+    kind = F.when(F.col("event_id") % 50 != 0, F.col("event_type")).alias("kind")
+    score, visitor = F.col("value").alias("score"), F.col("user_id").alias("visitor")
     day = F.dayofmonth("ts")
+
+    def record(*fields):
+        return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
     value = (
-        F.when(day <= 10, F.to_json(F.struct(regdt)))
-        .when(day <= 20, F.to_json(F.struct(regdt, address)))
-        .otherwise(F.to_json(F.struct(regdt, address, company)))
+        F.when(F.col("event_id") % 101 == 0, F.lit(None))
+        .when(F.col("event_id") % 97 == 0, F.lit('{"at": "cut off'))
+        .when(day <= 8, record(at, kind))
+        .when(day <= 16, record(at, kind, score))
+        .when(day <= 24, record(at, kind, score, visitor))
+        .otherwise(record(at, kind, score, visitor.cast("string").alias("visitor")))
     )
     return events(spark, sf_dir).select(F.col("event_id").alias("offset"), value.alias("value"))
 
 
-@query("schema_evolve", """
-    select event_id as "offset", strftime(ts, '%Y-%m-%d %H:%M:%S') as regdt,
-           case when day(ts) > 10 then event_type else 'N/A' end as address,
-           case when day(ts) > 20 then user_id::varchar else 'N/A' end as company from events
+_SOUND = "event_id % 101 <> 0 and event_id % 97 <> 0"
+
+
+@query("schema_evolve", f"""
+    select event_id as "offset", strftime(ts, '%Y-%m-%d %H:%M:%S') as at,
+           case when event_id % 50 <> 0 then event_type end as kind,
+           case when day(ts) > 8 then value else -1 end as score,
+           case when day(ts) > 16 then user_id::varchar else 'nobody' end as visitor
+    from events where {_SOUND}
 """)
 def schema_evolve(spark, sf_dir):
-    """Messages of all versions read with the newest schema."""
-    return evolve.read_as(_versioned(spark, sf_dir), PERSON_V3)
+    """Messages of all versions read with the newest schema; a null stays null."""
+    return evolve.read_as(_versioned(spark, sf_dir), READER)
+
+
+@query("schema_unreadable", f"""
+    select event_id as "offset", case when event_id % 101 = 0 then 'tombstone' else 'malformed' end as problem
+    from events where not ({_SOUND})
+""")
+def schema_unreadable(spark, sf_dir):
+    """What is no record is kept apart, not read as a record of defaults."""
+    return evolve.unreadable(_versioned(spark, sf_dir), READER).select("offset", "problem")
 
 
-_SHAPES_SQL = """
-    shapes as (select case when day(ts) <= 10 then 'regdt' when day(ts) <= 20 then 'address,regdt'
-                      else 'address,company,regdt' end as fields, event_id from events),
+_SHAPES_SQL = f"""
+    shapes as (select case when day(ts) <= 8 then 'at string,kind string'
+                      when day(ts) <= 16 then 'at string,kind string,score double'
+                      when day(ts) <= 24 then 'at string,kind string,score double,visitor bigint'
+                      else 'at string,kind string,score double,visitor string' end as fields, event_id
+               from events where {_SOUND}),
     registry as (select row_number() over (order by min(event_id)) as version, sha256(fields) as fingerprint,
                         fields, min(event_id) as first_offset, count(*) as n from shapes group by fields)
 """
@@ -119,26 +148,31 @@ _SHAPES_SQL = """
     with {_SHAPES_SQL} select * from registry
 """)
 def schema_versions(spark, sf_dir):
-    """The registry of schemas found in the messages: one version per distinct set of fields."""
-    return evolve.schema_registry(_versioned(spark, sf_dir), "offset")
+    """The registry of schemas found in the messages: one version per distinct set of typed fields."""
+    found = evolve.schema_registry(_versioned(spark, sf_dir), "offset")
+    return found.withColumn("fields", F.array_join("fields", ","))
 
 
 @query("schema_compat", f"""
     with {_SHAPES_SQL},
-    steps as (select version, string_split(fields, ',') as now,
-                     lag(string_split(fields, ',')) over (order by version) as before from registry),
-    diffs as (
-        select version, unnest(list_filter(now, lambda f: not list_contains(before, f))) as field,
-               'added' as change from steps where before is not null
-        union all
-        select version, unnest(list_filter(before, lambda f: not list_contains(now, f))), 'removed'
-        from steps where before is not null)
-    select version, field, change, change = 'removed' or field = 'address' as accepted from diffs
+    fields as (select version, split_part(f, ' ', 1) as field, split_part(f, ' ', 2) as type
+               from (select version, unnest(string_split(fields, ',')) as f from registry)),
+    steps as (select unnest(generate_series(2, (select max(version) from registry))) as version),
+    pairs as (
+        select s.version, coalesce(n.field, o.field) as field, n.type as now, o.type as before
+        from steps s cross join (select distinct field from fields) a
+        left join fields n on n.version = s.version and n.field = a.field
+        left join fields o on o.version = s.version - 1 and o.field = a.field)
+    select version, field,
+           case when before is null then 'added' when now is null then 'removed' else 'retyped' end as change,
+           case when before is null and field <> 'score' then 'READER_FIELD_MISSING_DEFAULT_VALUE'
+                when now <> before and not (before = 'bigint' and now = 'double') then 'TYPE_MISMATCH' end as problem
+    from pairs where now is distinct from before
 """)
 def schema_compat(spark, sf_dir):
-    """Changes from version to version when only ``address`` has a default."""
+    """Changes from version to version when only ``score`` has a default, judged by the write guard's rule."""
     registry = evolve.schema_registry(_versioned(spark, sf_dir), "offset")
-    return evolve.field_changes(registry, defaults=["address"])
+    return evolve.field_changes(registry, {"score": READER["score"]})
 
 
 _LINES_SQL = """

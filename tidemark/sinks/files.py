@@ -56,7 +56,7 @@ def write_time_partitioned(
 
 def write_log_lines(df: DataFrame, path: str, lines_per_file: int = 1_000_000, mode: str = "append") -> None:
     """Each row as one JSON text line; a new file starts after ``lines_per_file`` lines."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).option(
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).option(
         "maxRecordsPerFile", lines_per_file
     ).text(path)
 

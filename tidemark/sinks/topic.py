@@ -27,7 +27,7 @@ def routed(df: DataFrame, prefix: str = "", table: str | None = None, topic: str
 def encode(df: DataFrame, fields: Sequence[str], key: Column | None = None) -> DataFrame:
     """Add ``key`` and the row's fields as a JSON ``value``."""
     key = F.lit(None).cast("string") if key is None else key
-    return df.withColumns({"key": key, "value": F.to_json(F.struct(*fields))})
+    return df.withColumns({"key": key, "value": F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})})
 
 
 def write_topic(

@@ -28,7 +28,7 @@ def changes(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def to_messages(envelopes: DataFrame, *also: str) -> DataFrame:
     """Envelopes as JSON message values, with further columns kept."""
-    return envelopes.select(*also, F.to_json(F.struct("before", "after", "op")).alias("value"))
+    return envelopes.select(*also, F.to_json(F.struct("before", "after", "op"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def flatten(messages: DataFrame, row: str, *also: str) -> DataFrame:

@@ -105,7 +105,7 @@ def chosen_tables(
 def scan_tables(read: TableReader, tables: Iterable[str], prefix: str = "") -> DataFrame:
     """All rows of several tables as messages ``topic, value``: one topic per table."""
     parts = [
-        read(t).select(F.lit(prefix + t).alias("topic"), F.to_json(F.struct("*")).alias("value"))
+        read(t).select(F.lit(prefix + t).alias("topic"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
         for t in tables
     ]
     return reduce(DataFrame.unionByName, parts)

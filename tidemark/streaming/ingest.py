@@ -20,7 +20,7 @@ def stream_time_partitioned(
     """Stream rows to time-partitioned gzip JSON; a restart with the same checkpoint goes on exactly once."""
     laid, fields = time_partitioned(rows, ts, offset, zone, flush_size, unit)
     writer = (
-        laid.writeStream.format("json").option("path", path).option("compression", "gzip")
+        laid.writeStream.format("json").option("path", path).option("compression", "gzip").option("ignoreNullFields", "false")
         .option("maxRecordsPerFile", flush_size).partitionBy(*fields)
     )
     finish(writer, checkpoint)
