@@ -110,3 +110,21 @@ def test_null_keys_and_null_values(spark):
     assert rows(got, "seq", "v") == [(1, None), (3, "y"), (5, "y")]
     got = j.asof_join(p, e, ["id"], ["seq"], ["v"], ignore_nulls=False)
     assert rows(got, "seq", "v") == [(1, None), (3, "y"), (5, None)]
+
+
+@pytest.mark.parametrize("hot", [1, 7, 40, 10**9])
+def test_within_join_is_the_same_for_any_grid(spark, hot):
+    """One busy key inside one bucket, rows equal in all columns, null keys."""
+    left = spark.range(120).selectExpr("if(id < 90, 1, id % 5) as k", "timestamp_seconds(1000 + id div 4) as at", "id div 3 as l")
+    right = spark.range(150).selectExpr("if(id < 100, 1, nullif(id % 4, 0)) as k", "timestamp_seconds(1000 + id div 6) as seen", "id as r")
+    got = j.within_join(left, right, ["k"], "at", "seen", "5 seconds", hot_rows=hot)
+    plain = left.join(right, "k").where("abs(unix_seconds(at) - unix_seconds(seen)) <= 5")
+    assert got.columns == plain.columns and rows(got) == rows(plain)
+
+
+def test_a_busy_bucket_is_spread_over_tasks(spark):
+    left = spark.range(4000).selectExpr("1 as k", "timestamp_seconds(1000) as at", "id as l")
+    right = spark.range(50).selectExpr("1 as k", "timestamp_seconds(1000) as seen", "id as r")
+    got = j.within_join(left, right, ["k"], "at", "seen", "5 seconds", hot_rows=500)
+    sizes = [r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 150_000

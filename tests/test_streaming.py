@@ -183,3 +183,17 @@ def test_sink_restart(spark):
             stream_time_partitioned(log, f"{root}/objects", f"{root}/cp", "timestamp", "offset", flush_size=20)
     got = read_json_lines(spark, f"{root}/objects", "offset bigint, value string")
     assert rows(got, "offset") == [(i,) for i in range(120)]
+
+
+def test_resuming_opens_only_what_is_left(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    write_topic(messages(spark, 0, 400), path=path)
+    log = read_topic(spark, path=path)
+    assert log.count() == 400 and read_topic(spark, ["odd"], path=path).count() == 200
+    start = {"even": {p: 300 for p in range(12)}}
+    rest = read_topic(spark, ["even"], path=path, start=start)
+    assert rest.count() == log.where("topic = 'even' and offset >= 300").count() > 0
+    assert read_topic(spark, path=path, start=start).count() == rest.count() + 200
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "topic" in scan.split("PushedFilters")[0] and "GreaterThanOrEqual(offset," in scan.split("PushedFilters")[1]

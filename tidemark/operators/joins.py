@@ -15,16 +15,21 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import earliest_by_offset, has_key, latest_by_offset
 from tidemark.operators.running import running_last, with_running
-from tidemark.operators.skew import lookup_join
+from tidemark.operators.skew import COUNT, HOT_ROWS, hot_keys, lookup_join
+
 
 def within_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, within: str
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, within: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Inner join of rows with equal keys whose times differ by at most ``within``.
 
     Time is cut into buckets of twice the bound.  Each right row is copied to the
     (two) buckets its matches can lie in, so a key is compared bucket by bucket and
-    every pair is met once.  Works on batches and on streams with watermarks.
+    every pair is met once.  A key that is busy inside one bucket is cut into a grid: the
+    rows of either side are dealt to its rows or columns by hash, and copied along the
+    other direction, so no task gets more than about ``hot_rows`` of them.  Works on batches and on
+    streams with watermarks; what a stream will bring cannot be counted, so there buckets stay whole.
     """
     span = F.expr(f"interval {within}")
     bound = F.unix_micros(F.timestamp_micros(F.lit(0)) + span)
@@ -39,7 +44,27 @@ def within_join(
         "__bucket", F.explode(F.sequence(bucket(at - bound), bucket(at + bound)))
     )
     near = (F.col(right_ts) >= F.col(left_ts) - span) & (F.col(right_ts) <= F.col(left_ts) + span)
-    return cut_left.join(cut_right, [*on, "__bucket"]).where(near).drop("__bucket")
+    keys = [*on, "__bucket"]
+    if left.isStreaming or right.isStreaming:
+        return cut_left.join(cut_right, keys).where(near).drop("__bucket")
+    grid = ["__i", "__j"]
+    for number, side in zip(grid, (cut_left, cut_right)):
+        hot = hot_keys(side, keys, hot_rows)
+        if hot is not None:
+            parts = F.broadcast(hot.select(*keys, F.ceil(F.col(COUNT) / F.lit(hot_rows)).cast("int").alias(f"{number}_n")))
+            cut_left, cut_right = (s.join(parts, keys, "left") for s in (cut_left, cut_right))
+    if cut_left.columns == [*left.columns, "__bucket"]:
+        return cut_left.join(cut_right, keys).where(near).drop("__bucket")
+
+    def placed(side: DataFrame, own: str, columns: Sequence[str]) -> DataFrame:
+        for number in grid:
+            n = F.coalesce(F.col(f"{number}_n"), F.lit(1)) if f"{number}_n" in side.columns else F.lit(1)
+            place = F.pmod(F.xxhash64(*columns), n).cast("int") if number == own else F.explode(F.sequence(F.lit(0), n - 1))
+            side = side.withColumn(number, place)
+        return side.drop(*[f"{number}_n" for number in grid])
+
+    cut_left, cut_right = placed(cut_left, "__i", left.columns), placed(cut_right, "__j", right.columns)
+    return cut_left.join(cut_right, [*keys, *grid]).where(near).drop("__bucket", *grid)
 
 
 def join_latest(

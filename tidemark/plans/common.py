@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import topic_partition
+from tidemark.session import fresh_dir
+from tidemark.sinks.topic import write_topic
 from tidemark.sources.tables import parquet_tables
 
 EVENT_SCHEMA = (
@@ -42,6 +44,13 @@ def event_log(spark: SparkSession, sf_dir: str, partitions: int = 12) -> DataFra
     )
 
 
+def stored_log(spark: SparkSession, sf_dir: str, partitions: int = 12) -> str:
+    """The folder of a topic log that the events were written to."""
+    path = fresh_dir(spark, "topic")
+    write_topic(event_log(spark, sf_dir, partitions), path=path)
+    return path
+
+
 VALUE_SQL = (
     "to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type, 'value': value})::varchar"
 )

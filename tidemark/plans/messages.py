@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsonfn, textfn, timefn
 from tidemark.operators.aggregates import tumbling_count
-from tidemark.plans.common import STAMP_SQL, VALUE_SQL, event_log, events, log_lines, table, window_start
+from tidemark.plans.common import STAMP_SQL, VALUE_SQL, event_log, events, log_lines, stored_log, table, window_start
 from tidemark.plans.registry import query
 from tidemark.sinks import topic as sink
 from tidemark.sources import tables as tab
@@ -18,7 +18,7 @@ from tidemark.sources import topic as src
            user_id::varchar as key, {VALUE_SQL} as value from events
 """)
 def topic_scan(spark, sf_dir):
-    log = event_log(spark, sf_dir)
+    log = src.read_topic(spark, path=stored_log(spark, sf_dir))
     return log.select("topic", "offset", F.unix_micros("timestamp").alias("ts_us"), "key", "value")
 
 
@@ -27,15 +27,14 @@ def topic_scan(spark, sf_dir):
     where event_type in ('click', 'purchase') group by 1
 """)
 def topic_multi_count(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    return src.message_counts(log.where(F.col("topic").isin("click", "purchase")))
+    return src.message_counts(src.read_topic(spark, ["click", "purchase"], path=stored_log(spark, sf_dir)))
 
 
 @query("topic_count", """
     select event_type as topic, count(*) as n from events group by 1
 """)
 def topic_count(spark, sf_dir):
-    return src.message_counts(event_log(spark, sf_dir))
+    return src.message_counts(src.read_topic(spark, path=stored_log(spark, sf_dir)))
 
 
 @query("table_count", """
@@ -52,19 +51,18 @@ def table_count(spark, sf_dir):
 
 
 @query("topic_resume", """
-    with half as (select event_type, max(event_id) // 2 as mark from events group by 1),
-         done as (select e.event_type, max(e.event_id) + 1 as next from events e
-                  join half h on e.event_type = h.event_type and e.event_id <= h.mark group by 1)
+    with half as (select event_type, max(event_id) // 2 as mark from events group by 1)
     select e.event_type as topic, e.event_id as "offset" from events e
-    join done d on e.event_type = d.event_type and e.event_id >= d.next
+    join half h on e.event_type = h.event_type and e.event_id > h.mark
 """)
 def topic_resume(spark, sf_dir):
     """A group that had read the first half of each topic goes on from its committed offsets."""
-    log = event_log(spark, sf_dir, partitions=1).select("topic", F.lit(0).alias("partition"), "offset")
+    path = stored_log(spark, sf_dir)
+    log = src.read_topic(spark, path=path)
     halves = {r.topic: r.m // 2 for r in log.groupBy("topic").agg(F.max("offset").alias("m")).collect()}
     upto = F.create_map(*[F.lit(x) for kv in halves.items() for x in kv])
     committed = src.next_offsets(log.where(F.col("offset") <= upto[F.col("topic")]))
-    return log.where(src.not_before(committed)).select("topic", "offset")
+    return src.read_topic(spark, path=path, start=committed).select("topic", "offset")
 
 
 @query("topic_encode", """

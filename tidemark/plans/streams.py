@@ -21,9 +21,6 @@ from tidemark.streaming import operators as ops
 from tidemark.streaming.changelog import materialise
 from tidemark.streaming.run import append_to, keep_state_on_disk, stream_files
 
-KINDS = ["click", "error", "purchase", "signup", "view"]
-
-
 def event_stream(spark, sf_dir):
     keep_state_on_disk(spark)
     return stream_files(spark, f"{sf_dir.rstrip('/')}/events*.parquet", EVENT_SCHEMA)
@@ -97,7 +94,7 @@ def stream_resume(spark, sf_dir):
     half = log.agg(F.max("offset")).first()[0] // 2
     for part in (log.where(F.col("offset") <= half), log.where(F.col("offset") > half)):
         write_topic(part, path=f"{root}/topic")
-        stream = read_topic(spark, KINDS, path=f"{root}/topic", stream=True)
+        stream = read_topic(spark, path=f"{root}/topic", stream=True)
         done = append_to(stream, f"{root}/out", f"{root}/checkpoint")
     return done.select("topic", "offset", "key", "value")
 
@@ -114,7 +111,7 @@ def sink_restart(spark, sf_dir):
     half = log.agg(F.max("offset")).first()[0] // 2
     for part in (log.where(F.col("offset") <= half), log.where(F.col("offset") > half)):
         write_topic(part, path=f"{root}/topic")
-        stream = read_topic(spark, KINDS, path=f"{root}/topic", stream=True)
+        stream = read_topic(spark, path=f"{root}/topic", stream=True)
         ingest.stream_time_partitioned(
             stream, f"{root}/objects", f"{root}/checkpoint", "timestamp", "offset", unit="day")
     lines = read_json_lines(
@@ -161,7 +158,7 @@ def reconcile_sink(spark, sf_dir):
     root = fresh_dir(spark, "reconcile")
     source = event_log(spark, sf_dir, partitions=4)
     write_topic(source, path=f"{root}/topic")
-    stream = read_topic(spark, KINDS, path=f"{root}/topic", stream=True)
+    stream = read_topic(spark, path=f"{root}/topic", stream=True)
     ingest.stream_time_partitioned(
         stream, f"{root}/objects", f"{root}/checkpoint", "timestamp", "offset", unit="day")
     lines = read_json_lines(spark, f"{root}/objects", TOPIC_SCHEMA, partitions=time_partition_schema("day"))

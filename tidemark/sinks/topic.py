@@ -34,7 +34,10 @@ def write_topic(
     messages: DataFrame, *, path: str | None = None, brokers: str | None = None,
     compression: str = "snappy", rows_per_file: int = 5_000_000,
 ) -> None:
-    """Append messages to a folder of parquet files or to a broker."""
+    """Append messages to a folder of parquet files, one folder per topic and partition, or to a broker.
+
+    A busy partition is written by many tasks, ``rows_per_file`` offsets each.
+    """
     if brokers is not None:
         out = messages.select("topic", "key", "value").write.format("kafka")
         out.option("kafka.bootstrap.servers", brokers).option(
@@ -42,5 +45,7 @@ def write_topic(
         ).save()
         return
     cols = ["topic", "partition", "offset", "timestamp", "key", "value"]
-    out = messages.select(*cols).write.mode("append").option("maxRecordsPerFile", rows_per_file)
+    block = F.floor(F.col("offset") / rows_per_file)
+    laid = messages.select(*cols).repartition("topic", "partition", block)
+    out = laid.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("topic", "partition")
     out.option("compression", compression).parquet(path)

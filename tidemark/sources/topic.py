@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from itertools import chain
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ Offsets = Mapping[str, Mapping[int, int]]
 
 def read_topic(
     spark: SparkSession,
-    topics: Sequence[str],
+    topics: Sequence[str] | None = None,
     *,
     path: str | None = None,
     brokers: str | None = None,
@@ -33,11 +33,15 @@ def read_topic(
 ) -> DataFrame:
     """Scan topics from a folder (``path``) or a broker (``brokers``), as a batch or a stream.
 
+    Without ``topics`` a folder is read with all topics it has or gets.  Topics and partitions
+    are folders, so those that are not asked for are not opened, and offsets are pushed to the scan.
     ``start`` is "earliest", "latest" (streams of a broker only), or the next
     offset per topic and partition.  Topics missing from that map start at 0.
     """
     reader = spark.readStream if stream else spark.read
     if brokers is not None:
+        if topics is None:
+            raise ValueError("name the topics of a broker")
         source = reader.format("kafka").options(**broker_options(brokers, topics, start), **options).load()
         return source.select(
             "topic", "partition", "offset", "timestamp",
@@ -50,7 +54,9 @@ def read_topic(
     if stream and files_per_trigger:
         options["maxFilesPerTrigger"] = files_per_trigger
     log = reader.schema(TOPIC_SCHEMA).options(**options).parquet(path)
-    log = log.where(F.col("topic").isin(list(topics)))
+    log = log.select("topic", "partition", "offset", "timestamp", "key", "value")
+    if topics is not None:
+        log = log.where(F.col("topic").isin(list(topics)))
     return log if start == "earliest" else log.where(not_before(start))
 
 
@@ -65,13 +71,18 @@ def broker_options(brokers: str, topics: Sequence[str], start: str | Offsets) ->
 
 
 def not_before(start: Offsets) -> Column:
-    """Filter: the message's offset is at or after the next offset of its partition."""
-    places = [(f"{t}/{p}", o) for t, parts in start.items() for p, o in parts.items()]
+    """Filter: the message's offset is at or after the next offset of its partition.
+
+    One plain term per partition, and one for partitions that ``start`` does not name, which start at 0; a
+    scan takes the folders to open and the least offset to read from it.
+    """
+    places = [(t, p, o) for t, parts in start.items() for p, o in parts.items()]
     if not places:
         return F.lit(True)
-    marks = F.create_map(*[F.lit(x) for x in chain.from_iterable(places)])
-    place = F.concat_ws("/", "topic", "partition")
-    return F.col("offset") >= F.coalesce(F.try_element_at(marks, place).cast("bigint"), F.lit(0))
+    here = [(F.col("topic") == t) & (F.col("partition") == p) for t, p, _ in places]
+    terms = [h & (F.col("offset") >= o) for h, (_, _, o) in zip(here, places)]
+    other = reduce(lambda a, b: a & b, [~h for h in here]) & (F.col("offset") >= 0)
+    return reduce(lambda a, b: a | b, terms) | other
 
 
 def next_offsets(log: DataFrame) -> dict[str, dict[int, int]]:
