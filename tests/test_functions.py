@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, jsonfn, textfn, timefn
+from tidemark.plans.common import LINE_FIELDS, LINE_RECORD
 
 
 def murmur(data: bytes) -> int:
@@ -56,33 +57,39 @@ def test_json_concat(spark):
         assert (None if merged is None else json.loads(merged)) == cases[i][2]
 
 
-NESTED = (
-    '2022-10-05 09:20:35,688 {"Header": {"TranId": "t-1", "Actor": {"WorldId": 10, "CharName": "hs m"}}, '
-    '"Body": {"Action": "CharLogin", "Infos": [{"Domain": "LoginOut", "Deep": {"x": [1]}}]}}'
+LINE = (
+    '2031-02-28 23:59:01,007 {"meta": {"trace": "q7", "visitor": {"number": 31, "label": "ann b"}}, '
+    '"event": {"verb": "dock", "parts": [{"area": "north", "more": {"y": [2, 3]}}, {"area": "south"}]}}'
 )
 
 
 def test_flatten_log_line(spark):
-    df = spark.createDataFrame([(NESTED,), ("2022-10-05 09:20:35,688 no json",)], "line string")
-    good, bad = jsonfn.flatten_log_lines(df, "line").collect()
-    assert good.RegDate == "2022-10-05 09:20:35,688" and good.TranId == "t-1" and good.Action == "CharLogin"
-    assert good.Actor == {"WorldId": "10", "CharName": "hs m"}
-    assert good.Info0["Domain"] == "LoginOut" and json.loads(good.Info0["Deep"]) == {"x": [1]}
-    assert bad.RegDate == "2022-10-05 09:20:35,688" and bad.Action is None and bad.Info0 is None
+    df = spark.createDataFrame([(LINE,), ("2031-02-28 23:59:01,007 no json",)], "line string")
+    good, bad = jsonfn.flatten_log_lines(df, "line", LINE_RECORD, LINE_FIELDS).collect()
+    assert (good.stamp, good.trace, good.verb) == ("2031-02-28 23:59:01,007", "q7", "dock")
+    assert good.visitor == {"number": "31", "label": "ann b"}
+    assert good.part["area"] == "north" and json.loads(good.part["more"]) == {"y": [2, 3]}
+    assert bad.stamp == good.stamp and bad.verb is None and bad.part is None
+
+
+def test_flatten_takes_any_record(spark):
+    df = spark.createDataFrame([('12:30 {"a": {"b": [5, 6]}, "c": "x"}',)], "line string")
+    got = jsonfn.flatten_log_lines(df, "line", "struct<a:struct<b:array<int>>,c:string>", {"last": "a.b[1]", "c": "c"}, "at", 6)
+    assert rows(got) == [("12:30", 6, "x")]
 
 
 def test_flatten_equals_field_by_field_reading(spark):
-    df = spark.createDataFrame([(NESTED,)], "line string")
+    df = spark.createDataFrame([(LINE,)], "line string")
     stamp, body = jsonfn.split_log_line(F.col("line"))
-    msg = jsonfn.json_concat(F.concat(F.lit('{"RegDate": "'), stamp, F.lit('"}')), body)
+    msg = jsonfn.json_concat(F.concat(F.lit('{"stamp": "'), stamp, F.lit('"}')), body)
     one = df.select(msg.alias("m")).select(
-        jsonfn.json_field(F.col("m"), "$.RegDate"),
-        jsonfn.json_field(F.col("m"), "$.Header.TranId"),
-        jsonfn.json_records(jsonfn.json_field(F.col("m"), "$.Header.Actor")),
-        jsonfn.json_field(F.col("m"), "$.Body.Action"),
-        jsonfn.json_records(jsonfn.json_field(jsonfn.json_field(F.col("m"), "$.Body.Infos"), "$[0]")),
+        jsonfn.json_field(F.col("m"), "$.stamp"),
+        jsonfn.json_field(F.col("m"), "$.meta.trace"),
+        jsonfn.json_records(jsonfn.json_field(F.col("m"), "$.meta.visitor")),
+        jsonfn.json_field(F.col("m"), "$.event.verb"),
+        jsonfn.json_records(jsonfn.json_field(jsonfn.json_field(F.col("m"), "$.event.parts"), "$[0]")),
     ).first()
-    assert tuple(one) == tuple(jsonfn.flatten_log_lines(df, "line").first())
+    assert tuple(one) == tuple(jsonfn.flatten_log_lines(df, "line", LINE_RECORD, LINE_FIELDS).first())
 
 
 def test_payload_fields_skip_absent_ones(spark):

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# One parse of a nested log line: values of the two record levels stay text.
-LOG_LINE = (
-    "struct<Header:struct<TranId:string,Actor:map<string,string>>,"
-    "Body:struct<Action:string,Infos:array<map<string,string>>>>"
-)
-
 TEXT_MAP = "map<string,string>"
 
 
 def json_field(text: Column, path: str) -> Column:
-    """The value at a JSON path such as ``$.Body.Infos[0]``, as text."""
+    """The value at a JSON path such as ``$.event.parts[0]``, as text."""
     return F.get_json_object(text, path)
 
 
@@ -65,14 +59,15 @@ def split_log_line(line: Column, stamp_chars: int = 24) -> tuple[Column, Column]
     return F.trim(F.substring(line, 1, stamp_chars)), F.substring(line, stamp_chars + 1, 2**31 - 1)
 
 
-def flatten_log_lines(df: DataFrame, line: str) -> DataFrame:
-    """``RegDate, TranId, Actor, Action, Info0`` of nested log lines, parsed once per line."""
-    stamp, body = split_log_line(F.col(line))
-    parsed = df.select(stamp.alias("RegDate"), F.from_json(body, LOG_LINE).alias("doc"))
-    return parsed.select(
-        "RegDate",
-        F.col("doc.Header.TranId").alias("TranId"),
-        F.col("doc.Header.Actor").alias("Actor"),
-        F.col("doc.Body.Action").alias("Action"),
-        F.get(F.col("doc.Body.Infos"), 0).alias("Info0"),
-    )
+def flatten_log_lines(
+    df: DataFrame, line: str, record: str, fields: Mapping[str, str], stamp: str = "stamp", stamp_chars: int = 24
+) -> DataFrame:
+    """The time and the wanted fields of nested log lines, each line parsed once.
+
+    ``record`` is the type of a line's JSON object; objects inside it that are declared as
+    ``map<string,string>`` keep their values as text.  ``fields`` names the columns and
+    gives each as an SQL path into the record, such as ``event.parts[0]``.
+    """
+    time, body = split_log_line(F.col(line), stamp_chars)
+    parsed = df.select(time.alias(stamp), F.from_json(body, record).alias("doc"))
+    return parsed.select(stamp, *[F.expr(f"doc.{path}").alias(name) for name, path in fields.items()])

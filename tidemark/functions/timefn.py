@@ -23,9 +23,14 @@ def from_epoch_ms(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 
 
-def shifted_label(ts: Column, minutes: int, pattern: str) -> Column:
-    """``ts`` moved by whole minutes, written with a date pattern."""
-    return F.date_format(ts + F.make_interval(mins=F.lit(minutes)), pattern)
+def local_time(ts: Column, zone: str) -> Column:
+    """The zone's wall clock at an instant, whatever the session's zone is."""
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz"))
+
+
+def shifted_label(ts: Column, minutes: int, pattern: str, zone: str = "UTC") -> Column:
+    """``ts`` moved by whole minutes, written with a date pattern in the zone's time."""
+    return F.date_format(local_time(ts + F.make_interval(mins=F.lit(minutes)), zone), pattern)
 
 
 def day_range(first: str, last: str) -> Column:

@@ -60,21 +60,25 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as nested log lines: a 23-character time, a blank, and a JSON object."""
     doc = F.to_json(F.struct(
         F.struct(
-            F.md5(F.col("event_id").cast("string")).alias("TranId"),
+            F.md5(F.col("event_id").cast("string")).alias("trace"),
             F.struct(
-                F.col("user_id").alias("UserId"),
-                F.concat(F.lit("char"), F.col("user_id").cast("string")).alias("CharName"),
-            ).alias("Actor"),
-        ).alias("Header"),
+                F.col("user_id").alias("number"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("label"),
+            ).alias("visitor"),
+        ).alias("meta"),
         F.struct(
-            F.col("event_type").alias("Action"),
-            F.array(F.struct(
-                F.upper("event_type").alias("Domain"), F.col("value").alias("Amount"),
-            )).alias("Infos"),
-        ).alias("Body"),
+            F.col("event_type").alias("verb"),
+            F.array(F.struct(F.upper("event_type").alias("area"), F.col("value").alias("amount"))).alias("parts"),
+        ).alias("event"),
     ))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS")
     return events(spark, sf_dir).select("event_id", "props", F.concat(stamp, F.lit(" "), doc).alias("line"))
 
 
+# The record type of a line, and its flat columns.
+LINE_RECORD = (
+    "struct<meta:struct<trace:string,visitor:map<string,string>>,"
+    "event:struct<verb:string,parts:array<map<string,string>>>>"
+)
+LINE_FIELDS = {"trace": "meta.trace", "visitor": "meta.visitor", "verb": "event.verb", "part": "event.parts[0]"}
+
 STAMP_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S,%g')"

@@ -178,7 +178,7 @@ def rotated_union(spark, sf_dir):
     now = datetime(1998, 6, 1, 0, 1)  # one minute after the rotation
     lines.where(F.col("l_shipdate") < cut).select(*cols).createOrReplaceTempView(f"{name}_010000")
     lines.where(F.col("l_shipdate") >= cut).select(*cols).createOrReplaceTempView(name)
-    return shards.rotated_scan(spark, f"""
+    rotated = shards.rotated_scan(spark, f"""
         SELECT * FROM (
             SELECT 'closed' AS shard, * FROM {name}_{{{{ MinAddFmt -1 ddHHmm }}}}
             UNION ALL
@@ -187,6 +187,9 @@ def rotated_union(spark, sf_dir):
         -----
         SELECT 'current' AS shard, * FROM {name}
         """.replace("        -----", "-----"), now)
+    for view in (f"{name}_010000", name):
+        spark.catalog.dropTempView(view)  # the plan is resolved
+    return rotated
 
 
 @query("date_sharded_union", """

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsonfn, textfn, timefn
 from tidemark.operators.aggregates import tumbling_count
-from tidemark.plans.common import STAMP_SQL, VALUE_SQL, event_log, events, log_lines, stored_log, table, window_start
+from tidemark.plans.common import (
+    LINE_FIELDS, LINE_RECORD, STAMP_SQL, VALUE_SQL, event_log, events, log_lines, stored_log, table, window_start)
 from tidemark.plans.registry import query
 from tidemark.sinks import topic as sink
 from tidemark.sources import tables as tab
@@ -133,14 +134,14 @@ def query_scan(spark, sf_dir):
 @query("insert_values", f"""
     select event_type as topic, epoch_us(ts) as ts_us, user_id::varchar as key, {VALUE_SQL} as value
     from events
-    union all values ('click', 0, '3', '3-1'), ('click', 0, '4', null)
+    union all values ('refund', 1500, 'k17', '{{"paid":8}}'), ('refund', 1500, 'k18', null)
 """)
 def insert_values(spark, sf_dir):
     log = event_log(spark, sf_dir).select(
         "topic", F.unix_micros("timestamp").alias("ts_us"), "key", "value"
     )
     return src.insert_values(
-        log, [("click", 0, "3", "3-1"), ("click", 0, "4", None)],
+        log, [("refund", 1500, "k17", '{"paid":8}'), ("refund", 1500, "k18", None)],
         "topic string, ts_us bigint, key string, value string",
     )
 
@@ -189,65 +190,65 @@ def json_extract(spark, sf_dir):
     return log_lines(spark, sf_dir).select(
         "event_id",
         jsonfn.json_field(F.col("props"), "$.k").cast("bigint").alias("k"),
-        jsonfn.json_field(body, "$.Header.Actor.UserId").alias("actor_user"),
-        jsonfn.json_field(jsonfn.json_field(body, "$.Body.Infos"), "$[0].Domain").alias("domain"),
+        jsonfn.json_field(body, "$.meta.visitor.number").alias("actor_user"),
+        jsonfn.json_field(jsonfn.json_field(body, "$.event.parts"), "$[0].area").alias("domain"),
     )
 
 
 @query("json_flatten", f"""
     select {STAMP_SQL} as reg_date, md5(event_id::varchar) as tran_id, user_id::varchar as actor_user,
-           concat('char', user_id) as actor_name, event_type as action, upper(event_type) as info_domain,
+           concat('v', user_id) as actor_name, event_type as action, upper(event_type) as info_domain,
            value::varchar as info_amount from events
 """)
 def json_flatten(spark, sf_dir):
-    flat = jsonfn.flatten_log_lines(log_lines(spark, sf_dir), "line")
+    flat = jsonfn.flatten_log_lines(log_lines(spark, sf_dir), "line", LINE_RECORD, LINE_FIELDS)
     return flat.select(
-        F.col("RegDate").alias("reg_date"), F.col("TranId").alias("tran_id"),
-        F.col("Actor")["UserId"].alias("actor_user"), F.col("Actor")["CharName"].alias("actor_name"),
-        F.col("Action").alias("action"), F.col("Info0")["Domain"].alias("info_domain"),
-        F.col("Info0")["Amount"].alias("info_amount"),
+        F.col("stamp").alias("reg_date"), F.col("trace").alias("tran_id"),
+        F.col("visitor")["number"].alias("actor_user"), F.col("visitor")["label"].alias("actor_name"),
+        F.col("verb").alias("action"), F.col("part")["area"].alias("info_domain"),
+        F.col("part")["amount"].alias("info_amount"),
     )
 
 
 @query("json_concat", f"""
     with lines as (select *, {STAMP_SQL} as reg from events)
-    select event_id, json_extract_string(m, '$.RegDate') as reg_date,
+    select event_id, json_extract_string(m, '$.stamp') as reg_date,
            json_extract_string(m, '$.event_id')::bigint as id, json_extract_string(m, '$.k')::bigint as k,
            json_extract_string(m, '$.kind') as kind
     from (select event_id, json_merge_patch(json_merge_patch(
-            json_object('RegDate', reg, 'kind', 'raw'), props),
+            json_object('stamp', reg, 'kind', 'raw'), props),
             json_object('event_id', event_id, 'kind', event_type)) as m from lines)
 """)
 def json_concat(spark, sf_dir):
     rows = events(spark, sf_dir)
     head = F.to_json(F.struct(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("RegDate"), F.lit("raw").alias("kind")))
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS").alias("stamp"), F.lit("raw").alias("kind")))
     tail = F.to_json(F.struct("event_id", F.col("event_type").alias("kind")))
     parts = rows.select("event_id", "props", head.alias("head"), tail.alias("tail"))
     first = parts.select("event_id", "tail", jsonfn.json_concat(F.col("head"), F.col("props")).alias("m"))
     merged = first.select("event_id", jsonfn.json_concat(F.col("m"), F.col("tail")).alias("m"))
     return merged.select(
         "event_id",
-        F.from_json("m", "RegDate string, event_id bigint, k bigint, kind string").alias("d"),
+        F.from_json("m", "stamp string, event_id bigint, k bigint, kind string").alias("d"),
     ).select(
-        "event_id", F.col("d.RegDate").alias("reg_date"), F.col("d.event_id").alias("id"),
+        "event_id", F.col("d.stamp").alias("reg_date"), F.col("d.event_id").alias("id"),
         F.col("d.k").alias("k"), F.col("d.kind").alias("kind"),
     )
 
 
 @query("log_split", f"""
     select event_id, {STAMP_SQL} as reg_date,
-           concat('{{"RegDate": "', {STAMP_SQL}, '"}}') as head,
-           length(to_json({{'Header': {{'TranId': md5(event_id::varchar), 'Actor': {{'UserId': user_id,
-             'CharName': concat('char', user_id)}}}}, 'Body': {{'Action': event_type,
-             'Infos': [{{'Domain': upper(event_type), 'Amount': value}}]}}}})::varchar) as body_chars
+           concat('{{"stamp": "', {STAMP_SQL}, '"}}') as head,
+           length(to_json({{'meta': {{'trace': md5(event_id::varchar), 'visitor': {{'number': user_id,
+             'label': concat('v', user_id)}}}}, 'event': {{'verb': event_type,
+             'parts': [{{'area': upper(event_type), 'amount': value}}]}}}})::varchar) as body_chars
     from events
 """)
 def log_split(spark, sf_dir):
     stamp, body = jsonfn.split_log_line(F.col("line"))
     return log_lines(spark, sf_dir).select(
         "event_id", stamp.alias("reg_date"),
-        F.concat(F.lit('{"RegDate": "'), stamp, F.lit('"}')).alias("head"),
+        F.concat(F.lit('{"stamp": "'), stamp, F.lit('"}')).alias("head"),
         F.length(body).cast("bigint").alias("body_chars"),
     )
 

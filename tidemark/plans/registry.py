@@ -8,6 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import pin_utc
+from tidemark.streaming.run import STATE_PROVIDER
+
+#: Session settings that a query may change while its plan is made.
+SETTINGS = ("spark.sql.session.timeZone", STATE_PROVIDER)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +28,13 @@ def query(name: str, sql: str | None = None):
 
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            before = {name: spark.conf.get(name, None) for name in SETTINGS}
             pin_utc(spark)
-            return fn(spark, sf_dir)
+            try:
+                return fn(spark, sf_dir)  # expressions have taken the zone once they are resolved
+            finally:
+                for name, value in before.items():
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
         QUERIES[name] = run
         if sql is not None:

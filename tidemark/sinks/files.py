@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timefn import day_range
+from tidemark.functions.timefn import day_range, local_time
 
-# Path fields of a time-partitioned object and their date patterns.
-TIME_FIELDS = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH", "minute": "mm"}
+# Path fields of a time-partitioned object.
+TIME_FIELDS = {"year": F.year, "month": F.month, "day": F.day, "hour": F.hour, "minute": F.minute}
 
 
 def time_fields(ts: str, zone: str, unit: str = "minute") -> dict[str, Column]:
     """The path fields down to ``unit``, in the zone's local time."""
     names = list(TIME_FIELDS)
-    local = F.from_utc_timestamp(ts, zone)
-    return {n: F.date_format(local, TIME_FIELDS[n]) for n in names[: names.index(unit) + 1]}
+    local = local_time(F.col(ts), zone)
+    return {n: F.lpad(TIME_FIELDS[n](local).cast("string"), 4 if n == "year" else 2, "0") for n in names[: names.index(unit) + 1]}
 
 
 def time_partition_schema(unit: str = "minute") -> str:
@@ -50,6 +50,7 @@ def write_time_partitioned(
         .partitionBy(*fields)
         .option("compression", "gzip")
         .option("maxRecordsPerFile", flush_size)
+        .option("ignoreNullFields", "false")
         .json(path)
     )
 

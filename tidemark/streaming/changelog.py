@@ -35,7 +35,7 @@ class Changelog:
             return spark.createDataFrame([], declared)
         log = spark.read.schema(declared).parquet(self.path)
         if before is None:
-            return log
+            before = (log.agg(F.max(BATCH)).first()[0] or 0) + 1
         base = (before - 1) // self.full_every * self.full_every
         return log.where((F.col(BATCH) >= base) & (F.col(BATCH) < before))
 
