@@ -7,7 +7,7 @@ import pytest
 from tests.llm import brute
 from tidemark.llm.chunk_dedup import GEAR, WINDOW, chunk_ends, dedup_chunks, gear
 from tidemark.llm.jaccard_join import jaccard_components
-from tidemark.llm.line_dedup import dedup_lines, near_tree
+from tidemark.llm.line_dedup import dedup_lines, edit_distance, near_tree
 from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.textbytes import Texts
 
@@ -185,3 +185,12 @@ def test_a_large_bucket_is_cut_without_losing_pairs():
     sims = np.unique(np.array(sims, dtype=np.uint64))
     small = brute.groups(range(len(sims)), near_tree(sims, mask, step=4))
     assert small == brute.groups(range(len(sims)), near_tree(sims, mask, step=4096))
+
+
+def test_edit_distance_equals_the_plain_table():
+    rng = random.Random(5)
+    for _ in range(600):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randrange(12))) for _ in range(2))
+        assert edit_distance(a, b) == brute.edit_distance(a, b)
+    long = "".join(rng.choice("abcdef") for _ in range(3000))
+    assert edit_distance("x" + long + "y", long[1:] + "z") == 3

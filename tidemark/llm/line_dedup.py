@@ -9,8 +9,8 @@ hash and place.
 
 SimHashes are cut into five blocks; two that differ in three bits agree in two blocks at least, so each
 is dealt once for every pair of blocks, packed.  Inside such a bucket the near SimHashes are connected by a
-spanning tree, not by all pairs; the tree's edges are verified.  Where an edge fails, all near pairs of
-that neighbourhood are verified, so no link is lost.
+spanning tree, not by all pairs; the tree's edges are verified.  Where an edge fails, the near pairs of that
+neighbourhood that lie in different parts of what is left of it are verified too, so no link is lost.
 
 Null and empty texts have no lines to remove.  Rows equal in id and text count as one document.  Columns
 other than the text are kept.
@@ -29,6 +29,10 @@ from tidemark.llm.shared import PACKED, bucket_count, bucket_fields, by_bucket,
 from tidemark.llm.textbytes import LOWER, U64, WORD_BYTE, Texts, mix, owners, slices
 
 DISTANCE, SIMILARITY = 3, 0.8
+#: A bucket of so many SimHashes is compared pair by pair.
+SMALL = 8
+#: Slots of the filter that tells which lines may be wanted.
+SLOTS = 1 << 22
 EDGES = (0, 13, 26, 39, 52, 64)
 PAIRS = list(combinations(range(5), 2))
 NOT_NEWLINE = np.ones(256, dtype=bool)
@@ -163,26 +167,42 @@ def near_sims(sims: DataFrame) -> DataFrame:
             sim, pair, mark = sim[order], pair[order], mix(key[order]) + pair[order]
             a, b = [], []
             starts, ends = runs(mark)
-            for low, high in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            size = np.repeat(ends - starts, ends - starts)
+            for step in range(1, SMALL):  # small groups: each with its neighbours
+                here = np.flatnonzero((size[:-step] <= SMALL) & (mark[:-step] == mark[step:]))
+                near = here[np.bitwise_count(sim[here] ^ sim[here + step]) <= DISTANCE]
+                a.append(sim[near])
+                b.append(sim[near + step])
+            for low, high in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL]):
                 own = sim[low:high]
-                for i, j in near_tree(own, MASKS[pair[low]]):
-                    a.append(own[i])
-                    b.append(own[j])
+                edges = np.array(near_tree(own, MASKS[pair[low]]), dtype=np.int64).reshape(-1, 2)
+                a.append(own[edges[:, 0]])
+                b.append(own[edges[:, 1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(x, dtype=U64).view(np.int64)) for x in (a, b)], names=["a", "b"])
+                [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     dealt = sims.mapInArrow(deal, PACKED)
     return by_bucket(dealt).mapInArrow(connect, "a long, b long").distinct()
 
 
 def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """``(line, normal)``: the normal forms of the wanted lines."""
+    """``(line, normal)``: the normal forms of the wanted lines.
+
+    A bitmap of ``SLOTS`` bits, whatever the size of the input, spares most other lines; the join decides.
+    """
+    slots = wanted.select(F.pmod("line", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    bitmap = np.zeros(SLOTS, dtype=bool)
+    bitmap[slots] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches):
+        marked = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             for texts in slices(batch.column(0)):
                 lines = _Lines(texts)
                 key, where = np.unique(lines.keys, return_index=True)
+                maybe = marked[key.view(np.int64) % SLOTS]
+                key, where = key[maybe], where[maybe]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array([lines.normal(k) for k in where], type=pa.string())],
                     names=["line", "normal"])
@@ -191,8 +211,11 @@ def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: equal ends are cut off, then all of a column is computed at once in the bits of an integer."""
+def edit_distance(a: str, b: str, enough: float = 0) -> int:
+    """Levenshtein distance: equal ends are cut off, then all of a column is computed at once in the bits of an integer.
+
+    If what is between the ends is no longer than ``enough``, its length is returned, which bounds the distance.
+    """
     low, most = 0, min(len(a), len(b))
     while low < most and a[low] == b[low]:
         low += 1
@@ -200,8 +223,8 @@ def edit_distance(a: str, b: str) -> int:
     while high < most - low and a[-1 - high] == b[-1 - high]:
         high += 1
     a, b = a[low:len(a) - high], b[low:len(b) - high]
-    if not a or not b:
-        return len(a) + len(b)
+    if not a or not b or max(len(a), len(b)) <= enough:
+        return max(len(a), len(b))
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
@@ -220,7 +243,7 @@ def edit_distance(a: str, b: str) -> int:
 def _similar(a: str, b: str) -> bool:
     longer = max(len(a), len(b))
     allowed = (1 - SIMILARITY) * longer
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -237,39 +260,65 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         run, "a long, b long, linked boolean")
 
 
-def fuzzy_links(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
-    """``(a, b)``: links that connect the fuzzily equal among distinct ``lines (line, sim)``."""
-    edges = written(near_sims(lines.select("sim").distinct()), "near")
+def fuzzy_groups(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
+    """``(line, grp)``: the groups of those among distinct ``lines (line, sim)`` that have a near line."""
+    edges = near_sims(lines.select("sim").distinct())
     first = lines.groupBy("sim").agg(F.min("line").alias("rep"), F.count("*").alias("c"))
     same = lines.join(first.where("c > 1"), "sim").where("line <> rep").select(F.col("line").alias("a"), F.col("rep").alias("b"))
     reps = first.select("sim", "rep")
     across = edges.join(reps.select(F.col("sim").alias("a"), F.col("rep").alias("ra")), "a").join(
         reps.select(F.col("sim").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     pairs = written(same.union(across), "pairs")
-    sim_nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    area = components(sim_nodes, edges).select(F.col("id").alias("sim"), F.col("component").alias("area"))
-    placed = written(
-        lines.join(area, "sim", "left").select("line", "sim", F.coalesce("area", "sim").alias("area")), "areas")
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    in_areas = placed.join(placed.join(wanted, "line", "left_semi").select("area").distinct(), "area", "left_semi")
-    texts = written(line_texts(docs, text, in_areas.select("line").distinct()), "texts")
+    texts = written(line_texts(docs, text, wanted), "texts")
     judged = written(_verified(pairs, texts), "judged")
-    sound = judged.where("linked").select("a", "b")
+    part = written(components(wanted.withColumnRenamed("line", "id"), judged.where("linked").select("a", "b")).select(
+        F.col("id").alias("line"), F.col("component").alias("part")), "parts")
     failed = judged.where("not linked")
     if failed.isEmpty():
-        return sound
-    bad = failed.join(placed, failed["a"] == placed["line"]).select("area").distinct()
-    rest = placed.join(bad, "area", "left_semi")
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("sim").bitwiseAND(F.lit(_signed(m))).alias("v")) for k, m in enumerate(MASKS)))
-    spread = rest.select("line", "sim", F.explode(keys).alias("key"))
-    again = spread.alias("x").join(spread.alias("y"), "key").where(
-        (F.col("x.line") < F.col("y.line")) & (F.bit_count(F.col("x.sim").bitwiseXOR(F.col("y.sim"))) <= DISTANCE)).select(
-        F.col("x.line").alias("a"), F.col("y.line").alias("b")).distinct()
-    return sound.union(_verified(again, texts).where("linked").select("a", "b"))
+        return part.withColumnRenamed("part", "grp")
+    # The pairs connect a neighbourhood, so every part of one that fell apart has an end of a failed pair.
+    ends = failed.select(F.col("a").alias("line")).union(failed.select(F.col("b").alias("line"))).distinct()
+    torn = part.join(part.join(ends, "line", "left_semi").select("part").distinct(), "part", "left_semi")
+    again = near_across(torn.join(lines, "line").select("sim", "line", "part"))
+    one, two = (part.select(F.col("line").alias(k), F.col("part").alias(f"part_{k}")) for k in ("a", "b"))
+    more = written(_verified(again, texts).where("linked").join(one, "a").join(two, "b").select(
+        F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "more")
+    whole = components(part.select(F.col("part").alias("id")).distinct(), more)
+    return part.join(whole.withColumnsRenamed({"id": "part", "component": "grp"}), "part").select("line", "grp")
+
+
+def near_across(lines: DataFrame, step: int = 512) -> DataFrame:
+    """``(a, b)``: all near pairs among ``lines (sim, line, part)`` that lie in different parts."""
+    buckets = bucket_count(lines.sparkSession)
 
+    def deal(batches):
+        for batch in batches:
+            fields = [np.tile(c.to_numpy().view(U64), len(MASKS)) for c in batch.columns]
+            pair = np.repeat(np.arange(len(MASKS), dtype=np.uint8), batch.num_rows)
+            key = mix((fields[0] & np.array(MASKS, dtype=U64)[pair]) + pair.astype(U64))
+            yield packed((key % U64(buckets)).astype(np.int64), *fields, pair)
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+    def compare(batches):
+        for sim, line, part, pair in bucket_fields(batches, "<u8", "<u8", "<u8", "u1"):
+            key = sim & np.array(MASKS, dtype=U64)[pair]
+            order = np.lexsort((part, key, pair))
+            sim, line, part, mark = sim[order], line[order], part[order], mix(key[order]) + pair[order]
+            for low, high in zip(*runs(mark)):
+                if part[low] == part[high - 1]:
+                    continue
+                for x in range(low, high, step):
+                    one = slice(x, min(x + step, high))
+                    for y in range(x, high, step):
+                        two = slice(y, min(y + step, high))
+                        if part[one.start] == part[two.stop - 1]:
+                            continue
+                        near = np.bitwise_count(sim[one][:, None] ^ sim[two][None, :]) <= DISTANCE
+                        i, j = np.nonzero(near & (part[one][:, None] < part[two][None, :]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(line[one][i].view(np.int64)), pa.array(line[two][j].view(np.int64))], names=["a", "b"])
+
+    return by_bucket(lines.mapInArrow(deal, PACKED)).mapInArrow(compare, "a long, b long").distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -278,9 +327,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     at = F.struct("doc_id", "h", "place")
     distinct = written(found.groupBy("line").agg(
         F.min(at).alias("first"), F.count("*").alias("c"), F.min("sim").alias("sim")), "distinct")
-    links = written(fuzzy_links(docs, text, distinct.select("line", "sim")), "links")
-    nodes = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    member = components(nodes, links).select(F.col("id").alias("line"), F.col("component").alias("grp"))
+    member = fuzzy_groups(docs, text, distinct.select("line", "sim"))
     grouped = written(distinct.join(member, "line", "left").select(
         "line", "first", "c", F.coalesce("grp", "line").alias("grp")), "groups")
     kept = grouped.groupBy("grp").agg(F.min("first").alias("keep"), F.sum("c").alias("n")).where("n > 1")
