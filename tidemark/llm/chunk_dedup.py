@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bucket_count, by_bucket
 from tidemark.llm.suffix_dedup import (
-    COMBINE, ROWS, _batch, _by_row, _covers, _deal, _kinds, _passed_on, cut_out, numbered, per_row)
+    COMBINE, COVERED, ROWS, _batch, _by_row, _covers, _deal, _found, _kinds, _unpack, cut_out, numbered, per_row)
 from tidemark.llm.textbytes import BYTE_CODE, U64, Texts, slices
 
 WINDOW, BITS, LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 32, 5, 16, 4096, 64
@@ -91,11 +91,13 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
             yield flush(parts)
 
     def match(batches):
+        covered = []
         for held in _kinds(batches):
-            parts = [_passed_on(held)]
-            if held[0]:
-                parts.append(_by_row(_firsts(np.concatenate([np.frombuffer(x, dtype=CHUNK) for x, _ in held[0]]))[1], buckets, 1))
-            yield _batch(parts)
+            covered += [_unpack(held[1], COVERED), _firsts(_unpack(held[0], CHUNK))[1]]
+            if sum(map(len, covered)) > COMBINE:
+                yield _found(covered, buckets)
+                covered = []
+        yield _found(covered, buckets)
 
     dealt = docs.select("row", text).mapInArrow(deal, ROWS)
     return per_row(by_bucket(dealt).mapInArrow(match, ROWS))

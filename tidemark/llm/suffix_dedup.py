@@ -89,13 +89,24 @@ def _batch(parts: list[tuple[np.ndarray, int, list[bytes], list[bytes]]]) -> pa.
          pa.array([x for p in parts for x in p[3]], type=pa.binary())], names=["bucket", "kind", "payload", "extra"])
 
 
+def _pack(records: np.ndarray) -> bytes:
+    """Records byte plane by byte plane, so that the shuffle's compression finds the equal high bytes."""
+    return np.ascontiguousarray(records).view(np.uint8).reshape(len(records), records.dtype.itemsize).T.tobytes()
+
+
+def _unpack(payloads, dtype: np.dtype) -> np.ndarray:
+    """The records of several payloads."""
+    parts = [np.frombuffer(p, dtype=np.uint8).reshape(dtype.itemsize, -1).T.copy().view(dtype).ravel() for p in payloads]
+    return np.concatenate([np.zeros(0, dtype=dtype), *parts])
+
+
 def _deal(bucket: np.ndarray, records: np.ndarray, kind: int, blobs: list[bytes] | None = None):
     """Records, and their byte strings if any, as one row per bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket, records = bucket[order], records[order]
     starts, ends = runs(bucket)
     extra = [b"".join([blobs[k] for k in order[a:b]]) if blobs is not None else b"" for a, b in zip(starts, ends)]
-    return bucket[starts], kind, [records[a:b].tobytes() for a, b in zip(starts, ends)], extra
+    return bucket[starts], kind, [_pack(records[a:b]) for a, b in zip(starts, ends)], extra
 
 
 def _by_row(records: np.ndarray, buckets: int, kind: int):
@@ -167,25 +178,35 @@ def match_runs(dealt: DataFrame, buckets: int, many_runs: int = MANY_RUNS) -> Da
     """Repeats of whole runs as covered spans (kind 1), and first runs of anchors with several (kind 2)."""
 
     def run(batches):
+        covered, needed = [], []
         for held in _kinds(batches):
-            parts = [_passed_on(held)]
-            if held[0]:
-                r, new, repeats = _first_of_equals(np.concatenate([np.frombuffer(x, dtype=RUN) for x, _ in held[0]]))
-                parts.append(_by_row(_repeats(r[repeats]), buckets, 1))
-                first = r[new]
-                starts, ends = runs(first["g"])
-                several = np.repeat(ends - starts, ends - starts)
-                first, several = first[several > 1], several[several > 1]
-                need = np.zeros(len(first), dtype=NEEDED)
-                for f in ("row", "g", "start", "more", "lead"):
-                    need[f] = first[f]
-                need["many"] = several > many_runs
-                parts.append(_by_row(need, buckets, 2))
-            yield _batch(parts)
+            covered.append(_unpack(held[1], COVERED))
+            r, new, repeats = _first_of_equals(_unpack(held[0], RUN))
+            covered.append(_repeats(r[repeats]))
+            first = r[new]
+            starts, ends = runs(first["g"])
+            several = np.repeat(ends - starts, ends - starts)
+            first, several = first[several > 1], several[several > 1]
+            need = np.zeros(len(first), dtype=NEEDED)
+            for f in ("row", "g", "start", "more", "lead"):
+                need[f] = first[f]
+            need["many"] = several > many_runs
+            needed.append(need)
+            if sum(map(len, covered)) + sum(map(len, needed)) > COMBINE:
+                yield _found(covered, buckets, needed)
+                covered, needed = [], []
+        yield _found(covered, buckets, needed)
 
     return by_bucket(dealt).mapInArrow(run, ROWS)
 
 
+def _found(covered: list[np.ndarray], buckets: int, needed: list[np.ndarray] = ()) -> pa.RecordBatch:
+    """What a task has found, by the bucket of its row; covered spans put together."""
+    c = np.concatenate([np.zeros(0, dtype=COVERED), *covered])
+    d = np.concatenate([np.zeros(0, dtype=NEEDED), *needed])
+    return _batch([_by_row(_covers(c["row"], c["start"], c["end"]), buckets, 1), _by_row(d, buckets, 2)])
+
+
 def _kinds(batches):
     """The rows of each bucket in turn, by kind."""
     have, held = None, None
@@ -194,26 +215,22 @@ def _kinds(batches):
             if bucket != have:
                 if held:
                     yield held
-                have, held = bucket, {"bucket": bucket, 0: [], 1: [], 2: []}
-            held[kind].append((payload, extra))
+                have, held = bucket, {0: [], 1: [], 2: [], "extra": []}
+            held[kind].append(payload)
+            if extra:
+                held["extra"].append(extra)
     if held:
         yield held
 
 
-def _passed_on(held: dict):
-    """Covered spans that were known before the shuffle; they came by the bucket of their row."""
-    n = len(held[1])
-    return np.full(n, held["bucket"], dtype=np.int64), 1, [x for x, _ in held[1]], [b""] * n
-
-
 def per_row(dealt: DataFrame) -> DataFrame:
     """``(row, covered, needed)``: the records of each row."""
 
     def run(batches):
         for held in _kinds(batches):
-            c = np.concatenate([np.zeros(0, dtype=COVERED), *(np.frombuffer(x, dtype=COVERED) for x, _ in held[1])])
+            c = _unpack(held[1], COVERED)
             c = _covers(c["row"], c["start"], c["end"])
-            d = np.concatenate([np.zeros(0, dtype=NEEDED), *(np.frombuffer(x, dtype=NEEDED) for x, _ in held[2])])
+            d = _unpack(held[2], NEEDED)
             d = d[np.lexsort((d["start"], d["row"]))]
             rows = np.union1d(c["row"], d["row"])
             at = [np.searchsorted(x["row"], rows, side=s) for x in (c, d) for s in ("left", "right")]
@@ -297,6 +314,8 @@ def _ranks(*keys: np.ndarray) -> np.ndarray:
 
 def sort_bucket(pieces: np.ndarray, blob: bytes) -> np.ndarray:
     """The strings of a bucket's suffixes that also start earlier, as covered spans."""
+    if not len(pieces):
+        return np.zeros(0, dtype=COVERED)
     sizes = pieces["size"].astype(np.int64)
     suffixes = sizes - LENGTH + 1
     # Lay the pieces out, each anchor on residue 0, with room so that no comparison runs into the next one.
@@ -344,12 +363,13 @@ def match_pieces(dealt: DataFrame, buckets: int) -> DataFrame:
     """Covered spans by row, from suffixes sorted bucket by bucket."""
 
     def run(batches):
+        covered = []
         for held in _kinds(batches):
-            parts = [_passed_on(held)]
-            if held[0]:
-                pieces = np.concatenate([np.frombuffer(x, dtype=PIECE) for x, _ in held[0]])
-                parts.append(_by_row(sort_bucket(pieces, b"".join([b for _, b in held[0]])), buckets, 1))
-            yield _batch(parts)
+            covered += [_unpack(held[1], COVERED), sort_bucket(_unpack(held[0], PIECE), b"".join(held["extra"]))]
+            if sum(map(len, covered)) > COMBINE:
+                yield _found(covered, buckets)
+                covered = []
+        yield _found(covered, buckets)
 
     return by_bucket(dealt).mapInArrow(run, ROWS)
 
@@ -376,6 +396,8 @@ def dedup_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     found = written(per_row(match_runs(deal_runs(rows, "text", buckets), buckets, many_runs)), "runs")
     placed = rows.repartition("row")
     needed = found.where(F.octet_length("needed") > 0).select("row", "needed").join(placed, "row").select("row", "needed", "text")
+    # In order of rows a repeated task combines the same records as the first did.
+    needed = needed.sortWithinPartitions("row")
     pieces = match_pieces(fetch_pieces(needed, buckets), buckets)
     more = per_row(pieces).select("row", F.col("covered").alias("more"))
     spans = found.select("row", "covered")
