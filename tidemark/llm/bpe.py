@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 
 from tidemark.llm.textbytes import SLICE
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
+#: Steps between states that are remembered, those along tokens included.
+STEPS_KEPT = 300_000
 #: Unicode white space without the four separators that str.split() takes besides.
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: Fixed values of this kind of vocabulary: the word pattern and the end-of-word mark.
@@ -102,7 +104,7 @@ class Vocabulary:
         to = self.next.get(key)
         if to is None:
             to = self.step(self.fail[state], byte) if state else 0
-            if self.linked:
+            if self.linked and len(self.next) < STEPS_KEPT:
                 self.next[key] = to
         return to
 
