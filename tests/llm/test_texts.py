@@ -101,6 +101,16 @@ def test_unclosed_and_deep_markup():
     assert sum(n.own for n in parse("a<!-- <p>hidden --><script>no</script>b<script>open")) == 2
 
 
+def test_raw_elements_swallow_nothing_behind_them():
+    page = "<script>for(i=0;i<n;i++){} // can't</script><article><p>It's one.</p><p>It's two.</p></article>"
+    assert [(n.tag, n.parts) for n in parse(page)] == [
+        ("#root", []), ("article", []), ("p", [(0, "It's one.")]), ("p", [(1, "It's two.")])]
+    for tag in ("option", "button", "object", "svg", "select", "template", "noscript", "datalist", "head"):
+        assert [n.parts for n in parse(f"<p>one</p><{tag} x=1><p>two</p>")][1:] == [[(0, "one")], [(1, "two")]], tag
+    for tag in ("script", "style", "textarea", "iframe"):
+        assert [n.parts for n in parse(f"<p>one</p><{tag}><p>two</p>")][1:] == [[(0, "one")]], tag
+
+
 def test_trees_learn_a_rule_and_hold_out():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 5))

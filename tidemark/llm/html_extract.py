@@ -38,6 +38,8 @@ BLOCKS = {
     "tfoot", "th", "thead", "tr", "ul",
 }
 BREAKS = {"br", "hr", "img", "input"}
+#: Raw elements that run to the end of the page when they are not closed; of the others only the tag is skipped.
+TO_THE_END = {"script", "style", "textarea", "iframe"}
 #: An open element of the key is ended by a start tag of the values.
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -101,9 +103,7 @@ def parse(html: str) -> list[Node]:
             node.marks += len(MARKS.findall(text))
             order += 1
 
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(html, at):  # from the end of a raw element, whatever began inside it
         if m.start() > at:
             piece.append(html[at:m.start()])
             if link:
@@ -116,7 +116,7 @@ def parse(html: str) -> list[Node]:
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else (at if tag == "head" else len(html))
+                at = end.end() if end else (len(html) if tag in TO_THE_END else at)
             continue
         if tag == "a":
             link = 0 if closing else 1
