@@ -101,6 +101,24 @@ def test_unclosed_and_deep_markup():
     assert sum(n.own for n in parse("a<!-- <p>hidden --><script>no</script>b<script>open")) == 2
 
 
+def test_bare_text_of_the_body_is_extracted(spark):
+    body = " ".join(PROSE.split())
+    bare = [
+        f"<html><body>{PROSE}<br>more <b>text</b></body></html>", PROSE, f"<body><nav><a href=/>Home</a> <a href=/b>Other</a></nav><div><p>{PROSE}</p></div>{PROSE}<p>{PROSE}</p>tail, of it.</body>",
+        "<body>Article text<br>more</body>"]
+    want = [f"{body} more text", body, f"{body} {body} {body} tail, of it.", "Article text more"]
+    schema = "page_id long, url string, html string"
+    for first in ([], [(-k - 1, "u", PAGE % ARTICLE) for k in range(3)]):  # with and without pages that name their article
+        frame = spark.createDataFrame([*first, *((k, "u", h) for k, h in enumerate(bare))], schema).coalesce(1)
+        got = {r.page_id: r.text for r in extract_text(frame).collect()}
+        sure = bare[:3] if first else bare  # a few words alone may look like a menu's to trees that saw three pages
+        assert [got[k] for k in range(len(sure))] == want[:len(sure)]
+    nodes = parse("one <a href=/>two</a><p>in</p> three<div>x</div>")
+    assert [(n.tag, n.own, n.links, n.tags) for n in nodes] == [
+        ("#root", 0, 0, 4), ("#text", 7, 3, 2), ("p", 2, 0, 0), ("#text", 5, 0, 0), ("div", 1, 0, 0)]
+    assert nodes[0].children == [1, 2, 3, 4]
+
+
 def test_raw_elements_swallow_nothing_behind_them():
     page = "<script>for(i=0;i<n;i++){} // can't</script><article><p>It's one.</p><p>It's two.</p></article>"
     assert [(n.tag, n.parts) for n in parse(page)] == [

@@ -1,6 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded along the tree.
 
-A page becomes a tree of its block elements; inline markup makes no node.  Each node gets features of
+A page becomes a tree of its block elements; inline markup makes no node.  Each run of text that stands in no
+block but the body is a node ``#text``, judged like a paragraph.  Each node gets features of
 its subtree (text, density of tags, links and sentence marks), attribute tokens of itself and of its ancestors,
 depth, and how it compares with its siblings.  Trees fitted on a bounded sample of pages score each
 node as article or not.  The best labelling of the whole tree then is found with the rules that
@@ -90,14 +91,24 @@ def _name_counts(tag: str, attributes: str) -> tuple[int, int]:
 def parse(html: str) -> list[Node]:
     """The block elements of a page in page order, the root first; text pieces are numbered in page order."""
     nodes, stack, link, at, piece = [Node("#root", -1, 0, 0, 0)], [0], 0, 0, []
-    order, raw = 0, None
+    order, bare = 0, Node("#text", 0, 1, 0, 0)
+
+    def here() -> Node:
+        return nodes[stack[-1]] if len(stack) > 1 else bare
 
     def flush():
-        nonlocal order
+        nonlocal order, bare
         text = " ".join(unescape("".join(piece)).split())
         piece.clear()
+        node = here()
+        if node is bare:
+            if text:
+                nodes[0].children.append(len(nodes))
+                nodes.append(bare)
+            else:
+                nodes[0].tags += bare.tags
+            bare = Node("#text", 0, 1, 0, 0)
         if text:
-            node = nodes[stack[-1]]
             node.parts.append((order, text))
             node.own += len(text)
             node.marks += len(MARKS.findall(text))
@@ -107,7 +118,7 @@ def parse(html: str) -> list[Node]:
         if m.start() > at:
             piece.append(html[at:m.start()])
             if link:
-                nodes[stack[-1]].links += m.start() - at
+                here().links += m.start() - at
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -122,10 +133,11 @@ def parse(html: str) -> list[Node]:
             link = 0 if closing else 1
         elif tag in BREAKS:
             piece.append(" ")
-        nodes[stack[-1]].tags += 1
         if tag not in BLOCKS:
+            here().tags += 1
             continue
         flush()
+        nodes[stack[-1]].tags += 1
         link = 0
         if closing:
             for k in range(len(stack) - 1, 0, -1):
@@ -153,7 +165,7 @@ def parse(html: str) -> list[Node]:
 
 
 KINDS = {t: k for k, group in enumerate((
-    ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "ul", "ol", "dl", "dt", "dd"),
+    ("p", "blockquote", "pre", "#text"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "ul", "ol", "dl", "dt", "dd"),
     ("article", "main"), ("nav", "footer", "aside", "form", "header", "menu", "dialog", "search"), ("table", "tr", "td", "th", "tbody"))) for t in group}
 NAMED = (0, 1, 2, 3, 14, 15)
 WIDTH = 25
@@ -219,6 +231,8 @@ def fit_model(pages: DataFrame, html: str = "html", sample_pages: int = 300) ->
         rows.append(x[keep])
         labels.append(sure[keep])
     x, y = np.concatenate(rows), np.concatenate(labels).astype(float)
+    if not y.any():  # no name says what an article looks like, so names alone drop a node
+        x, y = x[:0], y[:0]
     # Other pages use other names: show the shapes without names, with plain elements of either kind of
     # name, and prose in regions that are named as no part of the article.
     own = np.arange(len(x)) % 2 == 0
@@ -229,10 +243,10 @@ def fit_model(pages: DataFrame, html: str = "html", sample_pages: int = 300) ->
         renamed[yes & ~own, above] = 1
     foreign = x[y > 0]
     foreign[:, [1, 3]] = np.where(own[:len(foreign), None], [1, 0], [0, 1])
-    hint = np.zeros((4, WIDTH))
-    hint[[0, 1, 2, 3], [0, 2, 1, 3]] = 1  # what names mean, should the sample have none
+    hint = np.zeros((5, WIDTH))
+    hint[[0, 1, 2, 3], [0, 2, 1, 3]] = 1  # what names mean, should the sample have none; no names are article
     x = np.concatenate([x, renamed, bare, foreign] + [hint] * 5)
-    y = np.concatenate([y, y, y, np.zeros(len(foreign))] + [np.array([1, 1, 0, 0.0])] * 5)
+    y = np.concatenate([y, y, y, np.zeros(len(foreign))] + [np.array([1, 1, 0, 0, 1.0])] * 5)
     return fit_trees(x, y)
 
 
