@@ -64,10 +64,11 @@ MARKS = re.compile(r"[.,;:!?。、]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "article", "other", "children", "parts", "own", "links", "marks", "tags")
+    __slots__ = ("tag", "parent", "depth", "article", "other", "place", "children", "parts", "own", "links", "marks", "tags")
 
     def __init__(self, tag: str, parent: int, depth: int, article: int, other: int):
         self.tag, self.parent, self.depth, self.article, self.other = tag, parent, depth, article, other
+        self.place = 0  # among its siblings
         self.children: list[int] = []
         self.parts: list[tuple[int, str]] = []
         self.own = self.links = self.marks = self.tags = 0
@@ -103,6 +104,7 @@ def parse(html: str) -> list[Node]:
         node = here()
         if node is bare:
             if text:
+                bare.place = len(nodes[0].children)
                 nodes[0].children.append(len(nodes))
                 nodes.append(bare)
             else:
@@ -155,9 +157,10 @@ def parse(html: str) -> list[Node]:
             continue
         article, other = _name_counts(tag, m[3])
         parent = stack[-1]
-        nodes[parent].children.append(len(nodes))
         stack.append(len(nodes))
         nodes.append(Node(tag, parent, len(stack) - 1, article, other))
+        nodes[-1].place = len(nodes[parent].children)
+        nodes[parent].children.append(len(nodes) - 1)
     if at < len(html):
         piece.append(html[at:])
     flush()
@@ -192,9 +195,9 @@ def node_features(nodes: list[Node]) -> np.ndarray:
             if inside and v.tag == "header":
                 v.other = 0
             brothers = nodes[p].children
-            place = brothers.index(k) if len(brothers) < 50 else k - brothers[0]
-            before = text[brothers[place - 1]] if 0 < place < len(brothers) else 0
-            after = text[brothers[place + 1]] if 0 <= place < len(brothers) - 1 else 0
+            place = v.place
+            before = text[brothers[place - 1]] if place else 0
+            after = text[brothers[place + 1]] if place < len(brothers) - 1 else 0
             mean = text[p] / len(brothers)
             x[k, 16:21] = len(brothers), place / len(brothers), log(1 + before), log(1 + after), text[k] / (mean + 1)
         t = text[k]
