@@ -10,7 +10,7 @@ from tests.llm import brute
 from tidemark.llm.chat_format import (
     LAYOUTS, canonical_turns, escape, format_chats, loss_text, read_back, record_turns, unescape, unknown_records)
 from tidemark.llm.shared import components
-from tidemark.llm.url_filter import filter_urls, page_links
+from tidemark.llm.url_filter import decoded, filter_urls, page_links
 
 RULES = (("com", "/", "allow"), ("bad.com", "/", "block"), ("ok.bad.com", "/x", "allow"), ("org", "/b", "block"))
 
@@ -64,6 +64,39 @@ def test_links_go_both_ways_and_resolve_paths(spark):
     assert [tuple(r) for r in page_links(frame).collect()] == [("a.net/x?q", "b.net/y")]
 
 
+def test_relative_links_reach_their_page(spark):
+    link, meta = '<link rel=canonical href="%s">', '<meta http-equiv=refresh content="0;url=%s">'
+    cases = [
+        ("http://h.net/a/b?q", link % "12.html", "h.net/a/12.html"), ("http://h.net/a/b/c", link % "../12", "h.net/a/12"),
+        ("http://h.net/a/b?id=1", meta % "?id=3", "h.net/a/b?id=3"), ("http://h.net", link % "x", "h.net/x"),
+        ("http://h.net/a/b", link % "./../../../c/.", "h.net/c/"), ("http://h.net?x=/y/", meta % "z", "h.net/z"),
+        ("http://h.net/a", link % "?page=2&amp;ref=x", "h.net/a?page=2&ref=x"), ("http://h.net/a", link % "&#47;b&#x2F;&eacute;?u=http://o.net/", "h.net/b/é?u=http://o.net/"),
+        ("http://h.net/a", link % "b?u=http://o.net/q", "h.net/b?u=http://o.net/q"), ("http://h.net/a", link % "http://O.net", "o.net/"),
+        ("http://h.net/a", link % "https://o.net?q=/../x", "o.net/?q=/../x"), ("http://h.net/a?b", link % "#top", "h.net/a?b"),
+        ("http://h.net/a", link % "/x/%2e%2E/y", "h.net/y"), ("http://h.net/a", link % "mailto:me", None)]
+    frame = spark.createDataFrame([page(u, h, k) for k, (u, h, _) in enumerate(cases)], "page_id long, url string, html string, rule string")
+    for k, (_, _, want) in enumerate(cases):
+        assert [r.b for r in page_links(frame.where(f"page_id = {k}")).collect()] == ([] if want is None else [want]), k
+
+
+def test_verdicts_cross_relative_and_escaped_links(spark):
+    link = '<link rel=canonical href="%s">'
+    rows = [
+        page("http://x.bad.net/a/1.html", link % "../b?page=2&amp;ref=x", 1), page("http://x.bad.net/b?page=2&ref=x", link % "http://bad.com/", 2),
+        page("http://c.net", link % "http://bad.com/z", 3), page("https://c.net/", "", 4), page("http://d.net/e/", link % "f", 5),
+        page("http://d.net/e/f", link % "http://good.com/", 6)]
+    assert {k: v[3] for k, v in verdicts(spark, rows).items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+    extra = spark.createDataFrame([("d.net/e/", "bad.com")], "a string, b string")
+    assert verdicts(spark, rows, links=extra)[5][3] == "block"
+
+
+def test_character_references_of_attributes(spark):
+    values = ["a&amp;b", "a&copy=1&copy;&ampx", "&#65;&#x1F600;&#0;&#xD800;&#99999999999;", "&amp", "&nosuch;&", "plain", "&amp;amp;"]
+    want = ["a&b", "a&copy=1©&ampx", "A😀\ufffd\ufffd\ufffd", "&", "&nosuch;&", "plain", "&amp;"]
+    frame = spark.createDataFrame(list(enumerate(values)), "k int, v string").select("k", decoded(F.col("v")).alias("d"))
+    assert [r.d for r in frame.orderBy("k").collect()] == want
+
+
 CONTROL = [r"\### Assistant: </turn> ok", "", "###", "####\\", "\\h\\\\t</turn", "</turn></turn>\n### user: x", "a\nb", "é🙂:", r"\\\h", "\\" * 5]
 
 

@@ -115,7 +115,7 @@ def test_bare_text_of_the_body_is_extracted(spark):
         assert [got[k] for k in range(len(sure))] == want[:len(sure)]
     nodes = parse("one <a href=/>two</a><p>in</p> three<div>x</div>")
     assert [(n.tag, n.own, n.links, n.tags) for n in nodes] == [
-        ("#root", 0, 0, 4), ("#text", 7, 3, 2), ("p", 2, 0, 0), ("#text", 5, 0, 0), ("div", 1, 0, 0)]
+        ("#root", 0, 0, 2), ("#text", 7, 3, 2), ("p", 2, 0, 1), ("#text", 5, 0, 0), ("div", 1, 0, 1)]
     assert nodes[0].children == [1, 2, 3, 4]
 
 
