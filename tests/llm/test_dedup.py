@@ -94,6 +94,30 @@ def test_chunks_find_moved_passages_and_leave_the_rest(spark):
     assert dedup_chunks(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_no_passage_of_51_words_is_missed(spark):
+    rng = random.Random(11)
+    passages = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 10))) for _ in range(51)) for _ in range(300)]
+    rows = [(k, f"{words(rng, 30)} {passages[k % 300]} {words(rng, 30)}") for k in range(600)]
+    out = {r.doc_id: r.n_removed for r in dedup_chunks(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert all(out[k] == 0 for k in range(300))
+    shares = [out[k] / len(passages[k % 300]) for k in range(300, 600)]
+    print("missed", sum(s == 0 for s in shares), "mean share removed", sum(shares) / 300, "least", min(shares))
+    assert min(shares) > 0.5 and sum(shares) / 300 > 0.85
+
+
+def test_short_copies_go_and_phrases_side_by_side_stay(spark):
+    rng = random.Random(12)
+    phrases = [words(rng, 6)[:40] for _ in range(8)]
+    rows = [(k, "a short text" if k % 2 else f"text {k // 6}") for k in range(12)]
+    rows += [(20 + k, f"{words(rng, 30)} {p} {words(rng, 30)}") for k, p in enumerate(phrases)] + [(50, " ".join(phrases))]
+    rows.append((60, "abcdefghijklmnopqrstuvwxyz0123456789" * 10))
+    out = {r.doc_id: r for r in dedup_chunks(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [k for k in range(12) if out[k].n_removed == 0] == [0, 1, 6]
+    assert all(len(out[k].kept) == 0 for k in range(12) if k not in (0, 1, 6))
+    assert all(out[k].n_removed == 0 for k in (*range(20, 28), 50))
+    assert len(out[60].kept) >= 64
+
+
 def test_chunk_ends_cover_every_text():
     import numpy as np
 

@@ -3,12 +3,14 @@
 A gear hash rolls over the bytes: each byte's number is added to twice the hash so far, so the top bits depend on the
 last ``WINDOW`` bytes alone.  A chunk ends where the top ``BITS`` bits are 0 and no such place lies within
 ``LEAST_CHUNK`` bytes before; a stretch without one is cut every ``MOST_CHUNK`` bytes.  Inserted text moves
-chunks, but does not change those behind it.  Chunks with equal digests (112 bits) are equal; all but the
-first, by row and place, are marked.  Marked neighbours make runs, and runs of ``LEAST_RUN`` bytes or more are
-removed, so that a short phrase used twice is left alone.
-
-Any passage that two texts share is found from its first chunk border to its last one.  A text's last chunk
-ends with it.  Chunks are dealt by digest, packed, repeats inside a task combined first.  Null and empty texts keep
+chunks, but does not change those behind it.  From every chunk on, the shortest row of chunks of ``LEAST_RUN`` bytes or
+more is compared as a whole, and so are the last such row of a text and every text that is shorter; thus a short phrase
+used twice, or phrases from different texts side by side, are left alone.  Rows of chunks with equal digests (112 bits)
+are equal; all but the first, by row and place, are removed, without what is part of the first itself.
+
+Of a passage that two texts share the bytes before its first chunk border stay, and at its end what the last row of
+chunks inside it does not reach; copies of whole texts go.  A text's last chunk
+ends with it.  Rows of chunks are dealt by digest, packed, repeats inside a task combined first.  Null and empty texts keep
 nothing.  Rows equal in id and text are one text; other rows with one id are told apart by text hash.
 """
 
@@ -23,7 +25,7 @@ from tidemark.llm.suffix_dedup import (
     COMBINE, COVERED, ROWS, _batch, _by_row, _covers, _deal, _found, _kinds, _unpack, cut_out, numbered, per_row)
 from tidemark.llm.textbytes import BYTE_CODE, U64, Texts, slices
 
-WINDOW, BITS, LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 32, 5, 16, 4096, 64
+WINDOW, BITS, LEAST_CHUNK, MOST_CHUNK, LEAST_RUN = 8, 3, 4, 4096, 64
 GEAR = (BYTE_CODE >> U64(32)).astype(np.uint32)
 CHUNK = np.dtype([("g", "<u8"), ("h", "<u4"), ("h2", "<u2"), ("row", "<i8"), ("start", "<u4"), ("size", "<u4")])
 
@@ -52,6 +54,20 @@ def chunk_ends(texts: Texts) -> np.ndarray:
     return np.union1d(ends, np.concatenate(forced)) if forced else ends
 
 
+def chunk_rows(texts: Texts, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the rows of chunks that are compared."""
+    ends = chunk_ends(texts)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    low, high = texts.offsets[:-1], texts.offsets[1:]
+    limit = high[np.searchsorted(texts.offsets, starts, side="right") - 1]
+    fits = starts + least <= limit
+    reach = ends[np.searchsorted(ends, starts[fits] + least)]
+    long = high - low >= least
+    tail = starts[np.searchsorted(starts, high[long] - least, side="right") - 1]
+    short = (high > low) & ~long
+    return np.concatenate([starts[fits], tail, low[short]]), np.concatenate([reach, high[long], high[short]])
+
+
 def _firsts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each digest, and the spans of the others."""
     r = r[np.lexsort((r["start"], r["row"], r["h2"], r["h"], r["g"]))]
@@ -59,10 +75,13 @@ def _firsts(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[1:] = (r["g"][1:] != r["g"][:-1]) | (r["h"][1:] != r["h"][:-1]) | (r["h2"][1:] != r["h2"][:-1])
     first = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))] if len(r) else r
     again = r[(r["row"] != first["row"]) | (r["start"] != first["start"])]
-    return r[new], _covers(again["row"], again["start"], again["start"].astype(np.int64) + again["size"])
+    first = first[(r["row"] != first["row"]) | (r["start"] != first["start"])]
+    start, end = again["start"].astype(np.int64), again["start"].astype(np.int64) + again["size"]
+    start = np.where(again["row"] == first["row"], np.maximum(start, first["start"].astype(np.int64) + first["size"]), start)
+    return r[new], _covers(again["row"][start < end], start[start < end], end[start < end])
 
 
-def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
+def repeated_chunks(docs: DataFrame, text: str, least: int = LEAST_RUN) -> DataFrame:
     """``(row, covered, needed)``: spans of chunks that another row or place has before; nothing is needed."""
     buckets = bucket_count(docs.sparkSession)
 
@@ -75,8 +94,7 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for texts in slices(batch.column(1)):
-                ends = chunk_ends(texts)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                starts, ends = chunk_rows(texts, least)
                 owner = np.searchsorted(texts.offsets, starts, side="right") - 1
                 g, h = texts.span_hash(starts, ends), texts.span_hash(starts, ends, codes="second")
                 r = np.zeros(len(ends), dtype=CHUNK)
@@ -106,6 +124,6 @@ def repeated_chunks(docs: DataFrame, text: str) -> DataFrame:
 def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)``; ``kept`` has the remaining bytes."""
     rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    found = repeated_chunks(rows, "text").select("row", "covered")
-    return cut_out(rows.join(found, "row", "left"), "covered", least=least_run)
+    found = repeated_chunks(rows, "text", least_run).select("row", "covered")
+    return cut_out(rows.join(found, "row", "left"), "covered")
 
