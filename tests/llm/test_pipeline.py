@@ -60,6 +60,26 @@ def test_stages_of_empty_tables(spark, tmp_path):
             docs = out
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(21)
+    base = [words(rng, 60) for _ in range(4)]
+
+    def near(k):
+        return base[k] + " " + words(rng, 2)
+
+    rows = [(1, near(0)), (1, near(0)), (1, near(0)), (None, near(1)), (None, near(1)), (None, base[2]), (7, base[2]), (8, near(2)),
+            (None, base[3]), (None, base[3]), (1, words(rng, 60)), (None, ""), (3, ""), (3, None), (2, near(0))]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], columns).repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.STAGES[2][1](spark, frame, "").collect()]
+    assert len(got) == len(set(got)) == 8
+    assert [i for i, t in got if t and t.startswith(base[0])] == [1]
+    assert [i for i, t in got if t and t.startswith(base[1])] == [None]
+    assert [i for i, t in got if t and t.startswith(base[2])] == [7]
+    assert [i for i, t in got if t == base[3]] == [None]
+    assert (1, rows[10][1]) in got and {(None, ""), (3, ""), (3, None)} <= set(got)
+
+
 def test_every_operator_is_registered():
     names = queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

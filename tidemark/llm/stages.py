@@ -14,6 +14,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table, vocabulary_path
+from tidemark.llm.suffix_dedup import numbered
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; documents without words all stay."""
-    group = jaccard_components(docs)
-    first = group.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    return (kept if ids.n == ids.d else kept.dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    """Of each group of near-duplicates the row with the least id and text hash; rows without words all stay.
+
+    Rows are told apart by id and text; a row without an id comes last.
+    """
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    rows = numbered(docs.withColumn("_order", order), "_order", "text")
+    group = jaccard_components(rows, "row")
+    first = group.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = rows.join(first, rows["row"] == F.col("_first"), "left_semi")
+    ids = rows.agg(F.count("*").alias("n"), F.countDistinct("row").alias("d")).first()
+    return (kept if ids.n == ids.d else kept.dropDuplicates(["row"])).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
