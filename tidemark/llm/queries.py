@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
 from tidemark.llm.chunk_dedup import dedup_chunks
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.hard_negatives import mine_negatives
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import dedup_lines
@@ -274,3 +275,29 @@ def op10_chat_format(spark, sf_dir):
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(F.array_join("read", ""), 256).alias("turns_sha256"),
         F.length("lossy").cast("long").alias("loss_chars"), F.sha2("lossy", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op11_hard_negatives", """
+    with v as (
+      select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+      where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (
+      select a.r, a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same,
+        list_dot_product(a.q, c.q)::bigint as score from v a join v c on a.r <> c.r where a.vec_id % 50 = 0),
+    positives as (
+      select r, anchor_id, id as positive_id, score as positive_score,
+        row_number() over (partition by r order by score desc, id nulls last) as k from pairs where same),
+    negatives as (
+      select p.r, p.k, p.anchor_id, p.positive_id, p.positive_score, n.id as negative_id, n.score as negative_score,
+        row_number() over (partition by p.r, p.k order by n.score desc, n.id nulls last) as k2
+      from positives p join pairs n on p.r = n.r and not n.same
+        and 50 * p.positive_score <= 100 * n.score and 100 * n.score <= 95 * p.positive_score
+      where p.k <= 5)
+    select anchor_id, positive_id, k2::int as rank, negative_id, positive_score, negative_score from negatives where k2 <= 3
+""")
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
