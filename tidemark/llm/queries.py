@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.chat_format import canonical_turns, format_chats, loss_text, read_back, record_turns
 from tidemark.llm.chunk_dedup import dedup_chunks
 from tidemark.llm.decontaminate import decontaminate
+from tidemark.llm.divergence import audit_sources
 from tidemark.llm.hard_negatives import mine_negatives
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.license_scan import PHRASE_SCORE, PHRASES, SLACK, TEMPLATES, scan_licenses, words_of
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.quality import quality_cascade
 from tidemark.llm.shared import table
@@ -301,3 +303,90 @@ def op11_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def _template_sql() -> str:
+    """The templates as rows: phrases with their places, and words with theirs."""
+    phrases, words = [], []
+    notices = [(label, text, keys, False) for label, text, keys in TEMPLATES]
+    for tid, (label, text, keys, base) in enumerate([*notices, *((label, text, (text,), True) for label, text in PHRASES)]):
+        w = words_of(text)
+        words += [f"({tid}, {i}, '{x}')" for i, x in enumerate(w) if not base]
+        for k, key in enumerate(map(words_of, keys)):
+            place = next(i for i in range(len(w)) if w[i:i + len(key)] == key)
+            phrases.append(f"({tid}, '{label}', {base}, {k}, {place}, {len(keys)}, {key})")
+    return (f"phrases(tid, label, base, k, place, n_keys, words) as (values {', '.join(phrases)}), "
+            f"notices(tid, place, x) as (values {', '.join(words)})")
+
+
+@query("op12_license_scan", rf"""
+    with {_template_sql()},
+    d as (select doc_id, coalesce({_WORDS}, []) as w from documents),
+    flat as (select doc_id, unnest(w) as x, unnest(generate_series(0, len(w) - 1)) as i from d where len(w) > 0),
+    hits as (
+      select f.doc_id, p.*, i from flat f join phrases p on f.x = p.words[1] join d on d.doc_id = f.doc_id
+      where d.w[i + 1:i + len(p.words)] = p.words),
+    heads as (select doc_id, tid, label, n_keys, i - place as o from hits where k = 0 and not base),
+    matches as (
+      select h.doc_id, h.tid, h.label, h.o from heads h join hits t
+        on h.doc_id = t.doc_id and h.tid = t.tid and abs(t.i - t.place - h.o) <= {SLACK}
+      group by h.doc_id, h.tid, h.label, h.o, h.n_keys having count(distinct t.k) = h.n_keys),
+    shares as (
+      select m.doc_id, m.tid, m.label, m.o, count(distinct n.place)::double / any_value(s.n) as share
+      from matches m join (select tid, count(*) as n from notices group by 1) s on s.tid = m.tid
+        join notices n on n.tid = m.tid
+        join flat f on f.doc_id = m.doc_id and f.x = n.x and abs(f.i - n.place - m.o) <= {SLACK} group by 1, 2, 3, 4),
+    base as (
+      select doc_id, count(*) as n, min(i) as a, max(i) as b, string_agg(distinct label, ',' order by label) as l
+      from hits where base group by 1),
+    named as (
+      select doc_id, string_agg(distinct label, ',' order by label) as l, max(share) as share
+      from (select doc_id, label, share from shares union all select doc_id, label, {PHRASE_SCORE} from hits where base) group by 1)
+    select d.doc_id, len(w)::bigint as n_words, coalesce(base.n, 0)::bigint as n_base, a::bigint as first_word,
+      b::bigint as last_word, coalesce(base.l, '') as base_labels, coalesce(named.l, '') as labels, coalesce(share, 0)::double as score
+    from d left join base on d.doc_id = base.doc_id left join named on d.doc_id = named.doc_id
+""")
+def op12_license_scan(spark, sf_dir):
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def _p_sql(count: str, total: str) -> str:
+    return f"(1 + (1000000000::hugeint * ({count} + 1)) // ({total} + v))"
+
+
+@query("op13_source_divergence", rf"""
+    with d as (
+      select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+    groups as (select distinct lang, source from d),
+    flat as (select row_number() over () as r, lang, source, w from d),
+    words as (select r, lang, source, unnest(w) as t from flat),
+    kept as (select lang, t from words group by 1, 2 having count(distinct r) >= 3),
+    vs as (select lang, count(*) as v from kept group by 1),
+    c as (select lang, source, t, count(*) as n from words join kept using (lang, t) group by 1, 2, 3),
+    totals as (
+      select lang, source, coalesce(n, 0) as total, coalesce(v, 0) as v
+      from groups left join vs using (lang) left join (select lang, source, sum(n) as n from c group by 1, 2) using (lang, source)),
+    dense as (
+      select lang, source, t, {_p_sql('coalesce(n, 0)', 'total')} as p, coalesce(n, 0) as n
+      from totals join kept using (lang) left join c using (lang, source, t)),
+    whole as (
+      select lang, t, {_p_sql('n', 'total')} as q from (select lang, t, sum(n) as n from c group by 1, 2)
+        join (select lang, sum(n) as total from c group by 1) using (lang) join vs using (lang)),
+    pairs as (
+      select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+      from dense a join dense b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by 1, 2, 3),
+    ranked as (
+      select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+      from groups a join groups b on a.lang = b.lang and a.source <> b.source
+        left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+      union all
+      select lang, source, 'term', t, ((p - q) * (p - q) // q)::bigint from dense join whole using (lang, t) where n > 0 and p > q),
+    numbered as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from ranked)
+    select lang, source, part, item, value, rank from numbered where part = 'pair' or rank <= 200
+""")
+def op13_source_divergence(spark, sf_dir):
+    return audit_sources(table(spark, sf_dir, "documents"))
