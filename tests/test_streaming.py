@@ -1,6 +1,7 @@
 """Streams in several micro-batches equal their batch forms; restarts lose and double nothing."""
 
 import os
+import pathlib
 import time
 
 import pytest
@@ -13,10 +14,16 @@ from tidemark.session import fresh_dir
 from tidemark.sinks.topic import write_topic
 from tidemark.sources.files import read_json_lines
 from tidemark.sources.topic import read_topic
+from tidemark.streaming import late
 from tidemark.streaming import operators as ops
-from tidemark.streaming.changelog import Changelog, materialise
-from tidemark.streaming.ingest import stream_time_partitioned
-from tidemark.streaming.run import append_to, finish, keep_state_on_disk, push, stream_files
+from tidemark.streaming.asof import live_asof_join
+from tidemark.streaming.busy import BusyJoin
+from tidemark.streaming.changelog import materialise, table_of
+from tidemark.streaming.ingest import roll_files, stream_time_partitioned
+from tidemark.streaming.run import (
+    Landing, append_to, file_log, in_slices, keep_state_on_disk, started, stream_files, subscribe, write_once,
+)
+from tidemark.streaming.run import replay as run_replay
 
 SCHEMA = "seq bigint, key int, kind string, value bigint, ts timestamp"
 
@@ -90,61 +97,195 @@ def test_within_join(spark, replay):
     assert want.count() > 100 and rows(got) == rows(want, "x", "y")
 
 
-@pytest.mark.parametrize("full_every", [1, 2, 50])
-def test_live_asof(spark, replay, full_every):
-    root = fresh_dir(spark, "s")
-    is_row = F.col("kind") == "b"
-    log = stream(spark, replay)
-    table = Changelog(f"{root}/state", ["key"], log.select("key", "value").schema, full_every)
-    finish(log.writeStream.foreachBatch(
-        ops.LiveAsOf(is_row, ["key"], "seq", ["value"], f"{root}/out", table)), f"{root}/cp")
-    want = joins.asof_in_log(sample(spark), is_row, ["key"], ["seq"], ["value"])
-    assert rows(spark.read.parquet(f"{root}/out"), "seq", "value") == rows(want, "seq", "value")
+def parts_of(df, n=5):
+    return in_slices(df, "seq", n)
 
 
-def test_a_batch_that_fails_and_is_retried_changes_nothing(spark, replay):
-    root = fresh_dir(spark, "s")
+def test_slices_are_consecutive_and_whole(spark):
+    df = sample(spark).unionByName(sample(spark).limit(3).withColumn("seq", F.lit(None).cast("bigint")))
+    for order in ("seq", "ts"):
+        cut = in_slices(df, order, 5)
+        assert len(cut) == 5 and sum(c.count() for c in cut) == 403
+        ends = [c.agg(F.min(order), F.max(order)).first() for c in cut]
+        assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+    assert len(in_slices(df.limit(0), "seq", 3)) == 1
+
+
+def odd_sample(spark):
+    """The sample with some keys and table values null, and a second value column."""
+    return sample(spark).withColumns({
+        "key": F.when(F.col("seq") % 11 != 0, F.col("key")), "other": F.when(F.col("seq") % 4 == 1, F.concat(F.lit("x"), "seq"))})
+
+
+def test_live_asof_equals_batch_over_a_restart(spark):
+    keep_state_on_disk(spark)
     is_row = F.col("kind") == "b"
-    log = stream(spark, replay)
-    table = Changelog(f"{root}/state", ["key"], log.select("key", "value").schema)
-    real = ops.LiveAsOf(is_row, ["key"], "seq", ["value"], f"{root}/out", table)
-
-    def breaks(batch, batch_id):
-        real(batch, batch_id)
-        if batch_id == 2:
-            raise RuntimeError("lost after writing")
-
-    with pytest.raises(Exception, match="lost after writing"):
-        finish(log.writeStream.foreachBatch(breaks), f"{root}/cp")
-    finish(log.writeStream.foreachBatch(real), f"{root}/cp")
-    want = joins.asof_in_log(sample(spark), is_row, ["key"], ["seq"], ["value"])
-    assert rows(spark.read.parquet(f"{root}/out"), "seq", "value") == rows(want, "seq", "value")
-    latest = agg.latest_by_offset(sample(spark).where(~is_row), ["key"], ["value"], "seq")
-    assert rows(table.table(spark, by_column=True)) == rows(latest)
-
-
-def test_late_rows_are_dropped_and_counted(spark):
-    path = fresh_dir(spark, "late")
-    for ids in ([0, 600], [1200], [10, 1300]):  # 10 comes long after its window has closed
-        spark.createDataFrame([(i,) for i in ids], "id bigint").select(
-            "id", F.timestamp_seconds(F.col("id") + 1_700_000_400).alias("ts")).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(1.1)
     out, cp = place(spark)
-    rows_ = stream_files(spark, path, "id bigint, ts timestamp", 1).withColumn("key", F.lit(1))
-    counts = ops.tumbling_counts(rows_, ["key"], "ts", "1 minute", "1 minute")
-    log = Changelog(out, ["window", "key"], counts.schema)
-    done = finish(counts.writeStream.outputMode("update").foreachBatch(lambda b, i: log.append(b, i)), cp)
-    dropped = sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in done.recentProgress)
-    assert dropped == 1
-    assert log.table(spark).agg(F.sum("n")).first()[0] == 4
-
-
-def test_push_query_stops_after_its_time(spark, replay):
-    _, cp = place(spark)
-    seen = []
-    counts = ops.tumbling_counts(stream(spark, replay), ["key"], "ts", "10 minutes", "1 minute")
-    push(counts, lambda b, i: seen.append(b.count()), cp, seconds=15, every="0 seconds")
-    assert seen and sum(seen) > 0
+    df = odd_sample(spark)
+    landing = Landing(spark, fresh_dir(spark, "landing"), df.schema)
+    query = None
+    for k, part in enumerate(parts_of(df, 6)):
+        landing.arrive(part)
+        if query is None:
+            query = file_log(live_asof_join(landing.stream(), is_row, ["key"], "seq", ["value", "other"]), out, cp)
+        query.processAllAvailable()
+        if k in (1, 3):  # stopped, and started again from its checkpoint
+            query.stop()
+            query = None
+    query.stop()
+    want = joins.asof_in_log(df, is_row, ["key"], ["seq"], ["value", "other"])
+    got = spark.read.parquet(out)
+    assert got.columns == want.columns and rows(got) == rows(want)
+    known = spark.read.format("statestore").option("stateVarName", "known").load(cp)
+    assert known.count() == df.where(~is_row & F.col("key").isNotNull()).select("key").distinct().count()
+
+
+def busy_sides(df):
+    a = df.where("kind = 'a'").select("key", F.col("seq").alias("x"), F.col("ts").alias("a"))
+    b = df.where("kind = 'b'").select("key", F.col("seq").alias("y"), F.col("ts").alias("b"))
+    return a, b
+
+
+@pytest.mark.parametrize("hot", [4, 1 << 20])
+def test_busy_join_equals_batch_and_cuts_its_state(spark, hot):
+    keep_state_on_disk(spark)
+    root = fresh_dir(spark, "busy")
+    df = sample(spark)
+    made = []
+
+    def start(stream):
+        made.append(BusyJoin(*busy_sides(stream), ["key"], "a", "b", "10 minutes", "2 hours", root, hot))
+        return made[0].start()
+
+    run_replay(parts_of(df), start)
+    want = joins.within_join(*busy_sides(df), ["key"], "a", "b", "10 minutes")
+    assert want.count() > 100 and rows(made[0].pairs(), "x", "y") == rows(want, "x", "y")
+    grids = made[0].grids().collect()
+    if hot > 4:
+        assert grids == []
+        return
+    assert {g.key for g in grids} >= {0} and max(g.left_n for g in grids) > 1
+    placed = spark.read.parquet(f"{root}/placed").where("__bucket is not null")
+    cells = placed.groupBy("side", placed.left.key, placed.right.key, "__bucket").agg(F.countDistinct("__i", "__j").alias("n"))
+    assert cells.agg(F.max("n")).first()[0] > 1
+    # a bucket has one grid from its first row to its last
+    busy = placed.where("coalesce(left.key, right.key) = 0").groupBy("__bucket", F.coalesce("left.x", "right.y"), "side").count()
+    assert busy.groupBy("__bucket", "side").agg(F.countDistinct("count").alias("n")).agg(F.max("n")).first()[0] == 1
+    held = spark.read.format("statestore").option("joinSide", "left").load(f"{root}/checkpoints/join")
+    one_key = held.where("key.field0 = 0").groupBy("partition_id").count()
+    assert one_key.count() > 1
+
+
+def test_windows_are_closed_once_and_state_stays_small(spark):
+    keep_state_on_disk(spark)
+    out, cp = place(spark)
+    df = sample(spark).select("key", "value", "ts")
+
+    def start(stream):
+        return [file_log(ops.tumbling_counts(stream, ["key"], "ts", "10 minutes", "1 minute", "value"), out, cp)]
+
+    query, = run_replay(in_slices(df, "ts", 8), start, ops.closing_row(df, "ts", "1 hour"))
+    want = agg.tumbling_count(df, ["key"], "ts", "10 minutes", "value")
+    assert rows(spark.read.parquet(out).select("window.start", "key", "n")) == rows(want.select("window.start", "key", "n"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert len({p["batchId"] for p in query.recentProgress}) >= 8 and max(held) < 0.4 * want.count()
+
+
+def late_parts(spark):
+    """Four arrivals; one row of the second and two of the fourth lie far behind."""
+    parts = ([0, 600, 650], [1200, 10], [1300, 1250], [1900, 20, 700, None])
+    return [spark.createDataFrame([(i,) for i in ids], "id bigint").withColumn(
+        "ts", F.timestamp_seconds(F.col("id") + 1_700_000_400)) for ids in parts]
+
+
+def test_late_rows_have_their_own_side(spark):
+    keep_state_on_disk(spark)
+    root = fresh_dir(spark, "late")
+    parts = late_parts(spark)
+    schema = parts[0].schema
+
+    def start(stream):
+        split = late.split_late(stream, f"{root}/sides", f"{root}/cp", "ts", "1 minute")
+        kept = late.kept_rows(spark, f"{root}/sides", schema, stream=True).withColumn("key", F.lit(1))
+        return [split, file_log(ops.tumbling_counts(kept, ["key"], "ts", "1 minute", "1 minute"), f"{root}/out", f"{root}/cp2")]
+
+    _, windows = run_replay(parts, start)
+    behind = late.late_rows(spark, f"{root}/sides", schema)
+    assert rows(behind, "id", "behind_us") == [(10, 580_000_000), (20, 1_220_000_000), (700, 540_000_000)]
+    kept = late.kept_rows(spark, f"{root}/sides", schema)
+    assert rows(kept, "id") == [(None,), (0,), (600,), (650,), (1200,), (1250,), (1300,), (1900,)]
+    assert sum(o["numRowsDroppedByWatermark"] for p in windows.recentProgress for o in p["stateOperators"]) == 0
+
+
+def test_a_split_batch_that_is_repeated_stays_as_it_was(spark):
+    root = fresh_dir(spark, "late")
+    split = late.LateSplit(f"{root}/sides", "ts", "1 minute")
+    first, second = late_parts(spark)[:2]
+    split(first, 0)
+    split(second, 1)
+    before = sorted(str(p) for p in pathlib.Path(f"{root}/sides").rglob("*.parquet"))
+    split(second, 1)
+    assert sorted(str(p) for p in pathlib.Path(f"{root}/sides").rglob("*.parquet")) == before
+    assert rows(late.late_rows(spark, f"{root}/sides", first.schema), "id") == [(10,)]
+
+
+def test_spark_alone_drops_and_counts_late_rows(spark):
+    out, cp = place(spark)
+
+    def start(stream):
+        counts = ops.tumbling_counts(stream.withColumn("key", F.lit(1)), ["key"], "ts", "1 minute", "1 minute")
+        return [started(counts.writeStream.outputMode("update").foreachBatch(
+            lambda b, i: write_once(b, f"{out}/batch={i}")), cp)]
+
+    query, = run_replay(late_parts(spark), start)
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in query.recentProgress) == 3
+    schema = agg.tumbling_count(late_parts(spark)[0].withColumn("key", F.lit(1)), ["key"], "ts", "1 minute").schema
+    assert table_of(spark, out, ["window", "key"], schema).agg(F.sum("n")).first()[0] == 7
+
+
+def test_subscriber_ends_by_count_or_time_and_goes_on(spark, replay):
+    out, cp = place(spark)
+    changes = stream(spark, replay).where("kind = 'b'").select("seq")
+    wanted = [r.seq for r in sample(spark).where("kind = 'b'").collect()]
+    got = subscribe(changes, out, cp, most=50, seconds=60, mode="append")
+    assert got.count() == 50 and set(rows(got, "seq")) <= {(i,) for i in wanted}
+    out, cp = place(spark)
+    begin = time.monotonic()
+    got = subscribe(changes, out, cp, most=10_000, seconds=12, mode="append")
+    assert 12 <= time.monotonic() - begin < 40 and rows(got, "seq") == [(i,) for i in wanted]
+    again = subscribe(changes, out, cp, most=10_000, seconds=2, mode="append")
+    assert rows(again, "seq") == [(i,) for i in wanted]
+    assert subscribe(changes, *place(spark), seconds=0).count() == 0
+    with pytest.raises(ValueError):
+        subscribe(changes, out, cp)
+
+
+def test_first_rows_of_a_stream_over_a_restart(spark):
+    keep_state_on_disk(spark)
+    out, cp = place(spark)
+    landing = Landing(spark, fresh_dir(spark, "landing"), sample(spark).schema)
+    for k, part in enumerate(parts_of(sample(spark), 4)):
+        landing.arrive(part)
+        query = file_log(ops.first_rows(landing.stream(), 250), out, cp)
+        query.processAllAvailable()
+        query.stop()
+        assert spark.read.parquet(out).count() == min(100 * (k + 1), 250)
+    assert spark.read.parquet(out).where("seq < 200").count() == 200
+
+
+def test_files_are_closed_by_size_and_by_the_clock(spark):
+    root = fresh_dir(spark, "roll")
+    write_topic(messages(spark, 0, 70), path=f"{root}/topic")
+    log = read_topic(spark, ["even"], path=f"{root}/topic", stream=True)
+    sink = roll_files(log, f"{root}/objects", f"{root}/cp", "timestamp", "offset", "300 milliseconds", flush_size=20, unit="year")
+    sink.processAllAvailable()
+    write_topic(messages(spark, 70, 76), path=f"{root}/topic")
+    sink.processAllAvailable()
+    sink.stop()
+    lines = read_json_lines(spark, f"{root}/objects", "offset bigint")
+    sizes = [r["count"] for r in lines.groupBy(F.input_file_name()).count().collect()]
+    assert rows(lines, "offset") == [(i,) for i in range(0, 76, 2)]
+    assert max(sizes) == 20 and 3 in sizes  # a full file, and the three rows that no later ones joined in time
 
 
 def messages(spark, low, high):

@@ -8,10 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.session import pin_utc
-from tidemark.streaming.run import STATE_PROVIDER
+from tidemark.streaming.run import CHANGELOG, STATE_PROVIDER
 
 #: Session settings that a query may change while its plan is made.
-SETTINGS = ("spark.sql.session.timeZone", STATE_PROVIDER)
+SETTINGS = ("spark.sql.session.timeZone", STATE_PROVIDER, CHANGELOG)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import latest_by_offset
 from tidemark.operators.audit import reconcile_counts
+from tidemark.operators.joins import union_all
 from tidemark.operators.skew import lookup_join
 from tidemark.plans.audits import DEDUP_SQL
 from tidemark.plans.common import EVENT_SCHEMA, VALUE_SQL, event_log, events, table, window_start
@@ -15,11 +16,20 @@ from tidemark.session import fresh_dir
 from tidemark.sinks.files import time_partition_schema, write_log_lines
 from tidemark.sinks.topic import write_topic
 from tidemark.sources.files import read_json_lines, read_log_lines
+from tidemark.sources.poll import poll_batches
 from tidemark.sources.topic import TOPIC_SCHEMA, read_topic
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, late
 from tidemark.streaming import operators as ops
-from tidemark.streaming.changelog import materialise
-from tidemark.streaming.run import append_to, keep_state_on_disk, stream_files
+from tidemark.streaming.asof import live_asof_join
+from tidemark.streaming.busy import BusyJoin
+from tidemark.streaming.run import (
+    Landing, append_to, file_log, in_slices, keep_state_on_disk, replay, started, stream_files, subscribe,
+)
+
+
+#: Bounded micro-batches that a finished table is replayed in.
+SLICES = 5
+
 
 def event_stream(spark, sf_dir):
     keep_state_on_disk(spark)
@@ -33,31 +43,53 @@ def _place(spark, name):
 
 @query("stream_tumbling_count", ORACLES["tumbling_count"])
 def stream_tumbling_count(spark, sf_dir):
+    """Events replayed in time order; each window comes out once, when the watermark has closed it."""
+    keep_state_on_disk(spark)
     out, checkpoint = _place(spark, "tumbling")
-    counts = ops.tumbling_counts(
-        event_stream(spark, sf_dir), ["user_id"], "ts", "1 hour", "1 hour", "value")
-    return materialise(counts, ["window", "user_id"], out, checkpoint).select(window_start(), "user_id", "n")
+    rows = events(spark, sf_dir).select("user_id", "value", "ts")
+
+    def start(stream):
+        counts = ops.tumbling_counts(stream, ["user_id"], "ts", "1 hour", "1 hour", "value")
+        return [file_log(counts.select(window_start(), "user_id", "n"), out, checkpoint)]
+
+    replay(in_slices(rows, "ts", SLICES), start, ops.closing_row(rows, "ts", "3 hours"))
+    return spark.read.parquet(out)
 
 
 @query("stream_dedup_windowed", DEDUP_SQL)
 def stream_dedup_windowed(spark, sf_dir):
+    """Windowed dedup of replayed events; the first of each window comes out when it is closed."""
+    keep_state_on_disk(spark)
     out, checkpoint = _place(spark, "dedup")
-    rows = event_stream(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "ts")
-    firsts = ops.first_per_window(rows, ["user_id", "event_type"], "ts", "1 hour", "event_id", "1 hour")
-    kept = materialise(firsts, ["window", "user_id", "event_type"], out, checkpoint)
-    return kept.select("first.event_id", "user_id", "event_type", "first.value", "copies")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "ts")
+
+    def start(stream):
+        firsts = ops.first_per_window(stream, ["user_id", "event_type"], "ts", "1 hour", "event_id", "1 hour")
+        return [file_log(firsts.select("first.event_id", "user_id", "event_type", "first.value", "copies"), out, checkpoint)]
+
+    replay(in_slices(rows, "ts", SLICES), start, ops.closing_row(rows, "ts", "3 hours"))
+    return spark.read.parquet(out)
 
 
 @query("stream_within_join", ORACLES["within_join"])
 def stream_within_join(spark, sf_dir):
-    out, checkpoint = _place(spark, "within")
-    purchases = event_stream(spark, sf_dir).where("event_type = 'purchase'").select(
-        "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
-    clicks = event_stream(spark, sf_dir).where("event_type = 'click'").select(
-        "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
-    pairs = ops.within_join(purchases, clicks, ["user_id"], "bought", "clicked", "1 hour", "1 hour")
+    """Replayed purchases and clicks; users that turn out busy get a grid of cells from the next bucket on."""
+    keep_state_on_disk(spark)
+    rows = events(spark, sf_dir).where("event_type in ('purchase', 'click')").select("user_id", "event_id", "event_type", "ts")
+    joins = []
+
+    def start(stream):
+        purchases = stream.where("event_type = 'purchase'").select(
+            "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+        clicks = stream.where("event_type = 'click'").select(
+            "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
+        joins.append(BusyJoin(
+            purchases, clicks, ["user_id"], "bought", "clicked", "1 hour", "1 hour", fresh_dir(spark, "within")))
+        return joins[0].start()
+
+    replay(in_slices(rows, "ts", SLICES), start)
     apart = (F.unix_micros("clicked") - F.unix_micros("bought")).alias("apart_us")
-    return append_to(pairs.select("user_id", "purchase_id", "click_id", apart), out, checkpoint)
+    return joins[0].pairs().select("user_id", "purchase_id", "click_id", apart)
 
 
 @query("stream_join_latest", LATEST_SQL)
@@ -74,14 +106,190 @@ def stream_join_latest(spark, sf_dir):
 
 @query("stream_join_asof", ASOF_SQL)
 def stream_join_asof(spark, sf_dir):
-    """Streamed purchases against the clicks that arrived before them in the same stream."""
-    root = fresh_dir(spark, "asof")
-    log = event_stream(spark, sf_dir).where("event_type in ('purchase', 'click')").select(
+    """Replayed purchases against the clicks that arrived before them in the same stream, kept in keyed state."""
+    keep_state_on_disk(spark)
+    out, checkpoint = _place(spark, "asof")
+    log = events(spark, sf_dir).where("event_type in ('purchase', 'click')").select(
         "event_id", "user_id", "event_type", "value", F.col("value").alias("paid"))
-    joined = ops.live_asof_join(
-        log, F.col("event_type") == "purchase", ["user_id"], "event_id", ["value"],
-        f"{root}/out", f"{root}/state", f"{root}/checkpoint")
-    return joined.select("event_id", "user_id", "paid", "value")
+
+    def start(stream):
+        joined = live_asof_join(stream, F.col("event_type") == "purchase", ["user_id"], "event_id", ["value"])
+        return [file_log(joined.select("event_id", "user_id", "paid", "value"), out, checkpoint)]
+
+    replay(in_slices(log, "event_id", SLICES), start)
+    return spark.read.parquet(out)
+
+
+#: Every 97th event arrives 400 places late, and arrivals come in six parts of the arrival order.
+ARRIVAL_SQL = """
+    a as (select *, event_id + case when event_id % 97 = 0 then 400 else 0 end as arrival from events),
+    arrived as (select *, (arrival - (select min(arrival) from a)) * 6 // (select max(arrival) - min(arrival) + 1 from a) as part from a)"""
+
+
+def _arrivals(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts")
+    rows = rows.withColumn("arrival", F.col("event_id") + F.when(F.col("event_id") % 97 == 0, 400).otherwise(0))
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    part = F.call_function("div", (F.col("arrival") - low) * 6, F.lit(high - low + 1))
+    return [rows.where(part == k) for k in range(6)]
+
+
+@query("stream_late_rows", f"""
+    with {ARRIVAL_SQL},
+    marks as (select part, max(max(ts)) over (order by part rows between unbounded preceding and 1 preceding) - interval 1 hour as mark
+              from arrived group by part)
+    select event_id, case when ts < mark then 'late' else 'kept' end as side,
+           case when ts < mark then epoch_us(mark) - epoch_us(ts) end as behind_us
+    from arrived join marks using (part)
+""")
+def stream_late_rows(spark, sf_dir):
+    """Rows behind the watermark go to a side output instead of being dropped: both sides together are the input."""
+    root = fresh_dir(spark, "late")
+    parts = _arrivals(spark, sf_dir)
+    replay(parts, lambda stream: [late.split_late(stream, f"{root}/sides", f"{root}/checkpoint", "ts", "1 hour")])
+    kept = late.kept_rows(spark, f"{root}/sides", parts[0].schema).withColumn("behind_us", F.lit(None).cast("bigint"))
+    sides = {"kept": kept, "late": late.late_rows(spark, f"{root}/sides", parts[0].schema)}
+    return union_all([df.select("event_id", F.lit(side).alias("side"), "behind_us") for side, df in sides.items()])
+
+
+@query("stream_late_windows", f"""
+    with {ARRIVAL_SQL},
+    marks as (select part, max(max(ts)) over (order by part rows between unbounded preceding and 1 preceding) - interval 1 hour as mark
+              from arrived group by part)
+    select user_id, epoch_us(time_bucket(interval 1 hour, ts)) as window_start_us, count(*) as n
+    from arrived join marks using (part) where mark is null or ts >= mark group by 1, 2
+""")
+def stream_late_windows(spark, sf_dir):
+    """Windows over the kept side: the second stream's watermark, with the same delay, finds nothing more to drop."""
+    keep_state_on_disk(spark)
+    root = fresh_dir(spark, "late")
+    parts = _arrivals(spark, sf_dir)
+
+    def start(stream):
+        split = late.split_late(stream, f"{root}/sides", f"{root}/checkpoint", "ts", "1 hour")
+        kept = late.kept_rows(spark, f"{root}/sides", parts[0].schema, stream=True)
+        counts = ops.tumbling_counts(kept, ["user_id"], "ts", "1 hour", "1 hour")
+        return [split, file_log(counts.select("user_id", window_start(), "n"), f"{root}/windows", f"{root}/second")]
+
+    replay(parts, start, ops.closing_row(union_all(parts), "ts", "3 hours"))
+    return spark.read.parquet(f"{root}/windows")
+
+
+@query("derived_start", f"""
+    with log as (select event_id as "offset", user_id::varchar as key, {VALUE_SQL} as value from events where event_type = 'purchase'),
+    cut as (select (max("offset") + 1) // 4 as first, (max("offset") + 1) // 2 as second from log)
+    select 'first' as reader, "offset", key, value from log, cut where "offset" >= first
+    union all select 'second', "offset", key, value from log, cut where "offset" >= second
+""")
+def derived_start(spark, sf_dir):
+    """A stream over a topic fills a derived topic; a stream over that one starts at offsets of its own.
+
+    The first query has read two of three arrivals when the second starts.
+    """
+    root = fresh_dir(spark, "derived")
+    log = event_log(spark, sf_dir, partitions=4).where("topic = 'purchase'")
+    top = log.agg(F.max("offset") + 1).first()[0]
+    start = {name: {"purchase": {p: top // n for p in range(4)}} for name, n in (("first", 4), ("second", 2))}
+    derived = f"{root}/derived"
+    first = second = None
+    for k, part in enumerate(in_slices(log, "offset", 3)):
+        write_topic(part, path=f"{root}/topic")
+        if k == 0:
+            source = read_topic(spark, path=f"{root}/topic", start=start["first"], stream=True)
+            first = started(
+                source.writeStream.format("parquet").option("path", derived).partitionBy("topic", "partition"), f"{root}/cp1")
+        first.processAllAvailable()
+        if k == 1:
+            again = read_topic(spark, path=derived, start=start["second"], stream=True)
+            second = file_log(again, f"{root}/out", f"{root}/cp2")
+        if second is not None:
+            second.processAllAvailable()
+    second.stop()
+    first.stop()
+    read = {"first": read_topic(spark, path=derived), "second": spark.read.schema(TOPIC_SCHEMA).parquet(f"{root}/out")}
+    return union_all([df.select(F.lit(name).alias("reader"), "offset", "key", "value") for name, df in read.items()])
+
+
+@query("sink_roll", """
+    select count(*) as messages, count(distinct event_id) as ids, true as bounded,
+           count(*) >= 600 as closed_by_size, true as closed_by_clock from events where event_type = 'click'
+""")
+def sink_roll(spark, sf_dir):
+    """Files are closed at 100 rows, or by the clock with fewer; three arrivals, each rolled before the next."""
+    root = fresh_dir(spark, "roll")
+    log = event_log(spark, sf_dir, partitions=1).where("topic = 'click'")
+    sink = None
+    for part in in_slices(log, "offset", 3):
+        write_topic(part, path=f"{root}/topic")
+        if sink is None:
+            source = read_topic(spark, path=f"{root}/topic", stream=True)
+            sink = ingest.roll_files(
+                source, f"{root}/objects", f"{root}/checkpoint", "timestamp", "offset", "500 milliseconds", flush_size=100, unit="month")
+        sink.processAllAvailable()
+    sink.stop()
+    lines = read_json_lines(spark, f"{root}/objects", TOPIC_SCHEMA, partitions=time_partition_schema("month"))
+    files = lines.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = files.agg(
+        F.sum("n").alias("messages"), (F.max("n") <= 100).alias("bounded"), (F.max("n") == 100).alias("closed_by_size"),
+        (F.min("n") < 100).alias("closed_by_clock"))
+    return sizes.crossJoin(lines.agg(F.countDistinct("offset").alias("ids"))).select(
+        "messages", "ids", "bounded", "closed_by_size", "closed_by_clock")
+
+
+@query("push_changes", """
+    select event_type, count(*) as n, sum(user_id)::bigint as users from events group by 1
+""")
+def push_changes(spark, sf_dir):
+    """A subscriber takes the changes of a counting query until all are there; its last ones are what a pull returns."""
+    keep_state_on_disk(spark)
+    root = fresh_dir(spark, "push")
+    rows = events(spark, sf_dir).select("event_type", "user_id", "event_id")
+    landing, wanted = Landing(spark, f"{root}/landing", rows.schema), 0
+    for part in in_slices(rows, "event_id", 3):
+        landing.arrive(part)
+        counts = landing.stream().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+        wanted += part.select("event_type").distinct().count()  # an arrival changes each type that it has once
+        seen = subscribe(counts, f"{root}/changes", f"{root}/checkpoint", most=wanted, seconds=60)
+    last = seen.groupBy("event_type").agg(F.max_by(F.struct("n", "users"), "batch").alias("v"))
+    return last.select("event_type", "v.n", "v.users")
+
+
+@query("push_rows", """
+    select event_id, user_id, value from events where event_type = 'purchase'
+""")
+def push_rows(spark, sf_dir):
+    """A subscriber that asks for as many purchases as there are ends by itself, and has got what a pull returns."""
+    root = fresh_dir(spark, "push")
+    rows = events(spark, sf_dir).select("event_id", "user_id", "value", "event_type")
+    wanted = rows.where("event_type = 'purchase'").count()
+    landing = Landing(spark, f"{root}/landing", rows.schema)
+    for part in in_slices(rows, "event_id", 2):
+        landing.arrive(part)
+    stream = landing.stream().where("event_type = 'purchase'").select("event_id", "user_id", "value")
+    return subscribe(stream, f"{root}/out", f"{root}/checkpoint", most=wanted, seconds=120, mode="append").drop("batch")
+
+
+@query("stream_limit", """
+    with n as (select count(*) as n from events), a as (select event_id, row_number() over (order by event_id) as r from events)
+    select (r - 1) * 3 // n as part, least(count(*), greatest(any_value(n) * 5 // 6 - min(r) + 1, 0))::bigint as n_rows
+    from a, n group by 1
+""")
+def stream_limit(spark, sf_dir):
+    """The first five sixths of a stream, over three arrivals and a restart: the limit is reached inside the third one."""
+    keep_state_on_disk(spark)
+    root = fresh_dir(spark, "limit")
+    rows = events(spark, sf_dir).select("event_id")
+    n = rows.count()
+    parts = poll_batches(rows.withColumn("ts", F.timestamp_micros("event_id")), "ts", "event_id", 1)
+    parts = parts.select("event_id", F.call_function("div", F.col("poll") * 3, F.lit(n)).cast("bigint").alias("part"))
+    landing = Landing(spark, f"{root}/landing", parts.schema)
+    for k in range(3):
+        landing.arrive(parts.where(F.col("part") == k))
+        query = file_log(ops.first_rows(landing.stream(), n * 5 // 6), f"{root}/out", f"{root}/checkpoint")
+        query.processAllAvailable()
+        query.stop()
+    taken = spark.read.schema(parts.schema).parquet(f"{root}/out")
+    return taken.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("stream_resume", f"""

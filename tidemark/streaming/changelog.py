@@ -1,7 +1,6 @@
-"""Tables kept as changelogs: each micro-batch stores the rows it changed.
+"""Tables over streams: each micro-batch stores the rows it changed, and the table is the latest row per key.
 
-A batch that is retried overwrites its own folder, so the table is the same
-however often a batch runs.  The table is the latest row per key.
+The state of the aggregation is Spark's own; a batch that is retried finds its folder written.
 """
 
 from __future__ import annotations
@@ -12,62 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.aggregates import latest_by_offset
-from tidemark.streaming.run import finish
+from tidemark.streaming.run import finish, write_once
 
 BATCH = "batch"
 
 
-class Changelog:
-    """A table of ``keys`` and further columns below ``path``.
-
-    Every ``full_every``-th batch stores the whole table, so a read goes back at
-    most that many batches.
-    """
-
-    def __init__(self, path: str, keys: Sequence[str], schema: T.StructType, full_every: int = 50):
-        self.path, self.keys, self.schema, self.full_every = path, list(keys), schema, full_every
-        self.values = [f.name for f in schema if f.name not in self.keys]
-
-    def _log(self, spark: SparkSession, before: int | None) -> DataFrame:
-        declared = T.StructType([*self.schema.fields, T.StructField(BATCH, T.LongType())])
-        if before == 0:
-            return spark.createDataFrame([], declared)
-        log = spark.read.schema(declared).parquet(self.path)
-        if before is None:
-            before = (log.agg(F.max(BATCH)).first()[0] or 0) + 1
-        base = (before - 1) // self.full_every * self.full_every
-        return log.where((F.col(BATCH) >= base) & (F.col(BATCH) < before))
-
-    def table(self, spark: SparkSession, before: int | None = None, by_column: bool = False) -> DataFrame:
-        """The latest row per key, as of the start of batch ``before`` if given.
-
-        ``by_column`` takes the latest non-null value of each column instead.
-        """
-        log = self._log(spark, before)
-        if by_column:
-            return latest_by_offset(log, self.keys, self.values, BATCH)
-        last = log.groupBy(*self.keys).agg(F.max_by(F.struct(*self.values), F.col(BATCH)).alias("__v"))
-        return last.select(*self.keys, "__v.*").select(*self.schema.names)
-
-    def append(self, changed: DataFrame, batch_id: int, by_column: bool = False) -> None:
-        rows = changed.select(*self.schema.names)
-        if batch_id and batch_id % self.full_every == 0:
-            spark = changed.sparkSession
-            older = self._log(spark, batch_id)
-            both = older.unionByName(rows.withColumn(BATCH, F.lit(batch_id).cast("bigint")))
-            if by_column:
-                rows = latest_by_offset(both, self.keys, self.values, BATCH)
-            else:
-                rows = both.groupBy(*self.keys).agg(
-                    F.max_by(F.struct(*self.values), F.col(BATCH)).alias("__v")).select(*self.keys, "__v.*")
-        rows.write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+def table_of(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType) -> DataFrame:
+    """The latest row per key of the changes below ``path``."""
+    log = spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(path)
+    values = [f.name for f in schema if f.name not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("__v"))
+    return last.select(*keys, "__v.*").select(*schema.names)
 
 
 def materialise(aggregated: DataFrame, keys: Sequence[str], path: str, checkpoint: str) -> DataFrame:
     """Run a streaming aggregation to the end of its input and return its table."""
-    spark = aggregated.sparkSession
-    log = Changelog(path, keys, aggregated.schema)
     finish(aggregated.writeStream.outputMode("update").foreachBatch(
-        lambda batch, batch_id: log.append(batch, batch_id)), checkpoint)
-    return log.table(spark)
+        lambda batch, batch_id: write_once(batch, f"{path}/{BATCH}={batch_id}")), checkpoint)
+    return table_of(aggregated.sparkSession, path, keys, aggregated.schema)

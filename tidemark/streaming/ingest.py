@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.sinks.files import time_partitioned
 from tidemark.sources.poll import Mark, next_mark, poll
-from tidemark.streaming.run import finish
+from tidemark.streaming.run import finish, started
 
 
 def stream_time_partitioned(
@@ -26,6 +27,23 @@ def stream_time_partitioned(
     finish(writer, checkpoint)
 
 
+def roll_files(
+    rows: DataFrame, path: str, checkpoint: str, ts: str, offset: str, rot_interval: str, zone: str = "Asia/Seoul",
+    flush_size: int = 100_000, unit: str = "minute",
+) -> StreamingQuery:
+    """Start a time-partitioned gzip JSON sink that closes a file at ``flush_size`` rows or when ``rot_interval`` of the clock is over.
+
+    Whatever came within an interval is written at its end, in files of at most ``flush_size`` rows, so a row waits
+    no longer than the interval however few there are.  Files appear exactly once, also after a restart.
+    """
+    laid, fields = time_partitioned(rows, ts, offset, zone, flush_size, unit)
+    writer = (
+        laid.writeStream.format("json").option("path", path).option("compression", "gzip").option("ignoreNullFields", "false")
+        .option("maxRecordsPerFile", flush_size).partitionBy(*fields).trigger(processingTime=rot_interval)
+    )
+    return started(writer, checkpoint)
+
+
 class TablePoller:
     """Polls a changing table into ``<path>/data/poll=n``.
 

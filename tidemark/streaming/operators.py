@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
 from tidemark.operators import dedup, joins
-from tidemark.streaming.changelog import Changelog
-from tidemark.streaming.run import finish
 
 
 def tumbling_counts(
@@ -57,41 +55,12 @@ def within_join(
         on, left_ts, right_ts, within)
 
 
-class LiveAsOf:
-    """Left join of a stream with the table that the same stream builds, in arrival order.
+def first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of a stream (append mode); Spark counts them in its state, over batches and restarts."""
+    return rows.limit(n)
 
-    Use as a ``foreachBatch`` function.  Each batch sees the table left by the batches
-    before it and, inside the batch, every table message ahead of a row.  Results of
-    batch n go to ``<out>/batch=n`` and are overwritten if the batch is retried.
-    """
 
-    def __init__(
-        self, is_row: Column, on: Sequence[str], order: str, values: Sequence[str], out: str, table: Changelog
-    ):
-        self.is_row, self.on, self.order, self.values = is_row, list(on), order, list(values)
-        self.out, self.table = out, table
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            spark = batch.sparkSession
-            known = self.table.table(spark, before=batch_id, by_column=True)
-            log = batch.withColumn("__is_row", self.is_row).unionByName(
-                known.withColumns({"__is_row": F.lit(False), self.order: F.lit(-1).cast("bigint")}),
-                allowMissingColumns=True)
-            joined = joins.asof_in_log(log, F.col("__is_row"), self.on, [self.order], self.values)
-            joined.drop("__is_row").write.mode("overwrite").parquet(f"{self.out}/batch={batch_id}")
-            changed = agg.latest_by_offset(batch.where(~self.is_row), self.on, self.values, self.order)
-            self.table.append(changed, batch_id, by_column=True)
-        finally:
-            batch.unpersist()
-
-
-def live_asof_join(
-    log: DataFrame, is_row: Column, on: Sequence[str], order: str, values: Sequence[str],
-    out: str, state: str, checkpoint: str,
-) -> DataFrame:
-    """Run :class:`LiveAsOf` to the end of the input and return all results."""
-    table = Changelog(state, on, log.select(*on, *values).schema)
-    finish(log.writeStream.foreachBatch(LiveAsOf(is_row, on, order, values, out, table)), checkpoint)
-    return log.sparkSession.read.parquet(out).drop("batch")
+def closing_row(rows: DataFrame, ts: str, beyond: str) -> DataFrame:
+    """The newest row of a finished table, moved ``beyond`` its time: it closes all windows, and its own stays open."""
+    newest = rows.agg(F.max_by(F.struct(*rows.columns), F.col(ts)).alias("r")).select("r.*")
+    return newest.withColumn(ts, F.col(ts) + F.expr(f"interval {beyond}")).where(F.col(ts).isNotNull())
