@@ -18,7 +18,7 @@ HEADLINE = [
     "tumbling_count", "hopping_latest", "latest_by_offset", "changelog_count", "dedup_windowed",
     "compact_tombstone", "repartition_keys", "within_join", "join_latest", "join_asof_left",
     "join_asof_event_time", "fillna_earliest", "missing_ids", "duplicate_report", "reconcile_counts",
-    "late_rows", "inject_anomalies", "gen_person_table", "topic_encode", "json_flatten", "schema_evolve",
+    "late_rows", "topic_encode", "json_flatten", "schema_evolve",
     "poll_ts_inc", "poll_batches", "cdc_apply", "topk_multi", "date_sharded_union", "sink_roundtrip",
     "stream_tumbling_count", "stream_within_join", "stream_join_asof",
 ]

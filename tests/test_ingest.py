@@ -14,8 +14,8 @@ from tidemark.session import fresh_dir
 from tidemark.sinks import files as sink
 from tidemark.sinks.topic import encode
 from tidemark.sources import cdc, files, generate, shards
-from tidemark.sources.poll import Mark, next_mark, poll, poll_batches, unseen
-from tidemark.streaming.ingest import TablePoller
+from tidemark.sources.poll import Mark, next_mark, poll, poll_batches, unseen, untimed
+from tidemark.streaming.ingest import TablePoller, poll_tables
 
 
 def people(spark, n, at_ms=1000):
@@ -278,3 +278,35 @@ def test_inclusive_batches_pass_a_mark_that_fills_a_batch(spark):
     second = poll(late, mark, ts_col="at", batch=2, inclusive=True, delivered=first, identity=["id"])
     assert rows(first, "id") == [(i,) for i in range(5)]
     assert rows(second, "id") == [(i,) for i in range(5, 10)] + [(99,)]
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize("batch", [None, 1, 3])
+def test_rows_without_a_time_do_not_stop_polls(spark, batch, inclusive):
+    """More nulls than a batch holds: all other rows still arrive once, and the nulls are given apart."""
+    table = people(spark, 10).withColumn("regdt", F.when(F.col("id") > 4, F.timestamp_millis(F.col("id") * 1000)))
+    options = {"inclusive": True, "identity": ["id"]} if inclusive else {}
+    poller = TablePoller(fresh_dir(spark, "t"), ts_col="regdt", **({"batch": batch} if batch else {}), **options)
+    assert rows(poller.run_until_empty(table), "id") == [(i,) for i in range(5, 11)]
+    assert rows(untimed(table, "regdt"), "id") == [(i,) for i in range(1, 5)]
+    both = TablePoller(fresh_dir(spark, "t"), ts_col="regdt", id_col="id", **({"batch": batch} if batch else {}))
+    assert rows(both.run_until_empty(table), "id") == [(i,) for i in range(5, 11)]
+
+
+def test_several_tables_are_polled_side_by_side(spark):
+    names = ["a", "b", "c"]
+    pollers = {n: TablePoller(fresh_dir(spark, "t"), id_col="id") for n in names}
+    lost = []
+
+    def table(name, n):
+        if name == "b" and not lost:
+            lost.append(name)
+            raise ConnectionError("gone")
+        return people(spark, n)
+
+    first = poll_tables(pollers, {n: lambda n=n: table(n, 4) for n in names})
+    assert first["a"] == first["c"] == 1 and isinstance(first["b"], ConnectionError)
+    assert poll_tables(pollers, {n: lambda n=n: table(n, 7) for n in names}) == {"a": 2, "b": 1, "c": 2}
+    for name in names:
+        assert rows(spark.read.parquet(f"{pollers[name].path}/data"), "id") == [(i,) for i in range(1, 8)]
+    assert poll_tables({}, {}) == {}

@@ -95,8 +95,30 @@ def test_hot_keys_are_found_on_a_sample(spark):
 def test_hot_keys(log, monkeypatch):
     assert rows(skew.hot_keys(log, ["key"], 400)) == [(0, 2143)]
     assert skew.hot_keys(log, ["key"], 10**6) is None
-    monkeypatch.setattr(skew, "MOST_HOT", 4)
-    assert rows(skew.hot_keys(log, ["key"], 1)) == [(0, 2143)]
+    many = rows(skew.hot_keys(log, ["key"], 1))
+    assert len(many) > 1 and (0, 2143) in many
+    monkeypatch.setattr(skew, "MOST_LOCAL", 1)  # more of them than that are stored
+    assert rows(skew.hot_keys(log, ["key"], 1)) == many
+    assert "Relation [" in skew.hot_keys(log, ["key"], 1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_take_one_job_and_no_forced_broadcast(spark, log):
+    tracker, group = spark.sparkContext.statusTracker(), "hot-keys"
+    spark.sparkContext.setJobGroup(group, group)
+    hot = skew.hot_keys(log, ["key"], 400)
+    jobs = tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 3  # one over the rows; the counts and the limit follow on its shuffle
+    plan = hot._jdf.queryExecution().optimizedPlan()
+    assert "LocalRelation" in plan.toString() and int(str(plan.stats().sizeInBytes())) < 1 << 20
+
+
+def test_segments_do_not_grow_with_the_log(log):
+    stored = r.stored_in_order(log, ["at", "seq"], 2, segment_rows=100)
+    sizes = stored.groupBy(r.SEGMENT).agg(F.count("*").alias("n"), F.min(F.struct("at", "seq")).alias("a"), F.max(F.struct("at", "seq")).alias("b"))
+    got = sizes.orderBy(r.SEGMENT).collect()
+    assert max(x.n for x in got) == 100 and sum(x.n for x in got) == 3000
+    assert all(tuple(x.b) < tuple(y.a) for x, y in zip(got, got[1:]))
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

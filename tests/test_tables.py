@@ -1,11 +1,16 @@
 """Aggregates, dedup, compaction, rekeying and audits."""
 
+import glob
+import os
+import time
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as agg
 from tidemark.operators import audit, dedup, rekey
+from tidemark.sinks.compact import StoredLog
 from tidemark.sources import generate, topic
 from tidemark.sources.tables import chosen_tables, jdbc_options
 
@@ -112,6 +117,67 @@ def test_missing_ids(spark):
     assert rows(audit.missing_ids(seen, "id", 1, 6)) == [(3,), (4,), (6,)]
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 5, "segment_rows": 3}])
+def test_gaps_of_sparse_and_huge_ids(spark, limits):
+    top = 10**15
+    present = [3, 4, 4, 7, 10, top - 2, top, None, -5, top + 9]
+    seen = spark.createDataFrame([(i,) for i in present], "id bigint").repartition(3)
+    got = rows(audit.id_gaps(seen, "id", 1, top, **limits))
+    assert got == [(1, 2, 2), (5, 6, 2), (8, 9, 2), (11, top - 3, top - 13), (top - 1, top - 1, 1)]
+    assert rows(audit.id_gaps(seen.limit(0), "id", 1, 9, **limits)) == [(1, 9, 9)]
+    assert rows(audit.id_gaps(seen, "id", 3, 4, **limits)) == []
+
+
+def test_missing_ids_near_the_top_of_a_wide_range(spark, monkeypatch):
+    monkeypatch.setattr(audit, "PIECE", 7)
+    top = 10**15
+    seen = spark.range(top - 15_000, top).where("id % 3 > 0")
+    begin = time.monotonic()
+    got = audit.missing_ids(seen, "id", top - 15_040, top - 1)
+    assert got.count() == 40 + 5000 and got.agg(F.min("id"), F.max("id")).first() == (top - 15_040, top - 1)
+    assert time.monotonic() - begin < 30
+
+
+def log_rows(spark, keys, low=0, topic="t", partition=0):
+    data = [(topic, partition, low + i, k, v) for i, (k, v) in enumerate(keys)]
+    return spark.createDataFrame(data, "topic string, partition int, offset bigint, key string, value string").withColumn(
+        "timestamp", F.timestamp_seconds("offset"))
+
+
+def test_a_stored_log_is_compacted_where_it_pays(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/stored")
+    log.append(log_rows(spark, [("a", "1"), ("b", "1"), ("a", "2"), ("a", None), (None, "x"), ("b", "2"), ("c", "1"), ("b", "3")]))
+    log.append(log_rows(spark, [(str(k), "v") for k in range(8)], topic="fresh", partition=1))
+    before = {p: os.stat(p).st_mtime_ns for p in glob.glob(f"{tmp_path}/stored/log/**/*.parquet", recursive=True)}
+    earlier = log.read()  # a reader that began before the compaction
+    whole = rows(earlier.select("topic", "offset", "key", "value"))
+    assert log.compact(head=2) == [("t", 0)]
+    assert rows(earlier.select("topic", "offset", "key", "value")) == whole
+    assert {p: os.stat(p).st_mtime_ns for p in before} == before
+    kept = rows(log.read().where("topic = 't'"), "offset", "key", "value")
+    assert kept == [(5, "b", "2"), (6, "c", "1"), (7, "b", "3")]  # the tombstone took a with it, and the head is as it was
+    assert log.read().where("topic = 'fresh'").count() == 8
+    assert log.compact(head=2) == []
+    log.append(log_rows(spark, [("b", str(k)) for k in range(4, 9)], low=8))
+    assert rows(log.read().where("topic = 't'"), "offset") == [(k,) for k in range(5, 13)]
+    assert log.compact(head=1, limit=0.8) == [] and log.compact(head=1) == [("t", 0)]
+    assert rows(log.read().where("topic = 't'"), "offset", "key", "value") == [(6, "c", "1"), (11, "b", "7"), (12, "b", "8")]
+    assert len(log.pointer()) == 1
+
+
+def test_a_compaction_that_fails_before_its_pointer_changes_nothing(spark, tmp_path, monkeypatch):
+    log = StoredLog(spark, f"{tmp_path}/stored")
+    log.append(log_rows(spark, [("a", str(k)) for k in range(6)]))
+    whole = rows(log.read(), "offset", "value")
+    monkeypatch.setattr(spark, "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        log.compact(head=0)
+    monkeypatch.undo()
+    assert rows(log.read(), "offset", "value") == whole
+    assert log.compact(head=0) == [("t", 0)]
+    assert rows(log.read(), "offset", "value") == [(5, "5")]
+
+
 def test_duplicates_of_one_id_that_fills_the_log(spark):
     log = spark.range(500).select(
         F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("id"), F.lit("t").alias("topic"),

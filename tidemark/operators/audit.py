@@ -8,14 +8,36 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import running_max, with_running
+from tidemark.operators.running import running_before, running_max, with_running
 from tidemark.operators.skew import lookup_join
 
 
-def missing_ids(seen: DataFrame, id_col: str, first: int, last: int) -> DataFrame:
-    """Ids from ``first`` to ``last`` that do not occur."""
-    expected = seen.sparkSession.range(first, last + 1).withColumnRenamed("id", id_col)
-    return expected.join(seen.select(id_col).distinct(), id_col, "left_anti")
+#: A run of missing ids is expanded in pieces of so many.
+PIECE = 1 << 20
+
+
+def id_gaps(seen: DataFrame, id_col: str, first: int, last: int, **limits) -> DataFrame:
+    """The runs of ids from ``first`` to ``last`` that do not occur: ``first_missing, last_missing, n``.
+
+    Each id is compared with the one before it in the order of ids, so the work goes with the ids that
+    are there and not with the range.
+    """
+    ids = seen.select(F.col(id_col).cast("bigint").alias("__id")).where(F.col("__id").between(first, last)).distinct()
+    end = seen.sparkSession.range(1).select(F.lit(last + 1).cast("bigint").alias("__id"))
+    before = {"__before": running_before(F.col("__id"))}
+    placed = with_running(ids.union(end), [], ["__id"], before, dense=False, **limits)
+    low = F.coalesce("__before", F.lit(first - 1)) + 1
+    return placed.where(F.col("__id") > low).select(
+        low.alias("first_missing"), (F.col("__id") - 1).alias("last_missing"), (F.col("__id") - low).alias("n"))
+
+
+def missing_ids(seen: DataFrame, id_col: str, first: int, last: int, **limits) -> DataFrame:
+    """Ids from ``first`` to ``last`` that do not occur.  Only gaps are expanded, a long one by several tasks."""
+    gaps = id_gaps(seen, id_col, first, last, **limits)
+    steps = F.sequence("first_missing", "last_missing", F.lit(PIECE).cast("bigint"))
+    pieces = gaps.select("last_missing", F.explode(steps).alias("__from"))
+    long = pieces.select("__from", F.least(F.col("__from") + (PIECE - 1), "last_missing").alias("__to"))
+    return long.repartition("__from").select(F.explode(F.sequence("__from", "__to")).alias(id_col))
 
 
 def duplicate_report(log: DataFrame, id_col: str, place: Sequence[str]) -> DataFrame:

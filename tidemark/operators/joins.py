@@ -51,7 +51,7 @@ def within_join(
     for number, side in zip(grid, (cut_left, cut_right)):
         hot = hot_keys(side, keys, hot_rows)
         if hot is not None:
-            parts = F.broadcast(hot.select(*keys, F.ceil(F.col(COUNT) / F.lit(hot_rows)).cast("int").alias(f"{number}_n")))
+            parts = hot.select(*keys, F.ceil(F.col(COUNT) / F.lit(hot_rows)).cast("int").alias(f"{number}_n"))
             cut_left, cut_right = (s.join(parts, keys, "left") for s in (cut_left, cut_right))
     if cut_left.columns == [*left.columns, "__bucket"]:
         return cut_left.join(cut_right, keys).where(near).drop("__bucket")

@@ -20,7 +20,7 @@ from tidemark.session import fresh_dir
 
 SEGMENT_ROWS = 1 << 20
 SEGMENT = "__segment"
-# An order is stored in so many ranges at most; those of a larger log just grow.
+# An order is stored in so many sorted ranges at most, each of which may hold many segments.
 MOST_PARTS = 10_000
 
 
@@ -62,15 +62,28 @@ def running_last(value: Column, order: Column) -> Running:
     )
 
 
-def stored_in_order(rows: DataFrame, order: Sequence[str], parts: int) -> DataFrame:
-    """``rows`` in ``parts`` ranges of ``order``, with the number of their range as ``__segment``.
+def running_before(value: Column) -> Running:
+    """The largest ``value`` of the rows before a row, without its own."""
+    return Running(
+        inside=lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        total=F.max(value),
+        carry=lambda t, w: F.max(t).over(w),
+        merge=lambda before, inside: F.greatest(before, inside),
+    )
+
+
+def stored_in_order(rows: DataFrame, order: Sequence[str], parts: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """``rows`` in segments of at most ``segment_rows`` consecutive rows of ``order``, with their number as ``__segment``.
 
-    They are written to the shared folder, since ranges are sampled and a second
-    evaluation could cut them elsewhere.
+    They are sorted in ``parts`` ranges and numbered there, so a segment does not grow with the log.  They are written to
+    the shared folder, since ranges are sampled and a second evaluation could cut them elsewhere.
     """
     path = fresh_dir(rows.sparkSession, "ordered")
-    ranged = rows.repartitionByRange(parts, *order)
-    ranged.withColumn(SEGMENT, F.spark_partition_id().cast("bigint")).write.parquet(path)
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the numbers of a range are dense from a multiple of 2^33 on
+    at = F.monotonically_increasing_id()
+    number = F.shiftright(at, 33) * ((1 << 33) // segment_rows + 1) + F.floor(at.bitwiseAND((1 << 33) - 1) / segment_rows)
+    ranged.withColumn(SEGMENT, number.cast("bigint")).write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -100,10 +113,10 @@ def with_running(
         cut = rows.withColumn(SEGMENT, F.floor(F.col(order[0]) / F.lit(segment_rows)))
     else:
         total = row_estimate(rows, segment_rows) if keys else hot.first()[COUNT]
-        cut = stored_in_order(rows, order, min(total // segment_rows + 1, MOST_PARTS))
+        cut = stored_in_order(rows, order, min(total // segment_rows + 1, MOST_PARTS), segment_rows)
     is_hot = "__hot"
     if keys:
-        cut = null_safe(cut, F.broadcast(hot.select(*keys, F.lit(True).alias(is_hot))), keys, "left")
+        cut = null_safe(cut, hot.select(*keys, F.lit(True).alias(is_hot)), keys, "left")
         cut = cut.withColumn(SEGMENT, F.when(F.col(is_hot), F.col(SEGMENT)).otherwise(F.lit(-1)))
     else:
         cut = cut.withColumn(is_hot, F.lit(True))

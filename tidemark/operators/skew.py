@@ -8,14 +8,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tidemark.session import fresh_dir
 
 # A key above this many rows is treated as hot.
 HOT_ROWS = 1 << 22
 
-# A key is hot only if it holds more than one in so many of all rows, so there are no
-# more hot keys than this; a key below that share is an ordinary part of a task of so large an input.
-MOST_HOT = 10_000
+# So many hot keys are handed over as a local table, whose size the planner knows; more of them are stored.
+MOST_LOCAL = 100_000
 
 # Keys are counted on a sample in which a key of ``hot_rows`` rows is expected this often.
 SAMPLE_HITS = 400
@@ -26,22 +26,25 @@ COUNT = "__n"
 def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """The keys of ``rows`` that hold over ``hot_rows`` rows, with their estimated count ``__n``.
 
-    None if there is no such key.  Rows are sampled and counted per key, so hardly
+    None if there is no such key.  Rows are sampled and counted per key in one pass, so hardly
     anything is shuffled; a key is taken as hot from half the expected hits on, which
     makes it all but impossible to miss one.  The answer only decides how rows are
-    spread, never which rows there are.  A hot key also holds more than one in
-    ``MOST_HOT`` rows, which bounds the result by construction; it may be broadcast.
-    Null is a key like any other.
+    spread, never which rows there are.  There is one row for each ``hot_rows`` rows at most, and whether it
+    is broadcast is left to the planner's size check.  Null is a key like any other.
     """
     fraction = min(1.0, SAMPLE_HITS / max(hot_rows, 1))
     drawn = rows.select(*keys) if fraction == 1.0 else rows.sample(fraction, seed=17).select(*keys)
-    hits = max(hot_rows if fraction == 1.0 else SAMPLE_HITS // 2, drawn.count() // MOST_HOT)
-    found = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT)).where(F.col(COUNT) > hits).collect()
-    if not found:
+    hits = hot_rows if fraction == 1.0 else SAMPLE_HITS // 2
+    counted = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("__hits")).where(F.col("__hits") > hits)
+    found = counted.select(*keys, F.ceil(F.col("__hits") / F.lit(fraction)).cast("bigint").alias(COUNT))
+    local = found.limit(MOST_LOCAL + 1).toArrow()
+    if not len(local):
         return None
-    schema = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in keys], T.StructField(COUNT, T.LongType())])
-    return rows.sparkSession.createDataFrame(
-        [(*r[:-1], math.ceil(r[-1] / fraction)) for r in found], schema)
+    if len(local) <= MOST_LOCAL:
+        return rows.sparkSession.createDataFrame(local, schema=found.schema)
+    path = fresh_dir(rows.sparkSession, "hot")
+    found.write.parquet(path)
+    return rows.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -78,7 +81,7 @@ def lookup_join(
         if hot is None:
             return rows.join(lookup, list(on), how)
         share = F.ceil(F.col(COUNT) / F.lit(hot_rows)).cast("int")
-        hot = F.broadcast(hot.select(*on, share.alias(salts)))
+        hot = hot.select(*on, share.alias(salts))
         rows, lookup = null_safe(rows, hot, on, "left"), null_safe(lookup, hot, on, "left")
     n = F.coalesce(F.col(salts), F.lit(1))
     left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), n).cast("int")).drop(salts)

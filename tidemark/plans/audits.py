@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, dedup, rekey
-from tidemark.plans.common import event_log, events, table
+from tidemark.plans.common import VALUE_SQL, event_log, events, table
 from tidemark.plans.generated import SENDS_SQL, deliveries
 from tidemark.plans.registry import query
+from tidemark.session import fresh_dir
+from tidemark.sinks.compact import StoredLog
 
 
 @query("missing_ids", """
@@ -23,6 +25,19 @@ def missing_ids(spark, sf_dir):
     return audit.missing_ids(rows.where(F.col("event_type") != "error"), "event_id", first, last)
 
 
+@query("id_gaps", """
+    with seen as (select distinct event_id as id from events where event_type = 'click'
+                  union all select max(event_id) + 1 from events),
+    placed as (select id, coalesce(lag(id) over (order by id), (select min(event_id) from events) - 1) + 1 as low from seen)
+    select low as first_missing, id - 1 as last_missing, id - low as n from placed where id > low
+""")
+def id_gaps(spark, sf_dir):
+    """The runs of ids that a consumer of clicks alone has not seen."""
+    rows = events(spark, sf_dir)
+    first, last = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    return audit.id_gaps(rows.where("event_type = 'click'"), "event_id", first, last)
+
+
 @query("duplicate_report", f"""
     with {SENDS_SQL}
     select event_id, delivery, epoch_us(emit_ts) as emit_us, count(*) over (partition by event_id) as n
@@ -188,3 +203,23 @@ def repartition_keys(spark, sf_dir):
         (F.row_number().over(source) - 1).cast("bigint").alias("offset"),
         F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"))
     return rekey.key_positions(rekey.repartition_topic(log, 4))
+
+
+@query("compact_stored_log", f"""
+    with log as (
+      select event_type as topic, event_id as "offset",
+        case when event_type = 'view' then event_id else user_id end::varchar as key, {VALUE_SQL} as value from events),
+    marked as (select *, "offset" < max("offset") over (partition by topic) + 1 - 500 as closed from log),
+    ranked as (
+      select *, row_number() over (partition by topic, key, closed order by "offset" desc) as back,
+        count(*) filter (closed) over (partition by topic) as n from marked),
+    shares as (select topic, 1 - count(*) filter (closed and back = 1) * 1.0 / any_value(n) as old from ranked group by 1)
+    select topic, "offset", key, value from ranked join shares using (topic) where not closed or back = 1 or old <= 0.5
+""")
+def compact_stored_log(spark, sf_dir):
+    """Topics with mostly old messages are rewritten, the one with a key for each message is left alone, and so are heads."""
+    log = StoredLog(spark, fresh_dir(spark, "stored"))
+    key = F.when(F.col("topic") == "view", F.col("offset").cast("string")).otherwise(F.col("key"))
+    log.append(event_log(spark, sf_dir, partitions=1).withColumn("key", key))
+    log.compact(head=500)
+    return log.read().select("topic", "offset", "key", "value")

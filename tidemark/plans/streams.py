@@ -357,6 +357,39 @@ def poll_ingest(spark, sf_dir):
     return delivered.select("o_orderkey", F.col("poll").cast("int").alias("poll"))
 
 
+@query("poll_several", """
+    select 'orders' as source, count(*) as n, count(distinct o_orderkey) as ids, sum(o_orderkey)::bigint as total from orders
+    union all select 'customers', count(*), count(distinct c_custkey), sum(c_custkey)::bigint from customer
+    union all select 'events', count(*), count(distinct event_id), sum(event_id)::bigint from events
+""")
+def poll_several(spark, sf_dir):
+    """Three growing tables polled side by side, each with its own mark; one poll fails once, and each row comes once."""
+    ids = {"orders": ("orders", "o_orderkey"), "customers": ("customer", "c_custkey"), "events": ("events", "event_id")}
+    pollers, sources, breaks = {}, {}, {"events"}
+    for name, (source, key) in ids.items():
+        rows = table(spark, sf_dir, source).select(F.col(key).alias("id"))
+        pollers[name] = ingest.TablePoller(fresh_dir(spark, f"polls-{name}"), id_col="id")
+        sources[name] = (rows, *rows.agg(F.min("id"), F.max("id")).first())
+
+    def version(name, part):
+        rows, low, high = sources[name]
+        if part == 2 and name in breaks:
+            breaks.discard(name)
+            raise ConnectionError("the source is gone for a moment")
+        return rows.where(F.col("id") <= low + (high - low) * part // 3)
+
+    failed = 0
+    for part in (1, 2, 3):
+        done = ingest.poll_tables(pollers, {name: lambda name=name: version(name, part) for name in ids})
+        failed += sum(isinstance(n, Exception) for n in done.values())
+    if failed != 1:
+        raise AssertionError(f"{failed} polls failed")
+    return union_all([
+        spark.read.parquet(f"{poller.path}/data").agg(
+            F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.sum("id").alias("total"))
+        for name, poller in pollers.items()])
+
+
 @query("reconcile_sink", """
     select event_type as topic, strftime(ts + interval 9 hour, '%Y%m%d') as day,
            count(*) as source_n, count(*) as sink_n, 'ok' as status from events group by 1, 2

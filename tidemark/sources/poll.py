@@ -46,12 +46,17 @@ def poll(
     * both: rows after the mark in (time, id) order, so a row whose time was
       updated is delivered again.
 
+    A poll by time delivers no row without a time, with or without ``batch``: such a row has no place before
+    or behind a mark.  :func:`untimed` gives those rows apart.
+
     With ``now_us`` only times up to ``now_us - delay_us`` count as complete.
     ``batch`` delivers the first rows in poll order: that many where an id tells rows
     apart, and in a poll by time alone as many times as it takes to have that many rows.
     Rows of one time are never parted there, since the next poll starts behind it.
     """
     cond = _after(mark, id_col, ts_col, inclusive)
+    if ts_col is not None:
+        cond = cond & F.col(ts_col).isNotNull()
     if ts_col is not None and now_us is not None:
         cond = cond & (F.col(ts_col) <= _instant(now_us - delay_us))
     rows = table.where(cond)
@@ -89,6 +94,11 @@ def _after(mark: Mark, id_col: str | None, ts_col: str | None, inclusive: bool)
     return (F.col(ts_col) >= last) & ((F.col(ts_col) > last) | tied)
 
 
+def untimed(table: DataFrame, ts_col: str) -> DataFrame:
+    """The rows that polls by time never deliver."""
+    return table.where(F.col(ts_col).isNull())
+
+
 def next_mark(polled: DataFrame, mark: Mark, id_col: str | None = None, ts_col: str | None = None) -> Mark:
     """The mark after ``polled``; unchanged when it is empty."""
     if ts_col is None:

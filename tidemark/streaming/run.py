@@ -163,10 +163,15 @@ def subscribe(
     full = Event()
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        room = None if most is None else most - taken(batch_id).count()
-        write_once(batch if room is None else batch.limit(max(room, 0)), f"{path}/batch={batch_id}")
-        if room is not None and spark.read.parquet(f"{path}/batch={batch_id}").count() >= room:
-            full.set()
+        batch = batch.persist()
+        try:
+            batch.count()  # all of the batch has to run, though only a part of it may be taken
+            room = None if most is None else most - taken(batch_id).count()
+            write_once(batch if room is None else batch.limit(max(room, 0)), f"{path}/batch={batch_id}")
+            if room is not None and spark.read.parquet(f"{path}/batch={batch_id}").count() >= room:
+                full.set()
+        finally:
+            batch.unpersist()
 
     end = None if seconds is None else time.monotonic() + seconds
     query = started(rows.writeStream.outputMode(mode).foreachBatch(take).trigger(processingTime=every), checkpoint)
