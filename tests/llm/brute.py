@@ -4,7 +4,6 @@ import hashlib
 import re
 from collections import Counter
 
-import numpy as np
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -106,23 +105,13 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_sim(form):
-    from tidemark.llm.line_dedup import simhashes
-    from tidemark.llm.textbytes import Texts
-
-    data = form.encode()
-    texts = Texts(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]), 0)
-    starts, ends, _ = texts.spans(np.arange(256) != 32)
-    return int(simhashes(texts.span_hash(starts, ends), np.array([0]))[0])
-
-
-def fuzzy_lines(rows, distance=3, similarity=0.8):
+def fuzzy_lines(rows, similarity=0.8):
     """rows: (id, text) with ids told apart, in order; each with its removed lines taken out."""
     forms = {f for _, t in rows for x in t.split("\n") if (f := normal(x))}
-    forms, sims = sorted(forms), {f: line_sim(f) for f in forms}
+    forms = sorted(forms)
     links = [
         (a, b) for k, a in enumerate(forms) for b in forms[k + 1:]
-        if (sims[a] ^ sims[b]).bit_count() <= distance
+        if abs(len(a) - len(b)) <= (1 - similarity) * max(len(a), len(b))
         and edit_distance(a, b) <= (1 - similarity) * max(len(a), len(b))]
     group, seen, out = groups(forms, links), set(), []
     for _, t in rows:

@@ -7,7 +7,8 @@ import pytest
 from tests.llm import brute
 from tidemark.llm.chunk_dedup import GEAR, WINDOW, chunk_ends, dedup_chunks, gear
 from tidemark.llm.jaccard_join import jaccard_components
-from tidemark.llm.line_dedup import dedup_lines, edit_distance, near_tree
+from tidemark.llm import line_dedup
+from tidemark.llm.line_dedup import dedup_lines, edit_distance, few_edits
 from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.textbytes import Texts
 
@@ -152,17 +153,17 @@ def test_jaccard_of_odd_rows(spark):
 
 def fuzzy_corpus(seed):
     rng = random.Random(seed)
-    lines = [words(rng, rng.randrange(1, 60)) for _ in range(25)]
+    lines = [words(rng, rng.randrange(8, 60)) for _ in range(25)]
     rows = []
     for k in range(30):
         picked = []
         for line in rng.sample(lines, 3):
             w = line.split(" ")
-            if rng.random() < 0.6:
+            if rng.random() < 0.6:  # copies of a line differ in two words at most
                 w[rng.randrange(len(w))] = f"w{k}"
             if rng.random() < 0.2:
                 rng.shuffle(w)
-            picked.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w) + rng.choice(["", ".", " 12", " 34"]))
+            picked.append(" ".join(w).upper() if rng.random() < 0.2 else " ".join(w) + rng.choice([".", ",", " -", "!!"]))
         rows.append((k, "\n".join([*picked, "", "--"])))
     return rows
 
@@ -185,8 +186,7 @@ def test_lines_of_odd_rows(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_failed_tree_edges_lose_no_link(spark):
-    """Lines of the same words in another order have equal SimHashes, but differ."""
+def test_lines_of_equal_words_in_another_order_are_told_apart(spark):
     rng = random.Random(3)
     base = [f"{c}{c}{c}" for c in "abcdefghijklmnopqrst"]
     rows = []
@@ -197,18 +197,81 @@ def test_failed_tree_edges_lose_no_link(spark):
     assert [r.text for r in sorted(got)] == brute.fuzzy_lines(sorted(rows))
 
 
-def test_a_large_bucket_is_cut_without_losing_pairs():
-    import numpy as np
+def pairs_of_lines(seed, changed):
+    """Two texts for each length: a line, and the same with words replaced; kept if an edit similarity of 0.8 is left."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    out = []
+    for n in (8, 10, 12, 20, 40, 60, 100) * 12:
+        w = [rng.choice(vocabulary) for _ in range(n)]
+        v = list(w)
+        for k in rng.sample(range(n), changed):
+            v[k] = rng.choice(vocabulary)
+        a, b = " ".join(w), " ".join(v)
+        if a != b and brute.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_changed_words_are_found(spark, changed):
+    """Recall against edit similarity alone: nine of ten at least; here all."""
+    pairs = pairs_of_lines(changed, changed)
+    rows = [(2 * k + i, t) for k, pair in enumerate(pairs) for i, t in enumerate(pair)]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert len(pairs) > 50 and all(got[2 * k] == 0 for k in range(len(pairs)))
+    assert sum(got[2 * k + 1] for k in range(len(pairs))) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("grid", [6, 1 << 12])
+def test_a_large_group_is_cut_without_losing_links(spark, grid, monkeypatch):
+    """Many near copies of one line and many unlike lines share their first words."""
+    monkeypatch.setattr(line_dedup, "GRID", grid)
+    rng = random.Random(8)
+    start, body = "all of them begin like this", words(rng, 20)
+    rows = [(k, f"{start} {body} {words(rng, 1)}") for k in range(25)] + [(100 + k, f"{start} {words(rng, 20)}") for k in range(25)]
+    got = dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert [r.text for r in sorted(got)] == brute.fuzzy_lines(rows)
+    assert sum(r.n_removed for r in got) == 24
+
+
+def test_links_leave_a_task_as_a_forest(spark):
+    """A thousand near copies: no more edges than lines for each group."""
+    rng = random.Random(9)
+    body = words(rng, 30)
+    rows = [(k, f"{body} {k} x{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    lines = line_dedup.line_table(docs, "doc_id", "text")
+    groups = line_dedup.near_groups(lines).persist()
+    edges = line_dedup.verified_edges(groups, line_dedup.line_texts(docs, "text", lines.select("line", "raw").distinct()))
+    assert groups.count() <= 12 * 1000 and edges.count() <= groups.select("grp").distinct().count() * 999
+    assert sum(r.n_removed for r in dedup_lines(docs).collect()) == 999
 
-    rng = random.Random(2)
-    mask = (1 << 26) - 1
-    sims = []
-    for _ in range(700):
-        s = rng.getrandbits(64) & ~mask
-        sims += [s, s ^ (1 << rng.randrange(26, 64)) ^ (1 << rng.randrange(26, 64))]
-    sims = np.unique(np.array(sims, dtype=np.uint64))
-    small = brute.groups(range(len(sims)), near_tree(sims, mask, step=4))
-    assert small == brute.groups(range(len(sims)), near_tree(sims, mask, step=4096))
+
+def test_few_edits_and_very_long_lines(spark):
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(40)))
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            b[rng.randrange(len(b) + 1):][:1] = []
+            b.insert(rng.randrange(len(b) + 1), rng.choice("abc"))
+        most, d = rng.randrange(12), brute.edit_distance(a, "".join(b))
+        assert few_edits(a, "".join(b), most) == (d if d <= most else None)
+    long = " ".join(words(rng, 1) for _ in range(60_000))
+    other = long.replace("a", "b", 40)
+    got = dedup_lines(spark.createDataFrame([(1, long), (2, other), (3, words(rng, 9) + "\n" + long)], SCHEMA)).collect()
+    assert [r.n_removed for r in sorted(got)] == [0, 1, 1]
+
+
+@pytest.mark.parametrize("name", ["_key", "_h", "_places", "_doc", "KEY", "line", "sim", "raw", "blocks", "grp", "first", "h", "n_lines", "a.b"])
+def test_line_dedup_keeps_columns_of_any_name(spark, name):
+    rows = [(1, "one line of text\none line of text", "kept"), (2, "another", None)]
+    frame = spark.createDataFrame(rows, SCHEMA + ", other string").withColumnRenamed("other", name)
+    got = sorted(dedup_lines(frame).collect())
+    assert [r.n_removed for r in got] == [1, 0]
+    if name != "n_lines":
+        assert [r[name] for r in got] == ["kept", None]
 
 
 def test_edit_distance_equals_the_plain_table():

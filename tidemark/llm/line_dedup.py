@@ -2,67 +2,98 @@
 
 A line is what stands between newlines.  Its normal form is its words: runs of letters, digits and
 non-ASCII characters, A-Z lower-cased and every digit read as 0.  Lines without words are never removed.
-Two lines are linked if their normal forms are equal, or if the 64-bit SimHashes of their words differ in at
-most ``DISTANCE`` bits and their normal forms have an edit similarity (1 - distance / longer length) of
-``SIMILARITY`` or more.  Of all lines connected by links the first occurrence stays, by document id, text
+Two lines are linked if their normal forms are equal, or if they agree in a block, the 64-bit SimHashes of their
+words differ in at most ``DISTANCE`` bits, and their normal forms have an edit similarity (1 - distance / longer
+length) of ``SIMILARITY`` or more.  Of all lines connected by links the first occurrence stays, by document id, text
 hash and place.
 
-SimHashes are cut into five blocks; two that differ in three bits agree in two blocks at least, so each
-is dealt once for every pair of blocks, packed.  Inside such a bucket the near SimHashes are connected by a
-spanning tree, not by all pairs; the tree's edges are verified.  Where an edge fails, the near pairs of that
-neighbourhood that lie in different parts of what is left of it are verified too, so no link is lost.
+Blocks follow the pigeonhole rule on words: a line is cut into up to ``MOST_BLOCKS`` runs of words, so one with fewer
+changed words than runs has a run that is untouched; its last words are a block too, which words put in or left out
+further ahead do not shift, and short lines have one more at either end for the next longer cut.  SimHashes alone cannot do this: an edit similarity of 0.8 lets a fifth of the words change,
+which is some 13 of 64 bits, and no block of bits that is long enough to tell lines apart survives that.  They
+sort out pairs that share a block by chance before any text is fetched.
+
+Lines that share a block meet in a bucket, which names the groups with near SimHashes; equal groups of other blocks
+fall together.  Their texts are brought to each group once, where they are verified and connected at the same time: pairs
+that are connected already are passed over, and only edges that connect something leave the task.  A
+group of more than ``GRID`` lines is cut into a grid of pairs of parts.
 
 Null and empty texts have no lines to remove.  Rows equal in id and text count as one document.  Columns
-other than the text are kept.
+other than the text are kept, whatever their names; ``n_lines`` and ``n_removed`` of the input are replaced.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import PACKED, bucket_count, bucket_fields, by_bucket, components, packed, runs, written
+from tidemark.llm.shared import PACKED, bucket_count, bucket_fields, components, packed, ranges, runs, unused, written
 from tidemark.llm.textbytes import LOWER, U64, WORD_BYTE, Texts, mix, owners, slices
 
-DISTANCE, SIMILARITY = 3, 0.8
-#: A bucket of so many SimHashes is compared pair by pair.
-SMALL = 8
+DISTANCE, SIMILARITY = 24, 0.8
+MOST_BLOCKS, FEW_WORDS = 8, 24
+#: Lines of a group that are compared in one task; half as many are a part of a grid.
+GRID = 4096
+#: Blocks of lines in a bucket, about.
+BUCKET_BLOCKS = 1 << 20
 #: Slots of the filter that tells which lines may be wanted.
 SLOTS = 1 << 22
-EDGES = (0, 13, 26, 39, 52, 64)
-PAIRS = list(combinations(range(5), 2))
 NOT_NEWLINE = np.ones(256, dtype=bool)
 NOT_NEWLINE[10] = False
 PLAIN = LOWER.copy()
 PLAIN[48:58] = 48
-
-
-def _mask(k: int) -> int:
-    return ((1 << (EDGES[k + 1] - EDGES[k])) - 1) << EDGES[k]
-
-
-MASKS = [_mask(a) | _mask(b) for a, b in PAIRS]
+#: The bits of a byte as eight counters of a byte each.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U64).ravel()
+_POWER = U64(0x9E3779B97F4A7C15)
+WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def simhashes(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Of each run of word codes, the bits that more than half of the words have."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
-    bits = np.unpackbits(mix(codes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     sizes = np.diff(np.concatenate([starts, [len(codes)]]))
+    pieces = -(-sizes // 255)  # a counter of a byte holds 255 words
+    at = np.repeat(starts, pieces) + 255 * ranges(np.zeros(len(starts), dtype=np.int64), pieces)
+    of = np.cumsum(pieces) - pieces
+    columns = mix(codes).view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.add.reduceat(
+        np.add.reduceat(LANES[columns[:, k]], at).view(np.uint8).reshape(-1, 8), of, axis=0, dtype=np.int32) for k in range(8)], axis=1)
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(U64).ravel()
 
 
+def word_blocks(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of each line of words, one line behind the other, and how many each has."""
+    n = last - first
+    parts = np.clip(np.minimum(n // 2, np.maximum(3, n // 4)), 1, MOST_BLOCKS)
+    line, k = owners(parts), ranges(np.zeros(len(n), dtype=np.int64), parts)
+    low, high = first[line] + k * n[line] // parts[line], first[line] + (k + 1) * n[line] // parts[line]
+    short = n // parts
+    split = np.flatnonzero(parts > 1)
+    few = split[n[split] < FEW_WORDS]  # words put in or left out may change how a short line is cut
+    ends = np.cumsum(parts)
+    more = np.concatenate([split, few, few])
+    low = np.insert(low, ends[more], np.concatenate([last[split] - short[split], last[few] - short[few] - 1, first[few]]))
+    high = np.insert(high, ends[more], np.concatenate([last[split], last[few], first[few] + short[few] + 1]))
+    parts = parts + np.bincount(more, minlength=len(n))
+    sizes = high - low
+    powers = np.cumprod(np.full(int(sizes.max(initial=1)), _POWER), dtype=U64)
+    within = ranges(np.zeros(len(low), dtype=np.int64), sizes)
+    hashes = np.add.reduceat(mix(codes[ranges(low, sizes)]) * powers[within], np.cumsum(sizes) - sizes) if len(low) else np.zeros(0, dtype=U64)
+    return mix(hashes + sizes.astype(U64)), parts
+
+
 class _Lines:
     """The lines with words of a slice: keys, places of their words, and the bytes in plain form."""
 
     def __init__(self, texts: Texts):
-        self.starts, _, self.counts = texts.spans(NOT_NEWLINE)
+        self.starts, ends, self.counts = texts.spans(NOT_NEWLINE)
+        self.lengths = ends - self.starts
         self.plain = Texts(PLAIN[texts.data], texts.offsets, texts.first)
         self.w_starts, self.w_ends, _ = self.plain.spans(WORD_BYTE)
         self.codes = self.plain.span_hash(self.w_starts, self.w_ends)
@@ -70,19 +101,24 @@ class _Lines:
         self.first, self.last = runs(of_line)
         self.line = of_line[self.first]
         most = int((self.last - self.first).max(initial=0)) + 1
-        powers = np.cumprod(np.full(most, U64(0x9E3779B97F4A7C15)), dtype=U64)
+        powers = np.cumprod(np.full(most, _POWER), dtype=U64)
         in_line = np.arange(len(self.codes)) - np.repeat(self.first, self.last - self.first)
         self.keys = np.zeros(0, dtype=U64)
         if len(self.first):
             self.keys = mix(np.add.reduceat(self.codes * powers[in_line], self.first))
 
+    def raw(self) -> np.ndarray:
+        """A hash of the bytes of each line with words, A-Z lower-cased and digits read as 0."""
+        ends = self.starts + self.lengths
+        return self.plain.span_hash(self.starts[self.line], ends[self.line])
+
     def normal(self, k: int) -> str:
         words = slice(self.first[k], self.last[k])
         return b" ".join([self.plain.data[a:b].tobytes() for a, b in zip(self.w_starts[words], self.w_ends[words])]).decode()
 
 
 def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, h, place, line, sim)`` of every line with words; ``h`` is the hash of the whole text."""
+    """``(doc_id, h, place, line, sim, raw, blocks)`` of every line with words; ``h`` is the hash of the whole text."""
 
     def run(batches):
         for batch in batches:
@@ -92,105 +128,90 @@ def line_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
                 place = breaks[lines.starts[lines.line]] - breaks[texts.offsets[owner]]
                 rows = texts.first + owner
+                blocks, sizes = word_blocks(lines.codes, lines.first, lines.last)
+                listed = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(blocks.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)),
                      pa.array(place.astype(np.int32)), pa.array(lines.keys.view(np.int64)),
-                     pa.array(simhashes(lines.codes, lines.first).view(np.int64))],
-                    names=["doc_id", "h", "place", "line", "sim"])
+                     pa.array(simhashes(lines.codes, lines.first).view(np.int64)), pa.array(lines.raw().view(np.int64)), listed],
+                    names=["doc_id", "h", "place", "line", "sim", "raw", "blocks"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text).mapInArrow(
-        run, "doc_id long, h long, place int, line long, sim long")
+        run, "doc_id long, h long, place int, line long, sim long, raw long, blocks array<long>")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def near_groups(lines: DataFrame) -> DataFrame:
+    """``(grp, line, sim)``: lines that share a block and have another one of small SimHash distance there."""
+    spark = lines.sparkSession
+    n_blocks = lines.agg(F.sum(F.size("blocks"))).first()[0] or 0
+    buckets = max(bucket_count(spark), -(-n_blocks // BUCKET_BLOCKS))
 
-    def top(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = k = self.up[self.up[k]]
-        return k
+    def deal(batches):
+        for batch in batches:
+            line, sim, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            of = owners(blocks.value_lengths().to_numpy().astype(np.int64))
+            key = blocks.flatten().to_numpy().view(U64)
+            order = np.lexsort((line[of], key))
+            order = order[np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(line[of][order]) != 0)])] if len(order) else order
+            key, of = key[order], of[order]
+            yield packed((key % U64(buckets)).astype(np.int64), (key >> U64(32)).astype(np.uint32), line[of].view(U64), sim[of].view(U64))
+
+    def meet(batches):
+        for key, line, sim in bucket_fields(batches, "<u4", "<u8", "<u8"):
+            order = np.lexsort((line, key))
+            key, line, sim = key[order], line[order], sim[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
+            key, line, sim = key[new], line[new], sim[new]
+            starts, ends = runs(key)
+            out = []
+            pairs = starts[ends - starts == 2]
+            pairs = pairs[np.bitwise_count(sim[pairs] ^ sim[pairs + 1]) <= DISTANCE]
+            both = np.stack([pairs, pairs + 1], axis=1).ravel()
+            out.append((np.repeat(_group(mix(line[pairs]) + mix(line[pairs + 1])), 2), line[both], sim[both]))
+            for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+                if b - a <= GRID:
+                    near = np.concatenate([
+                        (np.bitwise_count(sim[k:min(k + 256, b), None] ^ sim[None, a:b]) <= DISTANCE).sum(axis=1) for k in range(a, b, 256)]) > 1
+                    some = np.flatnonzero(near) + a
+                    out.append((np.repeat(_group(mix(line[some]).sum(keepdims=True)), len(some)), line[some], sim[some]))
+                    continue
+                parts = -(-2 * int(b - a) // GRID)
+                part = mix(line[a:b]) % U64(parts)
+                for i in range(parts):
+                    for j in range(i, parts):
+                        some = np.flatnonzero((part == i) | (part == j)) + a
+                        name = _group(np.array([int(key[a]) << 32 ^ i * parts + j], dtype=U64))
+                        out.append((np.repeat(name, len(some)), line[some], sim[some]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).view(np.int64)) for x in zip(*out)], names=["grp", "line", "sim"])
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+    dealt = lines.select("line", "sim", "blocks").mapInArrow(deal, PACKED)
+    near = dealt.repartitionById(max(bucket_count(spark), buckets) // 2, "bucket").sortWithinPartitions("bucket")
+    return near.mapInArrow(meet, "grp long, line long, sim long").distinct()
 
 
-def near_tree(sims: np.ndarray, mask: int, step: int = 512) -> list[tuple[int, int]]:
-    """Edges that connect the SimHashes of a bucket whose distance is small enough.
+def _group(sums: np.ndarray) -> np.ndarray:
+    return mix(sums ^ U64(0x5851F42D4C957F2D))
 
-    All of them agree on ``mask``.  A large bucket is cut by the four quarters of the other bits, one of which
-    agrees too.
-    """
-    forest, edges = _Forest(len(sims)), []
-
-    def compare(members: np.ndarray) -> None:
-        for low in range(0, len(members), step):
-            part = members[low:low + step]
-            for low2 in range(low, len(members), step):
-                other = members[low2:low2 + step]
-                near = np.bitwise_count(sims[part][:, None] ^ sims[other][None, :]) <= DISTANCE
-                for i, j in zip(*np.nonzero(near)):
-                    if forest.join(int(part[i]), int(other[j])):
-                        edges.append((int(part[i]), int(other[j])))
-
-    if len(sims) <= 2 * step:
-        compare(np.arange(len(sims)))
-        return edges
-    free = [b for b in range(64) if not mask >> b & 1]
-    for quarter in range(4):
-        own = U64(sum(1 << b for b in free[quarter * len(free) // 4:(quarter + 1) * len(free) // 4]))
-        order = np.argsort(sims & own, kind="stable")
-        for a, b in zip(*runs((sims & own)[order])):
-            if b - a > 1:
-                compare(order[a:b])
-    return edges
-
-
-def near_sims(sims: DataFrame) -> DataFrame:
-    """``(a, b)``: edges that connect near SimHashes."""
-    buckets = bucket_count(sims.sparkSession)
 
-    def deal(batches):
-        for batch in batches:
-            sim = batch.column(0).to_numpy().view(U64)
-            pair = np.repeat(np.arange(len(MASKS), dtype=np.uint8), len(sim))
-            sim = np.tile(sim, len(MASKS))
-            key = sim & np.array(MASKS, dtype=U64)[pair]
-            yield packed((mix(key + pair.astype(U64)) % U64(buckets)).astype(np.int64), sim, pair)
-
-    def connect(batches):
-        for sim, pair in bucket_fields(batches, "<u8", "u1"):
-            key = sim & np.array(MASKS, dtype=U64)[pair]
-            order = np.lexsort((sim, key, pair))
-            sim, pair, mark = sim[order], pair[order], mix(key[order]) + pair[order]
-            a, b = [], []
-            starts, ends = runs(mark)
-            size = np.repeat(ends - starts, ends - starts)
-            for step in range(1, SMALL):  # small groups: each with its neighbours
-                here = np.flatnonzero((size[:-step] <= SMALL) & (mark[:-step] == mark[step:]))
-                near = here[np.bitwise_count(sim[here] ^ sim[here + step]) <= DISTANCE]
-                a.append(sim[near])
-                b.append(sim[near + step])
-            for low, high in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL]):
-                own = sim[low:high]
-                edges = np.array(near_tree(own, MASKS[pair[low]]), dtype=np.int64).reshape(-1, 2)
-                a.append(own[edges[:, 0]])
-                b.append(own[edges[:, 1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+class _Parts:
+    """Which lines of a group are connected; parts are arrays, so all partners of a line are looked at at once."""
 
-    dealt = sims.mapInArrow(deal, PACKED)
-    return by_bucket(dealt).mapInArrow(connect, "a long, b long").distinct()
+    def __init__(self, n: int):
+        self.part = np.arange(n)
+
+    def join(self, a: int, b: int) -> None:
+        self.part[self.part == self.part[b]] = self.part[a]
 
 
 def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """``(line, normal)``: the normal forms of the wanted lines.
+    """``(line, normal)``: the normal forms of the ``wanted (line, raw)`` lines.
 
     A bitmap of ``SLOTS`` bits, whatever the size of the input, spares most other lines; the join decides.
+    Lines are told apart by a hash of their bytes, so only those that may be wanted are cut into words again.
     """
-    slots = wanted.select(F.pmod("line", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    slots = wanted.select(F.pmod("raw", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
     bitmap = np.zeros(SLOTS, dtype=bool)
     bitmap[slots] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
@@ -199,16 +220,17 @@ def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         marked = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             for texts in slices(batch.column(0)):
-                lines = _Lines(texts)
-                key, where = np.unique(lines.keys, return_index=True)
+                plain = Texts(PLAIN[texts.data], texts.offsets, texts.first)
+                starts, ends, _ = texts.spans(NOT_NEWLINE)
+                key, where = np.unique(plain.span_hash(starts, ends), return_index=True)
                 maybe = marked[key.view(np.int64) % SLOTS]
                 key, where = key[maybe], where[maybe]
+                forms = [b" ".join(WORDS.findall(plain.data[a:b].tobytes())).decode() for a, b in zip(starts[where], ends[where])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array([lines.normal(k) for k in where], type=pa.string())],
-                    names=["line", "normal"])
+                    [pa.array(key.view(np.int64)), pa.array(forms, type=pa.string())], names=["raw", "normal"])
 
-    found = docs.select(text).mapInArrow(run, "line long, normal string")
-    return found.join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    found = docs.select(text).mapInArrow(run, "raw long, normal string")
+    return found.join(wanted, "raw").select("line", "normal").dropDuplicates(["line"])
 
 
 def edit_distance(a: str, b: str, enough: float = 0) -> int:
@@ -241,111 +263,122 @@ def edit_distance(a: str, b: str, enough: float = 0) -> int:
 
 
 def _similar(a: str, b: str) -> bool:
+    """Whether the edit similarity is high enough; bounds and few edits are tried before the whole table."""
     longer = max(len(a), len(b))
-    allowed = (1 - SIMILARITY) * longer
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b, linked)``: whether the normal forms of two lines are similar enough."""
+    allowed = int((1 - SIMILARITY) * longer + 1e-9)
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    if longer < 2000:
+        return edit_distance(a, b, allowed) <= allowed
+    if (Counter(a) - Counter(b)).total() > allowed or (Counter(b) - Counter(a)).total() > allowed:
+        return False
+    few = few_edits(a, b, min(allowed, 2 * int(longer ** 0.5)))
+    return few is not None or edit_distance(a, b, allowed) <= allowed
+
+
+def few_edits(a: str, b: str, most: int) -> int | None:
+    """The Levenshtein distance if it is at most ``most``, else None.
+
+    For each number of edits and each diagonal the furthest place that is reached: about ``most`` squared steps, each
+    over the equal characters that follow.
+    """
+    n, m = len(a), len(b)
+
+    def equal(i: int, j: int) -> int:
+        """How many characters from ``i`` and ``j`` on are equal."""
+        done, step = 0, 32
+        while a[i + done:i + done + step] == b[j + done:j + done + step] and i + done < n and j + done < m:
+            done += step
+            step *= 2
+        low, high = done, min(done + step, n - i, m - j)
+        done = min(done, high)
+        low = done
+        while low < high:  # the first difference lies in the last step
+            mid = (low + high + 1) // 2
+            if a[i + low:i + mid] == b[j + low:j + mid]:
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    reach = {0: equal(0, 0)}
+    for edits in range(most + 1):
+        if reach.get(m - n, -1) >= n:
+            return edits
+        after = {}
+        for k in range(-edits - 1, edits + 2):  # diagonal: place in b less place in a
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+            if 0 <= i <= n and 0 <= i + k <= m:
+                after[k] = i + equal(i, i + k)
+            elif i > n and 0 <= n + k <= m:
+                after[k] = n
+        reach = after
+    return None
+
+
+def verified_edges(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)``: links that connect what is connected in each of the ``groups (grp, line, sim)``; no more than its lines."""
 
     def run(batches):
+        have, held = None, []
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            linked = pa.array([_similar(x, y) for x, y in zip(a, b)], type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), linked], names=["a", "b", "linked"])
-
-    one, two = (texts.select(F.col("line").alias(k), F.col("normal").alias(f"text_{k}")) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a long, b long, linked boolean")
-
-
-def fuzzy_groups(docs: DataFrame, text: str, lines: DataFrame) -> DataFrame:
-    """``(line, grp)``: the groups of those among distinct ``lines (line, sim)`` that have a near line."""
-    edges = near_sims(lines.select("sim").distinct())
-    first = lines.groupBy("sim").agg(F.min("line").alias("rep"), F.count("*").alias("c"))
-    same = lines.join(first.where("c > 1"), "sim").where("line <> rep").select(F.col("line").alias("a"), F.col("rep").alias("b"))
-    reps = first.select("sim", "rep")
-    across = edges.join(reps.select(F.col("sim").alias("a"), F.col("rep").alias("ra")), "a").join(
-        reps.select(F.col("sim").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = written(same.union(across), "pairs")
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = written(line_texts(docs, text, wanted), "texts")
-    judged = written(_verified(pairs, texts), "judged")
-    part = written(components(wanted.withColumnRenamed("line", "id"), judged.where("linked").select("a", "b")).select(
-        F.col("id").alias("line"), F.col("component").alias("part")), "parts")
-    failed = judged.where("not linked")
-    if failed.isEmpty():
-        return part.withColumnRenamed("part", "grp")
-    # The pairs connect a neighbourhood, so every part of one that fell apart has an end of a failed pair.
-    ends = failed.select(F.col("a").alias("line")).union(failed.select(F.col("b").alias("line"))).distinct()
-    torn = part.join(part.join(ends, "line", "left_semi").select("part").distinct(), "part", "left_semi")
-    again = near_across(torn.join(lines, "line").select("sim", "line", "part"))
-    one, two = (part.select(F.col("line").alias(k), F.col("part").alias(f"part_{k}")) for k in ("a", "b"))
-    more = written(_verified(again, texts).where("linked").join(one, "a").join(two, "b").select(
-        F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "more")
-    whole = components(part.select(F.col("part").alias("id")).distinct(), more)
-    return part.join(whole.withColumnsRenamed({"id": "part", "component": "grp"}), "part").select("line", "grp")
-
-
-def near_across(lines: DataFrame, step: int = 512) -> DataFrame:
-    """``(a, b)``: all near pairs among ``lines (sim, line, part)`` that lie in different parts."""
-    buckets = bucket_count(lines.sparkSession)
-
-    def deal(batches):
-        for batch in batches:
-            fields = [np.tile(c.to_numpy().view(U64), len(MASKS)) for c in batch.columns]
-            pair = np.repeat(np.arange(len(MASKS), dtype=np.uint8), batch.num_rows)
-            key = mix((fields[0] & np.array(MASKS, dtype=U64)[pair]) + pair.astype(U64))
-            yield packed((key % U64(buckets)).astype(np.int64), *fields, pair)
-
-    def compare(batches):
-        for sim, line, part, pair in bucket_fields(batches, "<u8", "<u8", "<u8", "u1"):
-            key = sim & np.array(MASKS, dtype=U64)[pair]
-            order = np.lexsort((part, key, pair))
-            sim, line, part, mark = sim[order], line[order], part[order], mix(key[order]) + pair[order]
-            for low, high in zip(*runs(mark)):
-                if part[low] == part[high - 1]:
-                    continue
-                for x in range(low, high, step):
-                    one = slice(x, min(x + step, high))
-                    for y in range(x, high, step):
-                        two = slice(y, min(y + step, high))
-                        if part[one.start] == part[two.stop - 1]:
-                            continue
-                        near = np.bitwise_count(sim[one][:, None] ^ sim[two][None, :]) <= DISTANCE
-                        i, j = np.nonzero(near & (part[one][:, None] < part[two][None, :]))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(line[one][i].view(np.int64)), pa.array(line[two][j].view(np.int64))], names=["a", "b"])
-
-    return by_bucket(lines.mapInArrow(deal, PACKED)).mapInArrow(compare, "a long, b long").distinct()
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != have and held:
+                    yield _edges(held)
+                    held = []
+                have = row[0]
+                held.append(row[1:])
+        if held:
+            yield _edges(held)
+
+    def _edges(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda r: (len(r[2]), r[0]))
+        sims = np.array([r[1] for r in held], dtype=np.int64).view(U64)
+        sizes = np.array([len(r[2]) for r in held])
+        parts, edges = _Parts(len(held)), []
+        for k in range(len(held)):
+            high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
+            rest = slice(k + 1, high)
+            near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
+            for other in near:
+                if parts.part[other] != parts.part[k] and _similar(held[k][2], held[other][2]):
+                    parts.join(k, int(other))
+                    edges.append((held[k][0], held[other][0]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([e[x] for e in edges], type=pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+    return groups.join(texts, "line").select("grp", "line", "sim", "normal").repartition("grp").sortWithinPartitions(
+        "grp").mapInArrow(run, "a long, b long").distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, h, places)`` of the documents that lose lines; ``places`` are line numbers from 0."""
     found = written(line_table(docs, doc_id, text), "lines")
-    at = F.struct("doc_id", "h", "place")
-    distinct = written(found.groupBy("line").agg(
-        F.min(at).alias("first"), F.count("*").alias("c"), F.min("sim").alias("sim")), "distinct")
-    member = fuzzy_groups(docs, text, distinct.select("line", "sim"))
-    grouped = written(distinct.join(member, "line", "left").select(
-        "line", "first", "c", F.coalesce("grp", "line").alias("grp")), "groups")
+    groups = written(near_groups(found), "near")
+    at = F.struct("doc_id", "h", "place", "raw")
+    distinct = written(found.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("c")), "distinct")
+    wanted = written(distinct.join(groups.select("line").distinct(), "line").select("line", "first.raw"), "wanted")
+    edges = written(verified_edges(groups, line_texts(docs, text, wanted)), "links")
+    member = components(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), edges)
+    grouped = distinct.join(member.withColumnRenamed("id", "line"), "line", "left").select(
+        "line", "first", "c", F.coalesce("component", "line").alias("grp"))
+    grouped = written(grouped, "groups")
     kept = grouped.groupBy("grp").agg(F.min("first").alias("keep"), F.sum("c").alias("n")).where("n > 1")
     verdict = grouped.join(kept, "grp").select("line", "keep")
-    gone = found.join(verdict, "line").where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("keep")))
+    gone = found.select("doc_id", "h", "place", "raw", "line").join(verdict, "line").where(~at.eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with removed lines taken out of the text, and ``n_lines`` and ``n_removed``."""
-    gone = removed_lines(docs, doc_id, text).select(
-        F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("places").alias("_places"))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h")), "left")
+    doc, h, found, key = unused(docs, "doc", "h", "places", "key")
+    gone = removed_lines(docs, doc_id, text).select(F.col("doc_id").alias(doc), F.col("h").alias(h), F.col("places").alias(found))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    joined = keyed.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(h)), "left")
     lines = F.split(F.col(text), "\n")
-    places = F.coalesce("_places", F.array().cast("array<int>"))
+    places = F.coalesce(found, F.array().cast("array<int>"))
     left = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains(places, k)), "\n")
     others = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
-        *(F.when(F.size(places) > 0, left).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in others),
+        *(F.when(F.size(places) > 0, left).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in others),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size(places).cast("long").alias("n_removed"))

@@ -23,10 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; of fuzzily equal lines one occurrence stays, and ``n_chars`` is counted anew."""
+    """Of fuzzily equal lines one occurrence stays, and ``n_chars`` is counted anew.
+
+    A document that lost lines and has no word left goes: all it said is said elsewhere.  One that had no words before stays.
+    """
     out = dedup_lines(docs)
-    chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return out.withColumn("n_chars", chars).select(docs.columns)
+    changed = F.col("n_removed") > 0
+    chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    left = out.where(~changed | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    return left.withColumn("n_chars", chars).select(docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
