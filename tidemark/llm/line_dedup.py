@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import PACKED, bucket_count, bucket_fields, components, packed, ranges, runs, unused, written
 from tidemark.llm.textbytes import LOWER, U64, WORD_BYTE, Texts, mix, owners, slices
 
-DISTANCE, SIMILARITY = 24, 0.8
+DISTANCE, SIMILARITY = 18, 0.8
+#: Characters of a line that are looked for as a whole in another one.
+ANCHOR = 10
 MOST_BLOCKS, FEW_WORDS = 8, 24
 #: Lines of a group that are compared in one task; half as many are a part of a grid.
 GRID = 4096
@@ -268,6 +270,9 @@ def _similar(a: str, b: str) -> bool:
     allowed = int((1 - SIMILARITY) * longer + 1e-9)
     if abs(len(a) - len(b)) > allowed:
         return False
+    rough, gaps = anchored(a, b, allowed)
+    if rough <= allowed or rough <= 4 * allowed and sum(edit_distance(x, y) for x, y in gaps) <= allowed:
+        return True
     if longer < 2000:
         return edit_distance(a, b, allowed) <= allowed
     if (Counter(a) - Counter(b)).total() > allowed or (Counter(b) - Counter(a)).total() > allowed:
@@ -276,6 +281,25 @@ def _similar(a: str, b: str) -> bool:
     return few is not None or edit_distance(a, b, allowed) <= allowed
 
 
+def anchored(a: str, b: str, reach: int) -> tuple[int, list[tuple[str, str]]]:
+    """What lies between pieces of ``a`` that ``b`` has, in order, and its length, an upper bound of the distance.
+
+    The distances of what lies between add up to a closer bound.
+    """
+    at_a = at_b = cost = 0
+    gaps = []
+    for k in range(0, len(a) - ANCHOR + 1, ANCHOR):
+        low = at_b + max(k - at_a - reach, 0)
+        found = b.find(a[k:k + ANCHOR], low, at_b + k - at_a + reach + ANCHOR)
+        if found >= 0:
+            if k > at_a or found > at_b:
+                cost += max(k - at_a, found - at_b)
+                gaps.append((a[at_a:k], b[at_b:found]))
+            at_a, at_b = k + ANCHOR, found + ANCHOR
+    gaps.append((a[at_a:], b[at_b:]))
+    return cost + max(len(a) - at_a, len(b) - at_b), gaps
+
+
 def few_edits(a: str, b: str, most: int) -> int | None:
     """The Levenshtein distance if it is at most ``most``, else None.
 
