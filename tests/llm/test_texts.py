@@ -227,3 +227,15 @@ def test_slices_hold_whole_texts():
     counts = Counts(next(slices(sliced)))
     assert counts.n_words.tolist() == [2, 1]
     assert sliding_min(np.array([5, 3, 4, 1, 2]), 3).tolist() == [3, 1, 1]
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a</p><script>x</script foo><p>b</p>", "a b"), ("<p>a</p><style>x</style/><p>b</p>", "a b"),
+    ("<p>a</p><script>'</scripts>'</script\n><p>b</p>", "a b"), ("<head><title>T</title><body><p>a</p>", "a"),
+    ("<title>T</title><p>a</p>", "a"), ("<p>T</p><video>no video</video><canvas>c</canvas><label>L</label><p>a</p>", "T a"),
+    ("<p>one<!-->two--></p>", "onetwo-->"), ("<p>one<!--->two</p>", "onetwo"), ("<p>one<!-- x --!>two</p>", "onetwo"),
+    ("<p>one<!-- <p>x</p> --> two", "one two"),
+])
+def test_odd_markup(html, text):
+    pieces = sorted(part for node in parse(html) for part in node.parts)
+    assert " ".join(t for _, t in pieces) == text

@@ -7,7 +7,8 @@ the one vocabulary entry that ends there and may follow the last token of what i
 distinct words are the trie in depth-first order; the walk keeps one last token per letter of the
 path, so a prefix shared by many words is encoded once.
 
-Nothing is shuffled.  A task keeps the words it has met, at most ``WORDS_KEPT``; then it starts anew.
+Nothing is shuffled.  A task keeps the words it has met, at most ``WORDS_KEPT``: those of the older half that
+are met again move to the newer one, and the others go when that one is full.
 Null and empty texts have no tokens.  Other columns and repeated rows pass through unchanged.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,9 @@ from tidemark.llm.textbytes import SLICE
 
 WORDS_KEPT = 100_000
 #: Steps between states that are remembered, those along tokens included.
-STEPS_KEPT = 300_000
+STEPS_KEPT = 200_000
+#: Pairs of tokens of which a task knows whether one may follow the other.
+PAIRS_KEPT = 300_000
 #: Unicode white space without the four separators that str.split() takes besides.
 BLANKS = "\t-\r \x85\xa0  -     　"
 #: Fixed values of this kind of vocabulary: the word pattern and the end-of-word mark.
@@ -44,30 +48,46 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _specification(path: str) -> tuple[dict, dict[str, int]]:
+    """The model of a vocabulary file, and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+
+def written_tokens(path: str) -> list[str]:
+    """How each token is written, by number."""
+    model, special = _specification(path)
+    out = [""] * (1 + max([*model["vocab"].values(), *special.values()]))
+    for s, i in [*model["vocab"].items(), *special.items()]:
+        out[i] = s
+    return out
+
+
 class Vocabulary:
-    """Merges of a vocabulary file as token numbers; a later merge has a higher number."""
+    """Merges of a vocabulary file as token numbers; a later merge has a higher number.
+
+    Tables by token are arrays, so a worker keeps little: -1 stands for a token that no merge makes.
+    """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        ids, letters = spec["model"]["vocab"], _byte_letters()
-        self.written = {i: s for s, i in ids.items()}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.written |= {i: s for s, i in self.special.items()}
-        self.left, self.right, self.pair = {}, {}, {}
-        for merge in spec["model"]["merges"]:
+        model, self.special = _specification(path)
+        ids, letters = model["vocab"], _byte_letters()
+        size = 1 + max([*ids.values(), *self.special.values()])
+        self.left, self.right, self.pair = array("i", [-1]) * size, array("i", [-1]) * size, {}
+        for merge in model["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             whole = ids[a + b]
             self.left[whole], self.right[whole] = ids[a], ids[b]
             self.pair[ids[a] << 32 | ids[b]] = whole
         self.fits: dict[int, bool] = {}
-        self.packed = {i: i.to_bytes(4, "little") for i in self.written}
+        self.packed = np.arange(size, dtype="<u4").tobytes()
         self.next, self.fail, self.inner, self.final = {}, [0], [()], [()]
         kept = []
         for s, i in ids.items():
             ends = s.endswith(WORD_END) and s != WORD_END
             raw = bytes(letters[c] for c in (s[:-len(WORD_END)] if ends else s))
-            if i not in self.left or self.follows(self.left[i], self.right[i], i):
+            if self.left[i] < 0 or self.follows(self.left[i], self.right[i], i):
                 kept.append((raw, ends, i))
         self.linked = False
         self.link(kept)
@@ -120,11 +140,11 @@ class Vocabulary:
             if joined is not None and joined < until and joined < a_gone and joined <= b_gone:
                 return False
             if a > b:
-                if a not in self.left:
+                if self.left[a] < 0:
                     return True
                 a_gone, a = a, self.right[a]
             else:
-                if b not in self.left:
+                if self.left[b] < 0:
                     return True
                 b_gone, b = b, self.left[b]
 
@@ -158,7 +178,7 @@ class Vocabulary:
                 path.append(self.last_token(end, path, self.inner[state]))
             token, end, tokens = self.last_token(n, path, self.final[self.step(states[-1], word[-1])]), n, []
             while True:
-                tokens.append(packed[token])
+                tokens.append(packed[4 * token:4 * token + 4])
                 size = sizes.get(token)
                 if size is None:
                     size = sizes[token] = self.size(token)
@@ -171,7 +191,7 @@ class Vocabulary:
 
     def size(self, token: int) -> int:
         """Bytes that a token stands for."""
-        if token in self.left:
+        if self.left[token] >= 0:
             return self.size(self.left[token]) + self.size(self.right[token])
         return 1
 
@@ -186,6 +206,7 @@ class Encoder:
         self.blank = re.compile(f"[{BLANKS}]+")
         self.odd = re.compile("[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -204,10 +225,14 @@ class Encoder:
             cut = self.special.split(text) if self.special and "<" in text else [text]
             parts.append([s if k % 2 else self.pieces(s) for k, s in enumerate(cut)])
         new = {p for cut in parts for s in cut if not isinstance(s, str) for p in s}
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-            self.vocabulary.fits.clear()  # its size follows the words met
-        self.learn(new - self.known.keys())
+        if len(self.known) > WORDS_KEPT // 2:
+            self.known, self.older = {}, self.known
+        if len(self.vocabulary.fits) > PAIRS_KEPT:
+            self.vocabulary.fits.clear()
+        new -= self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        self.learn(new - again)
         look = self.known.__getitem__
         return [b"".join(
             [np.uint32(self.vocabulary.special[s]).tobytes() if isinstance(s, str) else b"".join(map(look, s))
@@ -253,7 +278,7 @@ def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: s
 
     Files of this kind name no decoder, so their library decodes to just that.
     """
-    tables = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path).written)
+    tables = df.sparkSession.sparkContext.broadcast(written_tokens(vocabulary_path))
     others = [c for c in df.columns if c != decoded]
     place = others.index(ids)
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(decoded, T.StringType())])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import unused, without, written
 from tidemark.llm.textbytes import (
     U64, WORD_BYTE, Texts, depth, grams, grams_at, mix, owners, sliding_min, slices)
 
@@ -204,23 +204,25 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted ids as strings of the items that occur).
 
-    ``docs`` may have any columns but these three.  A benchmark of several blocks takes one scan of the
+    Columns of ``docs`` with these names are replaced.  A benchmark of several blocks takes one scan of the
     documents per block; then only rows of hit documents are shuffled.
     """
+    docs = without(docs, ["n_words", "n_hit", "items"])
+    h, d, found, hit = unused(docs, "h", "d", "found", "hit")
     parts = _blocks(benchmark_windows(items, item_id, item_text, window), block, window)
     n, first = next(parts)
     if n == 1:
         return _one_block(docs, first, text, window, hits=False)
-    same = [F.xxhash64(text).alias("_h"), F.sha2(text, 256).alias("_d")]
+    same = [F.xxhash64(text).alias(h), F.sha2(text, 256).alias(d)]
     keyed = docs.select(text, *same)
     marks = None
     for _, part in [(n, first), *parts]:
-        rows = written(_one_block(keyed, part, text, window, hits=True).select("_h", "_d", "hits", "items").distinct(), "hits")
+        rows = written(_one_block(keyed, part, text, window, hits=True).select(h, d, "hits", "items").distinct(), "hits")
         marks = rows if marks is None else marks.union(rows)
-    merged = _merged(marks, ["_h", "_d"]).withColumnRenamed("items", "_items").withColumnRenamed("n_hit", "_hit")
+    merged = _merged(marks, [h, d]).withColumnRenamed("items", found).withColumnRenamed("n_hit", hit)
     none = Block(np.zeros(0, dtype=U64), {}, [])
     base = _one_block(docs.select("*", *same), none, text, window, hits=False)
-    out = base.join(merged, ["_h", "_d"], "left")
+    out = base.join(merged, [h, d], "left")
     return out.select(
-        *docs.columns, "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+        *docs.columns, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(found, F.array().cast("array<string>")).alias("items"))

@@ -12,7 +12,8 @@ The sample's labels come from markup that says what it is (``article`` and ``mai
 ``footer``, class names of adverts and so on).  Each labelled node is also shown without these names,
 so that pages without them are judged by shape.  ``sample_pages`` bounds the sample; all pages are scored.
 
-Scripts, styles, templates, form controls, comments and the head have no text.  Null and empty html give an empty
+Scripts, styles, templates, form controls and their labels, comments, the head and its title, and what stands in for
+media that a browser cannot show have no text.  Null and empty html give an empty
 text; repeated pages are judged alike; unknown or unclosed tags never fail.  Character references are
 decoded, white space inside a block becomes one space, and blocks are joined by one space.
 """
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 from tidemark.llm.boosting import Trees, fit_trees
 
 #: Fixed values of HTML.
-RAW = {"script", "style", "template", "noscript", "textarea", "select", "option", "svg", "iframe", "object", "head", "button", "datalist"}
+RAW = {"script", "style", "template", "noscript", "textarea", "select", "option", "svg", "iframe", "object", "head", "button", "datalist",
+       "title", "label", "video", "audio", "canvas"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl",
     "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
@@ -40,7 +42,7 @@ BLOCKS = {
 }
 BREAKS = {"br", "hr", "img", "input"}
 #: Raw elements that run to the end of the page when they are not closed; of the others only the tag is skipped.
-TO_THE_END = {"script", "style", "textarea", "iframe"}
+TO_THE_END = {"script", "style", "textarea", "iframe", "title"}
 #: An open element of the key is ended by a start tag of the values.
 ENDED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -57,7 +59,7 @@ OTHER_NAMES = frozenset(
 OTHER_TAGS = frozenset("nav footer aside form header menu dialog search address".split())
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.DOTALL)
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.DOTALL)
 NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|href)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 MARKS = re.compile(r"[.,;:!?。、]")
@@ -128,7 +130,7 @@ def parse(html: str) -> list[Node]:
         closing = m[1] == "/"
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else (len(html) if tag in TO_THE_END else at)
             continue
         if tag == "a":

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import without
 from tidemark.llm.textbytes import (
     NOT_SPACE, Texts, depth, grams, mix, owners, slices)
 
@@ -187,13 +188,15 @@ def quality_cascade(
     """``df`` with ``kept`` and ``rejected_by`` (null if kept: the first rule in cascade order).
 
     ``metrics`` adds the counters of ``METRICS`` for every text, rejected or not.  One scan, no shuffle.
+    Columns of ``df`` with the names of the added ones are replaced by them.
     """
     ordered = order_rules(df, text, rules, sample_rows)
     names = pa.array([r.name for r in ordered])
-    place = df.columns.index(text)
     added = T.StructType().add("kept", T.BooleanType()).add("rejected_by", T.StringType())
     for m in METRICS if metrics else ():
         added.add(m, T.LongType())
+    df = without(df, added.names)
+    place = df.columns.index(text)
     schema = T.StructType(list(df.schema.fields) + list(added.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

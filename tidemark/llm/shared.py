@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,13 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` without columns of these names, whatever the case of their letters."""
+    gone = {n.lower() for n in names}
+    left = [c for c in df.columns if c.lower() not in gone]
+    return df if len(left) == len(df.columns) else df.select(*[f"`{c}`" for c in left])
+
+
 def vocabulary_path() -> str:
     """The default vocabulary file; the operators take any other path."""
     import public_tokenizers

@@ -40,12 +40,13 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text; a row without an id comes last.
     """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    rows = numbered(docs.withColumn("_order", order), "_order", "text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs.select(order.alias("order"), "text", whole.alias("doc")), "order", "text")
     group = jaccard_components(rows, "row")
     first = group.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     kept = rows.join(first, rows["row"] == F.col("_first"), "left_semi")
     ids = rows.agg(F.count("*").alias("n"), F.countDistinct("row").alias("d")).first()
-    return (kept if ids.n == ids.d else kept.dropDuplicates(["row"])).select(docs.columns)
+    return (kept if ids.n == ids.d else kept.dropDuplicates(["row"])).select("doc.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import components, written
+from tidemark.llm.shared import components, unused, without, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]
@@ -151,12 +151,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", links
     else:
         links = links.select(*(alias_key(F.concat(F.lit("http://"), c)).alias(c) for c in ("a", "b")))
     aliases = alias_verdicts(links, rules)
-    taken = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    taken = without(pages, ["host", "path", "rule", "verdict"]).columns
+    own, fit, key, said = unused(pages, "own", "fit", "key", "said")
+    aliases = aliases.select(F.col("key").alias(key), F.col("alias_verdict").alias(said))
     at = F.col(url)
     judged = pages.select(
-        *taken, host_of(at).alias("host"), path_of(at).alias("path"), alias_key(at).alias("_alias_key"),
-        fitting_rule(host_of(at), path_of(at), rules).alias("_fit"))
-    out = judged.join(aliases, judged["_alias_key"] == aliases["key"], "left")
+        *taken, host_of(at).alias("host"), path_of(at).alias("path"), alias_key(at).alias(own),
+        fitting_rule(host_of(at), path_of(at), rules).alias(fit))
+    out = judged.join(aliases, F.col(own) == F.col(key), "left")
     return out.select(
-        *taken, "host", "path", F.col("_fit.rule").alias("rule"),
-        F.coalesce("_fit.verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
+        *taken, "host", "path", F.col(f"{fit}.rule").alias("rule"),
+        F.coalesce(f"{fit}.verdict", said, F.lit("allow")).alias("verdict"))
