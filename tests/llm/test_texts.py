@@ -43,6 +43,15 @@ def fuzz(rng, n):
     return plain + ["".join(rng.choice(old) for _ in range(30)) for _ in range(n)]
 
 
+def test_every_code_point_is_cut_as_the_library_cuts_it(library):
+    encoder = Encoder(Vocabulary(vocabulary_path()))
+    codes = [*range(0xD800), *range(0xE000, 0x110000)]
+    for low in range(0, len(codes), 20_000):
+        text = " ".join(f"k{chr(c)}7{chr(c)}k" for c in codes[low:low + 20_000])
+        got = np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids, hex(codes[low])
+
+
 def test_encoding_equals_the_library(library):
     texts = ODD_TEXTS + fuzz(random.Random(3), 400)
     encoder = Encoder(Vocabulary(vocabulary_path()))

@@ -39,6 +39,37 @@ BLANKS = "\t-\r \x85\xa0  -     　"
 #: Fixed values of this kind of vocabulary: the word pattern and the end-of-word mark.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANKS}\p{{L}}\p{{N}}]+"
 WORD_END = "</w>"
+#: The same for words with ``{0}``, code points that only the word pattern's library takes for letters or numbers.
+YOUNG_PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?!{{0}})[\p{{{{L}}}}])+|(?!{{0}})[\p{{{{N}}}}]|"
+                 rf"(?:{{0}}|[^{BLANKS}\p{{{{L}}}}\p{{{{N}}}}])+")
+
+
+#: Letters and numbers that Unicode 16 added, first and last of each run.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Lower case letters that Python's tables do not know yet.
+LOWER_LATER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
+def young_letters() -> str:
+    """A class of the letters and numbers that ``regex`` knows and the tokenizers' library does not: what came after Unicode 16.
+
+    They are those that neither Python's own tables (Unicode 15.1) nor ``LETTERS_16`` have.
+    """
+    known = {c for a, b in LETTERS_16 for c in range(a, b + 1)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn" and ord(c) not in known]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]" if codes else "(?!)"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -81,6 +112,7 @@ class Vocabulary:
             self.left[whole], self.right[whole] = ids[a], ids[b]
             self.pair[ids[a] << 32 | ids[b]] = whole
         self.fits: dict[int, bool] = {}
+        self.young = young_letters()
         self.packed = np.arange(size, dtype="<u4").tobytes()
         self.next, self.fail, self.inner, self.final = {}, [0], [()], [()]
         kept = []
@@ -203,6 +235,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.special = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.words = regex.compile(WORD_PATTERN)
+        self.later = re.compile("[" + "".join(map(chr, LOWER_LATER)) + "]|" + vocabulary.young).search
+        self.young, self.young_words = re.compile(vocabulary.young), regex.compile(YOUNG_PATTERN.format(vocabulary.young))
         self.blank = re.compile(f"[{BLANKS}]+")
         self.odd = re.compile("[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
@@ -212,8 +246,14 @@ class Encoder:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return [p for p in self.blank.split(text) if p] if self.odd.search(text) else text.split()
 
+    def cut(self, piece: str) -> list[str]:
+        """The words of a piece."""
+        if piece.isascii() or not self.later(piece):
+            return self.words.findall(piece)
+        return (self.young_words if self.young.search(piece) else self.words).findall(piece.translate(LOWER_LATER))
+
     def learn(self, pieces: set[str]) -> None:
-        cut = {p: [w.encode() for w in self.words.findall(p)] for p in pieces}
+        cut = {p: [w.encode() for w in self.cut(p)] for p in pieces}
         tokens = self.vocabulary.encode_words(w for ws in cut.values() for w in ws)
         for p, ws in cut.items():
             self.known[p] = b"".join([tokens[w] for w in ws])

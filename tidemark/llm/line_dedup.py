@@ -265,20 +265,33 @@ def edit_distance(a: str, b: str, enough: float = 0) -> int:
 
 
 def _similar(a: str, b: str) -> bool:
-    """Whether the edit similarity is high enough; bounds and few edits are tried before the whole table."""
+    """Whether the edit similarity is high enough."""
+    return _judged(a, b)[0]
+
+
+def _judged(a: str, b: str) -> tuple[bool, int]:
+    """Whether two lines are linked, and a bound of their distance: from above if they are, from below if not.
+
+    Bounds and few edits are tried before the whole table.
+    """
     longer = max(len(a), len(b))
     allowed = int((1 - SIMILARITY) * longer + 1e-9)
     if abs(len(a) - len(b)) > allowed:
-        return False
+        return False, abs(len(a) - len(b))
     rough, gaps = anchored(a, b, allowed)
-    if rough <= allowed or rough <= 4 * allowed and sum(edit_distance(x, y) for x, y in gaps) <= allowed:
-        return True
-    if longer < 2000:
-        return edit_distance(a, b, allowed) <= allowed
-    if (Counter(a) - Counter(b)).total() > allowed or (Counter(b) - Counter(a)).total() > allowed:
-        return False
-    few = few_edits(a, b, min(allowed, 2 * int(longer ** 0.5)))
-    return few is not None or edit_distance(a, b, allowed) <= allowed
+    if rough <= 4 * allowed and rough > allowed:
+        rough = sum(edit_distance(x, y) for x, y in gaps)
+    if rough <= allowed:
+        return True, rough
+    if longer >= 2000:
+        least = max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total())
+        if least > allowed:
+            return False, least
+        few = few_edits(a, b, min(allowed, 2 * int(longer ** 0.5)))
+        if few is not None:
+            return True, few
+    distance = edit_distance(a, b, allowed)
+    return distance <= allowed, distance
 
 
 def anchored(a: str, b: str, reach: int) -> tuple[int, list[tuple[str, str]]]:
@@ -360,14 +373,29 @@ def verified_edges(groups: DataFrame, texts: DataFrame) -> DataFrame:
         sims = np.array([r[1] for r in held], dtype=np.int64).view(U64)
         sizes = np.array([len(r[2]) for r in held])
         parts, edges = _Parts(len(held)), []
+        # A line that was linked is near the one it was linked to; by the triangle inequality lines far from that
+        # one are far from it, so groups of copies are not compared pair by pair.
+        root, off, roots, far = list(range(len(held))), [0] * len(held), set(), {}
         for k in range(len(held)):
             high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
             rest = slice(k + 1, high)
             near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
-            for other in near:
-                if parts.part[other] != parts.part[k] and _similar(held[k][2], held[other][2]):
-                    parts.join(k, int(other))
-                    edges.append((held[k][0], held[other][0]))
+            for other in near.tolist():
+                if parts.part[other] == parts.part[k]:
+                    continue
+                pair = (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
+                slack = off[k] + off[other]
+                if far.get(pair, 0) - slack > (1 - SIMILARITY) * sizes[other] + 1e-9:
+                    continue
+                linked, bound = _judged(held[k][2], held[other][2])
+                if not linked:
+                    far[pair] = max(far.get(pair, 0), bound - slack)
+                    continue
+                parts.join(k, other)
+                edges.append((held[k][0], held[other][0]))
+                if root[other] == other and other not in roots:
+                    root[other], off[other] = root[k], off[k] + bound
+                    roots.add(root[k])
         return pa.RecordBatch.from_arrays(
             [pa.array([e[x] for e in edges], type=pa.int64()) for x in (0, 1)], names=["a", "b"])
 
