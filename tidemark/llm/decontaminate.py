@@ -224,5 +224,5 @@ def decontaminate(
     base = _one_block(docs.select("*", *same), none, text, window, hits=False)
     out = base.join(merged, [h, d], "left")
     return out.select(
-        *docs.columns, "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"),
+        *[F.col(f"`{c}`") for c in docs.columns], "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(found, F.array().cast("array<string>")).alias("items"))

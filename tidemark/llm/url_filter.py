@@ -151,7 +151,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", links
     else:
         links = links.select(*(alias_key(F.concat(F.lit("http://"), c)).alias(c) for c in ("a", "b")))
     aliases = alias_verdicts(links, rules)
-    taken = without(pages, ["host", "path", "rule", "verdict"]).columns
+    taken = [F.col(f"`{c}`") for c in without(pages, ["host", "path", "rule", "verdict"]).columns]
     own, fit, key, said = unused(pages, "own", "fit", "key", "said")
     aliases = aliases.select(F.col("key").alias(key), F.col("alias_verdict").alias(said))
     at = F.col(url)
