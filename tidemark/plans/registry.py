@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.session import pin_utc
 from tidemark.streaming.run import CHANGELOG, STATE_PROVIDER
 
+PARTITIONS = "spark.sql.shuffle.partitions"
 #: Session settings that a query may change while its plan is made.
-SETTINGS = ("spark.sql.session.timeZone", STATE_PROVIDER, CHANGELOG)
+SETTINGS = ("spark.sql.session.timeZone", STATE_PROVIDER, CHANGELOG, PARTITIONS)
 
 Plan = Callable[[SparkSession, str], DataFrame]
 

@@ -11,7 +11,7 @@ from tidemark.operators.skew import lookup_join
 from tidemark.plans.audits import DEDUP_SQL
 from tidemark.plans.common import EVENT_SCHEMA, VALUE_SQL, event_log, events, table, window_start
 from tidemark.plans.joins import ASOF_SQL, LATEST_SQL
-from tidemark.plans.registry import ORACLES, query
+from tidemark.plans.registry import ORACLES, PARTITIONS, query
 from tidemark.session import fresh_dir
 from tidemark.sinks.files import time_partition_schema, write_log_lines
 from tidemark.sinks.topic import write_topic
@@ -31,8 +31,15 @@ from tidemark.streaming.run import (
 SLICES = 5
 
 
-def event_stream(spark, sf_dir):
+def _prepare(spark):
+    """State on disk, in no more partitions than the session has cores: each one is committed with every micro-batch."""
     keep_state_on_disk(spark)
+    most = min(int(spark.conf.get(PARTITIONS)), spark.sparkContext.defaultParallelism)
+    spark.conf.set(PARTITIONS, str(most))
+
+
+def event_stream(spark, sf_dir):
+    _prepare(spark)
     return stream_files(spark, f"{sf_dir.rstrip('/')}/events*.parquet", EVENT_SCHEMA)
 
 
@@ -44,7 +51,7 @@ def _place(spark, name):
 @query("stream_tumbling_count", ORACLES["tumbling_count"])
 def stream_tumbling_count(spark, sf_dir):
     """Events replayed in time order; each window comes out once, when the watermark has closed it."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     out, checkpoint = _place(spark, "tumbling")
     rows = events(spark, sf_dir).select("user_id", "value", "ts")
 
@@ -59,7 +66,7 @@ def stream_tumbling_count(spark, sf_dir):
 @query("stream_dedup_windowed", DEDUP_SQL)
 def stream_dedup_windowed(spark, sf_dir):
     """Windowed dedup of replayed events; the first of each window comes out when it is closed."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     out, checkpoint = _place(spark, "dedup")
     rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "ts")
 
@@ -74,7 +81,7 @@ def stream_dedup_windowed(spark, sf_dir):
 @query("stream_within_join", ORACLES["within_join"])
 def stream_within_join(spark, sf_dir):
     """Replayed purchases and clicks; users that turn out busy get a grid of cells from the next bucket on."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     rows = events(spark, sf_dir).where("event_type in ('purchase', 'click')").select("user_id", "event_id", "event_type", "ts")
     joins = []
 
@@ -107,7 +114,7 @@ def stream_join_latest(spark, sf_dir):
 @query("stream_join_asof", ASOF_SQL)
 def stream_join_asof(spark, sf_dir):
     """Replayed purchases against the clicks that arrived before them in the same stream, kept in keyed state."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     out, checkpoint = _place(spark, "asof")
     log = events(spark, sf_dir).where("event_type in ('purchase', 'click')").select(
         "event_id", "user_id", "event_type", "value", F.col("value").alias("paid"))
@@ -161,7 +168,7 @@ def stream_late_rows(spark, sf_dir):
 """)
 def stream_late_windows(spark, sf_dir):
     """Windows over the kept side: the second stream's watermark, with the same delay, finds nothing more to drop."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     root = fresh_dir(spark, "late")
     parts = _arrivals(spark, sf_dir)
 
@@ -241,7 +248,7 @@ def sink_roll(spark, sf_dir):
 """)
 def push_changes(spark, sf_dir):
     """A subscriber takes the changes of a counting query until all are there; its last ones are what a pull returns."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     root = fresh_dir(spark, "push")
     rows = events(spark, sf_dir).select("event_type", "user_id", "event_id")
     landing, wanted = Landing(spark, f"{root}/landing", rows.schema), 0
@@ -276,7 +283,7 @@ def push_rows(spark, sf_dir):
 """)
 def stream_limit(spark, sf_dir):
     """The first five sixths of a stream, over three arrivals and a restart: the limit is reached inside the third one."""
-    keep_state_on_disk(spark)
+    _prepare(spark)
     root = fresh_dir(spark, "limit")
     rows = events(spark, sf_dir).select("event_id")
     n = rows.count()

@@ -178,6 +178,9 @@ def subscribe(
     try:
         while query.isActive and (end is None or time.monotonic() < end) and not full.wait(0.1):
             pass
+        patience = time.monotonic() + 10  # the batch that was the last one is still to be committed
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < patience:
+            time.sleep(0.05)
         if query.exception() is not None:
             raise query.exception()
     finally:
