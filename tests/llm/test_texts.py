@@ -15,6 +15,7 @@ from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.html_extract import extract_text, node_features, parse
 from tidemark.llm.quality import METRICS, RULES, Counts, judge, order_rules, quality_cascade
 from tidemark.llm.shared import vocabulary_path
+from tidemark.llm.stages import bpe_encoding
 from tidemark.llm.textbytes import slices, sliding_min
 
 SCHEMA = "doc_id long, text string"
@@ -73,6 +74,20 @@ def test_encoding_and_decoding_of_rows(spark, library):
     assert bpe_encode(frame.limit(0), vocabulary_path()).collect() == []
 
 
+def test_encoding_and_decoding_share_a_worker(spark, capsys):
+    """Two steps in Python are two workers per task, which was too much memory in the pipeline."""
+    rows = [(k, t, "w") for k, t in enumerate([*ODD_TEXTS, None, "same", "same"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
+    apart = bpe_decode(bpe_encode(frame, vocabulary_path()), vocabulary_path()).select("doc_id", "text", "ids", "decoded")
+    at_once = bpe_encode(frame, vocabulary_path(), decoded="decoded")
+    assert at_once.columns == apart.columns and sorted(at_once.collect()) == sorted(apart.collect())
+    stage = bpe_encoding(spark, frame, "")
+    stage.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    want = {r.doc_id: (len(r.ids) // 4, bytes(r.ids), brute.sha(r.decoded.encode())) for r in apart.collect()}
+    assert {r.doc_id: (r.n_tokens, bytes(r.ids), r.decoded_sha256) for r in stage.collect()} == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div id="logo">Site name</div><div class="main-menu"><a href=/>Home</a> <a href=/b>Other</a></div></header>
 <div id="cookie-notice">We use cookies to make this work.</div>%s

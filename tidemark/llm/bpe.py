@@ -290,25 +290,39 @@ def _runs(column: pa.Array) -> Iterator[list]:
         low = high
 
 
-def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _spoken(tokens: list[str], coded: bytes | None) -> str:
+    """The written tokens of packed numbers, one space between them."""
+    return " ".join(map(tokens.__getitem__, np.frombuffer(coded or b"", dtype="<u4").tolist()))
+
+
+def bpe_encode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``df`` with ``ids``: the token numbers of each text as little-endian unsigned 32-bit integers.
 
+    With ``decoded``, also that column, as ``bpe_decode`` makes it: in the same pass, so one worker per task does both
+    and the numbers do not travel twice.
     The driver reads the vocabulary file and sends its tables to the executors; their size is the vocabulary's.
     """
-    tables = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary_path))
-    others = [c for c in df.columns if c != ids]
+    tables = df.sparkSession.sparkContext.broadcast(
+        (Vocabulary(vocabulary_path), written_tokens(vocabulary_path) if decoded else []))
+    others = [c for c in df.columns if c not in (ids, decoded)]
     place = others.index(text)
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(ids, T.BinaryType())])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def run(batches):
-        encoder = Encoder(tables.value)
+        vocabulary, tokens = tables.value
+        encoder = Encoder(vocabulary)
         for batch in batches:
             low = 0
             for texts in _runs(batch.column(place)):
                 part = batch.slice(low, len(texts))
                 low += len(texts)
                 coded = encoder.encode(["" if t is None else t for t in texts])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(coded, type=pa.binary())], names=schema.names)
+                columns = [*part.columns, pa.array(coded, type=pa.binary())]
+                if decoded:
+                    columns.append(pa.array([_spoken(tokens, c) for c in coded], type=pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(*others).mapInArrow(run, schema)
 
@@ -324,13 +338,13 @@ def bpe_decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", decoded: s
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(decoded, T.StringType())])
 
     def run(batches):
-        look = tables.value.__getitem__
+        tokens = tables.value
         for batch in batches:
             low = 0
             for coded in _runs(batch.column(place)):
                 part = batch.slice(low, len(coded))
                 low += len(coded)
-                texts = [" ".join(map(look, np.frombuffer(c or b"", dtype="<u4").tolist())) for c in coded]
+                texts = [_spoken(tokens, c) for c in coded]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, type=pa.string())], names=schema.names)
 
     return df.select(*others).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_decode, bpe_encode
+from tidemark.llm.bpe import bpe_encode
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.line_dedup import dedup_lines
@@ -56,7 +56,6 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded_sha256)``: each document's token numbers, and a digest of what they decode to."""
-    path = vocabulary_path()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe_encode(docs.select("doc_id", "text"), vocabulary_path(), decoded="decoded")
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
