@@ -7,7 +7,7 @@ import pytest
 from tests.llm import brute
 from tidemark.llm.chunk_dedup import GEAR, WINDOW, chunk_ends, dedup_chunks, gear
 from tidemark.llm.jaccard_join import jaccard_components
-from tidemark.llm import line_dedup
+from tidemark.llm import line_dedup, shared
 from tidemark.llm.line_dedup import dedup_lines, edit_distance, few_edits
 from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.textbytes import Texts
@@ -248,6 +248,34 @@ def test_links_leave_a_task_as_a_forest(spark):
     assert sum(r.n_removed for r in dedup_lines(docs).collect()) == 999
 
 
+def test_lines_that_stay_anyway_are_not_grouped(spark, monkeypatch):
+    """Only lines that stand twice or are linked are grouped and shuffled once more."""
+    tables, rng = {}, random.Random(10)
+
+    def written(df, name):
+        tables[name] = out = shared.written(df, name)
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    body, again = words(rng, 30), words(rng, 12)
+    rows = [(k, f"{words(rng, 20)}\n{words(rng, 15)}") for k in range(50)]
+    rows += [(50, f"{body} one\n{again}"), (51, f"{again}\n{body} two"), (51, f"{again}\n{body} two"), (None, again)]
+    got = {(r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    first = (None, again)  # a missing id comes first
+    assert got == {*rows[:50], (50, f"{body} one"), (51, ""), first}
+    assert tables["distinct"].count() == 103 and tables["groups"].count() == 3
+
+
+def test_edges_of_many_groups_leave_together():
+    import pyarrow as pa
+
+    sets = [(g, 2 * g + k, 0, text) for g in range(1000) for k, text in enumerate(["one two three four five", "one two three four fine"])]
+    batch = pa.RecordBatch.from_pylist([dict(zip("glst", row)) for row in sets])
+    got = list(line_dedup._edge_batches(iter([batch.slice(0, 777), batch.slice(777)])))
+    assert len(got) == 1 and [tuple(r.values()) for r in got[0].to_pylist()] == [(2 * g, 2 * g + 1) for g in range(1000)]
+    assert [b.num_rows for b in line_dedup._edge_batches(iter([]))] == [0]
+
+
 def test_few_edits_and_very_long_lines(spark):
     rng = random.Random(4)
     for _ in range(300):

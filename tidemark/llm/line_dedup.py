@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ MOST_BLOCKS, FEW_WORDS = 8, 24
 GRID = 4096
 #: Blocks of lines in a bucket, about.
 BUCKET_BLOCKS = 1 << 20
+#: Edges of small groups that leave a task at once, about.
+EDGES = 1 << 14
 #: Slots of the filter that tells which lines may be wanted.
 SLOTS = 1 << 22
 NOT_NEWLINE = np.ones(256, dtype=bool)
@@ -355,69 +358,79 @@ def few_edits(a: str, b: str, most: int) -> int | None:
 
 def verified_edges(groups: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)``: links that connect what is connected in each of the ``groups (grp, line, sim)``; no more than its lines."""
-
-    def run(batches):
-        have, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != have and held:
-                    yield _edges(held)
-                    held = []
-                have = row[0]
-                held.append(row[1:])
-        if held:
-            yield _edges(held)
-
-    def _edges(held: list[tuple]) -> pa.RecordBatch:
-        held.sort(key=lambda r: (len(r[2]), r[0]))
-        sims = np.array([r[1] for r in held], dtype=np.int64).view(U64)
-        sizes = np.array([len(r[2]) for r in held])
-        parts, edges = _Parts(len(held)), []
-        # A line that was linked is near the one it was linked to; by the triangle inequality lines far from that
-        # one are far from it, so groups of copies are not compared pair by pair.
-        root, off, roots, far = list(range(len(held))), [0] * len(held), set(), {}
-        for k in range(len(held)):
-            high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
-            rest = slice(k + 1, high)
-            near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
-            for other in near.tolist():
-                if parts.part[other] == parts.part[k]:
-                    continue
-                pair = (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
-                slack = off[k] + off[other]
-                if far.get(pair, 0) - slack > (1 - SIMILARITY) * sizes[other] + 1e-9:
-                    continue
-                linked, bound = _judged(held[k][2], held[other][2])
-                if not linked:
-                    far[pair] = max(far.get(pair, 0), bound - slack)
-                    continue
-                parts.join(k, other)
-                edges.append((held[k][0], held[other][0]))
-                if root[other] == other and other not in roots:
-                    root[other], off[other] = root[k], off[k] + bound
-                    roots.add(root[k])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([e[x] for e in edges], type=pa.int64()) for x in (0, 1)], names=["a", "b"])
-
     return groups.join(texts, "line").select("grp", "line", "sim", "normal").repartition("grp").sortWithinPartitions(
-        "grp").mapInArrow(run, "a long, b long").distinct()
+        "grp").mapInArrow(_edge_batches, "a long, b long").distinct()
+
+
+def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of all groups.  Most groups are pairs, so those of many leave the task together."""
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([e[x] for e in edges], type=pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+    have, held, edges = None, [], []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != have and held:
+                edges += _edges(held)
+                held = []
+                if len(edges) >= EDGES:
+                    yield out()
+                    edges = []
+            have = row[0]
+            held.append(row[1:])
+    edges += _edges(held)
+    yield out()
+
+
+def _edges(held: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The edges of one group of ``(line, sim, normal)``."""
+    held.sort(key=lambda r: (len(r[2]), r[0]))
+    sims = np.array([r[1] for r in held], dtype=np.int64).view(U64)
+    sizes = np.array([len(r[2]) for r in held])
+    parts, edges = _Parts(len(held)), []
+    # A line that was linked is near the one it was linked to; by the triangle inequality lines far from that
+    # one are far from it, so groups of copies are not compared pair by pair.
+    root, off, roots, far = list(range(len(held))), [0] * len(held), set(), {}
+    for k in range(len(held)):
+        high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
+        rest = slice(k + 1, high)
+        near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
+        for other in near.tolist():
+            if parts.part[other] == parts.part[k]:
+                continue
+            pair = (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
+            slack = off[k] + off[other]
+            if far.get(pair, 0) - slack > (1 - SIMILARITY) * sizes[other] + 1e-9:
+                continue
+            linked, bound = _judged(held[k][2], held[other][2])
+            if not linked:
+                far[pair] = max(far.get(pair, 0), bound - slack)
+                continue
+            parts.join(k, other)
+            edges.append((held[k][0], held[other][0]))
+            if root[other] == other and other not in roots:
+                root[other], off[other] = root[k], off[k] + bound
+                roots.add(root[k])
+    return edges
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, h, places)`` of the documents that lose lines; ``places`` are line numbers from 0."""
     found = written(line_table(docs, doc_id, text), "lines")
     groups = written(near_groups(found), "near")
-    at = F.struct("doc_id", "h", "place", "raw")
-    distinct = written(found.groupBy("line").agg(F.min(at).alias("first"), F.count("*").alias("c")), "distinct")
-    wanted = written(distinct.join(groups.select("line").distinct(), "line").select("line", "first.raw"), "wanted")
+    at = F.struct("doc_id", "h", "place")
+    distinct = written(found.groupBy("line").agg(F.min(at).alias("first"), F.min("raw").alias("raw"), F.count("*").alias("c")), "distinct")
+    wanted = written(distinct.join(groups.select("line").distinct(), "line").select("line", "raw"), "wanted")
     edges = written(verified_edges(groups, line_texts(docs, text, wanted)), "links")
     member = components(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), edges)
-    grouped = distinct.join(member.withColumnRenamed("id", "line"), "line", "left").select(
-        "line", "first", "c", F.coalesce("component", "line").alias("grp"))
+    # A line that stands once and is linked with no other one stays, so only the others are grouped.
+    grouped = distinct.join(member.withColumnRenamed("id", "line"), "line", "left").where("component is not null or c > 1").select(
+        "line", "first", F.coalesce("component", "line").alias("grp"))
     grouped = written(grouped, "groups")
-    kept = grouped.groupBy("grp").agg(F.min("first").alias("keep"), F.sum("c").alias("n")).where("n > 1")
+    kept = grouped.groupBy("grp").agg(F.min("first").alias("keep"))
     verdict = grouped.join(kept, "grp").select("line", "keep")
-    gone = found.select("doc_id", "h", "place", "raw", "line").join(verdict, "line").where(~at.eqNullSafe(F.col("keep")))
+    gone = found.select("doc_id", "h", "place", "line").join(verdict, "line").where(~at.eqNullSafe(F.col("keep")))
     return gone.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places"))
 
 
