@@ -309,3 +309,13 @@ def test_edit_distance_equals_the_plain_table():
         assert edit_distance(a, b) == brute.edit_distance(a, b)
     long = "".join(rng.choice("abcdef") for _ in range(3000))
     assert edit_distance("x" + long + "y", long[1:] + "z") == 3
+
+
+def test_a_distance_that_must_be_too_large_ends_early():
+    rng = random.Random(31)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        true = edit_distance(a, b)
+        for most in range(8):
+            got = edit_distance(a, b, until=most)
+            assert got == true if true <= most else most < got <= true

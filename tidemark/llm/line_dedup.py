@@ -201,13 +201,17 @@ def _group(sums: np.ndarray) -> np.ndarray:
 
 
 class _Parts:
-    """Which lines of a group are connected; parts are arrays, so all partners of a line are looked at at once."""
+    """Which lines of a group are connected, as an array to look at all partners of a line at once, and as a list for single ones."""
 
     def __init__(self, n: int):
-        self.part = np.arange(n)
+        self.part, self.label = np.arange(n), list(range(n))
 
     def join(self, a: int, b: int) -> None:
-        self.part[self.part == self.part[b]] = self.part[a]
+        to = self.label[a]
+        moved = np.flatnonzero(self.part == self.label[b])
+        self.part[moved] = to
+        for k in moved.tolist():
+            self.label[k] = to
 
 
 def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -238,10 +242,11 @@ def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "raw").select("line", "normal").dropDuplicates(["line"])
 
 
-def edit_distance(a: str, b: str, enough: float = 0) -> int:
+def edit_distance(a: str, b: str, enough: float = 0, until: float = float("inf")) -> int:
     """Levenshtein distance: equal ends are cut off, then all of a column is computed at once in the bits of an integer.
 
     If what is between the ends is no longer than ``enough``, its length is returned, which bounds the distance.
+    Once the distance must be over ``until``, a bound from below that is over it is returned.
     """
     low, most = 0, min(len(a), len(b))
     while low < most and a[low] == b[low]:
@@ -252,18 +257,29 @@ def edit_distance(a: str, b: str, enough: float = 0) -> int:
     a, b = a[low:len(a) - high], b[low:len(b) - high]
     if not a or not b or max(len(a), len(b)) <= enough:
         return max(len(a), len(b))
+    if len(a) < len(b):
+        a, b = b, a
     places: dict[str, int] = {}
     for k, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << k
     everywhere, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = everywhere, 0, len(a)  # where the column rises and falls from row to row
+    left = len(b)
     for c in b:
         same = places.get(c, 0)
-        flat = (((same & up) + up) ^ up) | same | down
-        right_up, right_down = (down | ~(flat | up)) & everywhere, up & flat
-        distance += bool(right_up & last) - bool(right_down & last)
-        right_up, right_down = (right_up << 1 | 1) & everywhere, (right_down << 1) & everywhere
-        up, down = (right_down | ~(flat | right_up)) & everywhere, right_up & flat
+        flat = ((((same & up) + up) ^ up) | same | down) & everywhere
+        right_up, right_down = down | (everywhere ^ (flat | up)), up & flat
+        left -= 1
+        if right_up & last:
+            distance += 1
+            if distance - left > until:  # a column changes it by one at most
+                return distance - left
+        elif right_down & last:
+            distance -= 1
+        elif distance - left > until:
+            return distance - left
+        right_up = (right_up << 1 | 1) & everywhere
+        up, down = (right_down << 1 | (everywhere ^ (flat | right_up))) & everywhere, right_up & flat
     return distance
 
 
@@ -272,10 +288,10 @@ def _similar(a: str, b: str) -> bool:
     return _judged(a, b)[0]
 
 
-def _judged(a: str, b: str) -> tuple[bool, int]:
+def _judged(a: str, b: str, whole: bool = False) -> tuple[bool, int]:
     """Whether two lines are linked, and a bound of their distance: from above if they are, from below if not.
 
-    Bounds and few edits are tried before the whole table.
+    Bounds and few edits are tried before the whole table, which ends once lines must be unlike unless ``whole``.
     """
     longer = max(len(a), len(b))
     allowed = int((1 - SIMILARITY) * longer + 1e-9)
@@ -293,7 +309,7 @@ def _judged(a: str, b: str) -> tuple[bool, int]:
         few = few_edits(a, b, min(allowed, 2 * int(longer ** 0.5)))
         if few is not None:
             return True, few
-    distance = edit_distance(a, b, allowed)
+    distance = edit_distance(a, b, allowed, float("inf") if whole else allowed)
     return distance <= allowed, distance
 
 
@@ -386,8 +402,13 @@ def _edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _edges(held: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """The edges of one group of ``(line, sim, normal)``."""
     held.sort(key=lambda r: (len(r[2]), r[0]))
+    if len(held) == 2:
+        (a, a_sim, a_text), (b, b_sim, b_text) = held
+        near = ((a_sim ^ b_sim) & 0xFFFFFFFFFFFFFFFF).bit_count() <= DISTANCE
+        return [(a, b)] if near and _similar(a_text, b_text) else []
     sims = np.array([r[1] for r in held], dtype=np.int64).view(U64)
-    sizes = np.array([len(r[2]) for r in held])
+    lengths = [len(r[2]) for r in held]
+    sizes = np.array(lengths)
     parts, edges = _Parts(len(held)), []
     # A line that was linked is near the one it was linked to; by the triangle inequality lines far from that
     # one are far from it, so groups of copies are not compared pair by pair.
@@ -396,14 +417,15 @@ def _edges(held: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
         rest = slice(k + 1, high)
         near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
+        mine = parts.label[k]
         for other in near.tolist():
-            if parts.part[other] == parts.part[k]:
+            if parts.label[other] == mine:
                 continue
             pair = (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
             slack = off[k] + off[other]
-            if far.get(pair, 0) - slack > (1 - SIMILARITY) * sizes[other] + 1e-9:
+            if far.get(pair, 0) - slack > (1 - SIMILARITY) * lengths[other] + 1e-9:
                 continue
-            linked, bound = _judged(held[k][2], held[other][2])
+            linked, bound = _judged(held[k][2], held[other][2], whole=True)  # far lines spare other comparisons
             if not linked:
                 far[pair] = max(far.get(pair, 0), bound - slack)
                 continue
