@@ -8,7 +8,7 @@ from tests.llm import brute
 from tidemark.llm.chunk_dedup import GEAR, WINDOW, chunk_ends, dedup_chunks, gear
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm import line_dedup, shared
-from tidemark.llm.line_dedup import dedup_lines, edit_distance, few_edits
+from tidemark.llm.line_dedup import dedup_lines, edit_distance, edit_distances, few_edits
 from tidemark.llm.suffix_dedup import dedup_strings
 from tidemark.llm.textbytes import Texts
 
@@ -319,3 +319,59 @@ def test_a_distance_that_must_be_too_large_ends_early():
         for most in range(8):
             got = edit_distance(a, b, until=most)
             assert got == true if true <= most else most < got <= true
+
+
+def test_distances_side_by_side_equal_the_plain_table():
+    rng = random.Random(32)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abcé ", "abcdef\0𝄞"])
+        text, *others = ["".join(rng.choice(letters) for _ in range(rng.randrange(90))) for _ in range(rng.randrange(2, 9))]
+        others += [text[rng.randrange(5):] + "b", text, ""]
+        true = [brute.edit_distance(text, x) for x in others]
+        assert edit_distances(text, others) == true
+        most = [rng.randrange(50) for _ in others]
+        for got, d, m in zip(edit_distances(text, others, most), true, most):
+            assert got == d if d <= m else m < got <= d
+
+
+def linked_in_brute_force(held):
+    """The least number that each line of a group is connected with."""
+    part = {line: line for line, _, _ in held}
+    for a, _, x in held:
+        for b, _, y in held:
+            if a < b and part[a] != part[b] and brute.edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                low, high = sorted((part[a], part[b]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    return part
+
+
+@pytest.mark.parametrize("side_by_side", [1 << 18, 300])
+def test_groups_of_copies_and_unlike_lines_equal_brute_force(side_by_side, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SIDE_BY_SIDE", side_by_side)
+    monkeypatch.setattr(line_dedup, "STRIDE", 7)
+    rng = random.Random(33)
+    for _ in range(6):
+        shared, bodies = words(rng, 8), [words(rng, 8) for _ in range(4)]
+        held = []
+        for k in range(30):
+            w = (rng.choice(bodies) if rng.random() < 0.6 else words(rng, 8)).split(" ")
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            held.append((k, 0, " ".join(w) + " " + shared))
+        edges = line_dedup._edges(list(held))
+        part = {k: k for k, _, _ in held}
+        for a, b in edges:
+            low, high = sorted((part[a], part[b]))
+            assert low != high
+            part = {k: low if v == high else v for k, v in part.items()}
+        assert part == linked_in_brute_force(held)
+
+
+def test_unlike_lines_of_a_group_are_not_compared_one_by_one(monkeypatch):
+    """Lines that share half their words: no table for each pair of them."""
+    calls = []
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *a, f=edit_distance, **b: calls.append(1) or f(*a, **b))
+    rng = random.Random(34)
+    shared = words(rng, 20)
+    lines = [(k, 0, f"{words(rng, 20)} {shared}") for k in range(60)]
+    assert line_dedup._edges(lines) == [] and len(calls) < 60

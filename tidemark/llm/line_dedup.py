@@ -46,6 +46,12 @@ GRID = 4096
 BUCKET_BLOCKS = 1 << 20
 #: Edges of small groups that leave a task at once, about.
 EDGES = 1 << 14
+#: Characters of lines that are compared with one line at once; fewer lines than ``FEW_LINES`` are compared one by one.
+SIDE_BY_SIDE, FEW_LINES = 1 << 18, 4
+#: Partners of a line that are judged before it is asked again which ones are left.
+STRIDE = 512
+#: From this length on, trying few edits costs less than the whole table.
+LONG = 20_000
 #: Slots of the filter that tells which lines may be wanted.
 SLOTS = 1 << 22
 NOT_NEWLINE = np.ones(256, dtype=bool)
@@ -283,21 +289,87 @@ def edit_distance(a: str, b: str, enough: float = 0, until: float = float("inf")
     return distance
 
 
+def edit_distances(text: str, others: list[str], until: list[int] | None = None) -> list[int]:
+    """The Levenshtein distance of ``text`` to each of ``others``; over its ``until``, maybe a bound from below that is over it.
+
+    The columns of all others lie side by side in one integer, with a free bit behind each.  Now and then those
+    whose distance must be too large are left out: a way to the end has to cross the column somewhere.
+    """
+    found, n = [0] * len(others), len(text)
+    ids, sizes = np.arange(len(others)), np.array([len(o) for o in others], dtype=np.int64)
+    codes = np.frombuffer("\0".join([*others, ""]).encode("utf-32-le"), dtype=np.uint32).copy()
+    codes[np.cumsum(sizes + 1) - 1] = 0xFFFFFFFF
+    most = None if until is None else np.array(until)
+    alphabet = {c: ord(c) for c in set(text)}
+
+    def layout():
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        low = np.zeros(len(codes), dtype=bool)
+        low[starts] = True
+        rest = np.repeat(sizes, sizes + 1) - 1 - ranges(np.zeros(len(sizes), dtype=np.int64), sizes + 1)  # rows below each bit's
+        return starts, rest, _number(codes != 0xFFFFFFFF), _number(low), {c: _number(codes == k) for c, k in alphabet.items()}
+
+    starts, rest, everywhere, lows, places = layout()
+    up, down = everywhere, 0
+    step = max(32, n // 16)
+    for j, c in enumerate(text, 1):
+        same = places[c]
+        flat = ((((same & up) + up) ^ up) | same | down) & everywhere
+        right_up, right_down = down | (everywhere ^ (flat | up)), up & flat
+        right_up = (right_up << 1 | lows) & everywhere
+        up, down = (right_down << 1 | (everywhere ^ (flat | right_up))) & everywhere, right_up & flat
+        if most is None or j % step or j == n:
+            continue
+        ups, downs = _bits(up, len(codes)), _bits(down, len(codes))
+        heights = np.cumsum(ups.view(np.int8) - downs.view(np.int8), dtype=np.int64)
+        before = np.concatenate([[0], heights[starts[1:] - 1]])
+        least = np.minimum.reduceat(heights + np.abs(rest - (n - j)), starts) - before
+        least = np.minimum(least, np.abs(sizes - (n - j))) + j
+        alive = least <= most
+        if 2 * alive.sum() > len(alive):
+            continue
+        for k, bound in zip(ids[~alive].tolist(), least[~alive].tolist()):
+            found[k] = bound
+        if not alive.any():
+            return found
+        stay = np.repeat(alive, sizes + 1)
+        ids, sizes, most, codes = ids[alive], sizes[alive], most[alive], codes[stay]
+        starts, rest, everywhere, lows, places = layout()
+        up, down = _number(ups[stay]), _number(downs[stay])
+    rises = _bits(up, len(codes)).view(np.int8) - _bits(down, len(codes)).view(np.int8)
+    for k, distance in zip(ids.tolist(), (n + np.add.reduceat(rises, starts, dtype=np.int64)).tolist()):
+        found[k] = distance
+    return found
+
+
+def _number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _bits(number: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(number.to_bytes(-(-n // 8), "little"), dtype=np.uint8), bitorder="little", count=n)
+
+
 def _similar(a: str, b: str) -> bool:
     """Whether the edit similarity is high enough."""
     return _judged(a, b)[0]
 
 
-def _judged(a: str, b: str, whole: bool = False) -> tuple[bool, int]:
+def _allowed(longer: int) -> int:
+    """The largest distance of linked lines."""
+    return int((1 - SIMILARITY) * longer + 1e-9)
+
+
+def _judged(a: str, b: str) -> tuple[bool, int]:
     """Whether two lines are linked, and a bound of their distance: from above if they are, from below if not.
 
-    Bounds and few edits are tried before the whole table, which ends once lines must be unlike unless ``whole``.
+    Bounds and few edits are tried before the whole table, which ends once lines must be unlike.
     """
     longer = max(len(a), len(b))
-    allowed = int((1 - SIMILARITY) * longer + 1e-9)
+    allowed = _allowed(longer)
     if abs(len(a) - len(b)) > allowed:
         return False, abs(len(a) - len(b))
-    rough, gaps = anchored(a, b, allowed)
+    rough, gaps = anchored(a, b, allowed, 4 * allowed)
     if rough <= 4 * allowed and rough > allowed:
         rough = sum(edit_distance(x, y) for x, y in gaps)
     if rough <= allowed:
@@ -306,17 +378,47 @@ def _judged(a: str, b: str, whole: bool = False) -> tuple[bool, int]:
         least = max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total())
         if least > allowed:
             return False, least
+    if longer >= LONG:
         few = few_edits(a, b, min(allowed, 2 * int(longer ** 0.5)))
         if few is not None:
             return True, few
-    distance = edit_distance(a, b, allowed, float("inf") if whole else allowed)
+    distance = edit_distance(a, b, allowed, allowed)
     return distance <= allowed, distance
 
 
-def anchored(a: str, b: str, reach: int) -> tuple[int, list[tuple[str, str]]]:
+def _judged_many(text: str, others: list[str]) -> list[tuple[bool, int]]:
+    """``_judged`` of one line and each of the ``others``, none of them shorter; those that bounds do not settle go side by side."""
+    out: list = [None] * len(others)
+    blocks, size = [[]], 0
+    for k, other in enumerate(others):
+        allowed = _allowed(len(other))
+        if len(other) >= LONG or len(others) < FEW_LINES or len(other) - len(text) > allowed:
+            out[k] = _judged(text, other)
+            continue
+        rough = anchored(text, other, allowed, allowed)[0]
+        if rough <= allowed:
+            out[k] = True, rough
+            continue
+        if size + len(other) > SIDE_BY_SIDE and blocks[-1]:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(k)
+        size += len(other)
+    for block in blocks:
+        if 0 < len(block) < FEW_LINES:
+            for k in block:
+                out[k] = _judged(text, others[k])
+        elif block:
+            limits = [_allowed(len(others[k])) for k in block]
+            for k, most, distance in zip(block, limits, edit_distances(text, [others[k] for k in block], limits)):
+                out[k] = distance <= most, distance
+    return out
+
+
+def anchored(a: str, b: str, reach: int, most: int) -> tuple[int, list[tuple[str, str]]]:
     """What lies between pieces of ``a`` that ``b`` has, in order, and its length, an upper bound of the distance.
 
-    The distances of what lies between add up to a closer bound.
+    The distances of what lies between add up to a closer bound.  It ends once the length is over ``most``.
     """
     at_a = at_b = cost = 0
     gaps = []
@@ -328,6 +430,8 @@ def anchored(a: str, b: str, reach: int) -> tuple[int, list[tuple[str, str]]]:
                 cost += max(k - at_a, found - at_b)
                 gaps.append((a[at_a:k], b[at_b:found]))
             at_a, at_b = k + ANCHOR, found + ANCHOR
+        elif cost + k + ANCHOR - at_a > most:
+            return cost + k + ANCHOR - at_a, gaps
     gaps.append((a[at_a:], b[at_b:]))
     return cost + max(len(a) - at_a, len(b) - at_b), gaps
 
@@ -412,31 +516,61 @@ def _edges(held: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     parts, edges = _Parts(len(held)), []
     # A line that was linked is near the one it was linked to; by the triangle inequality lines far from that
     # one are far from it, so groups of copies are not compared pair by pair.
-    root, off, roots, far = list(range(len(held))), [0] * len(held), set(), {}
+    root, off, roots, far, whole = list(range(len(held))), [0] * len(held), set(), {}, set()
+
+    def pair_of(k, other):
+        return (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
+
+    def unsettled(k, others):
+        """Those that are neither connected with a line nor certainly far from it."""
+        mine = parts.label[k]
+        return [x for x in others if parts.label[x] != mine
+                and far.get(pair_of(k, x), 0) - off[k] - off[x] <= (1 - SIMILARITY) * lengths[x] + 1e-9]
+
     for k in range(len(held)):
         high = int(np.searchsorted(sizes, sizes[k] / SIMILARITY + 1e-6, side="right"))
         rest = slice(k + 1, high)
         near = np.flatnonzero((np.bitwise_count(sims[rest] ^ sims[k]) <= DISTANCE) & (parts.part[rest] != parts.part[k])) + k + 1
-        mine = parts.label[k]
-        for other in near.tolist():
-            if parts.label[other] == mine:
-                continue
-            pair = (root[k], root[other]) if root[k] < root[other] else (root[other], root[k])
-            slack = off[k] + off[other]
-            if far.get(pair, 0) - slack > (1 - SIMILARITY) * lengths[other] + 1e-9:
-                continue
-            linked, bound = _judged(held[k][2], held[other][2], whole=True)  # far lines spare other comparisons
-            if not linked:
-                far[pair] = max(far.get(pair, 0), bound - slack)
-                continue
-            parts.join(k, other)
-            edges.append((held[k][0], held[other][0]))
-            if root[other] == other and other not in roots:
-                root[other], off[other] = root[k], off[k] + bound
-                roots.add(root[k])
+        near = unsettled(k, near.tolist())
+        # Where lines linked to the same two were unlike before, the distance of those two is worth knowing in whole.
+        again = [p for p in dict.fromkeys(pair_of(k, x) for x in near if off[k] + off[x]) if p in far and p not in whole]
+        if again:
+            partners = [p[0] + p[1] - root[k] for p in again]
+            for p, distance in zip(again, _distances(held[root[k]][2], [held[x][2] for x in partners])):
+                far[p] = max(far[p], distance)
+                whole.add(p)
+            near = unsettled(k, near)
+        while near:
+            some, near = near[:STRIDE], near[STRIDE:]
+            for other, (linked, bound) in zip(some, _judged_many(held[k][2], [held[x][2] for x in some])):
+                if parts.label[other] == parts.label[k]:
+                    continue
+                if not linked:
+                    pair = pair_of(k, other)
+                    far[pair] = max(far.get(pair, 0), bound - off[k] - off[other])
+                    continue
+                parts.join(k, other)
+                edges.append((held[k][0], held[other][0]))
+                if root[other] == other and other not in roots:
+                    root[other], off[other] = root[k], off[k] + bound
+                    roots.add(root[k])
+            near = unsettled(k, near)
     return edges
 
 
+def _distances(text: str, others: list[str]) -> list[int]:
+    """The whole distances, side by side for as many as fit."""
+    out, k = [], 0
+    while k < len(others):
+        high, size = k + 1, len(others[k])
+        while high < len(others) and size + len(others[high]) <= SIDE_BY_SIDE:
+            size += len(others[high])
+            high += 1
+        out += edit_distances(text, others[k:high])
+        k = high
+    return out
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, h, places)`` of the documents that lose lines; ``places`` are line numbers from 0."""
     found = written(line_table(docs, doc_id, text), "lines")
