@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -266,6 +267,22 @@ def test_lines_that_stay_anyway_are_not_grouped(spark, monkeypatch):
     assert tables["distinct"].count() == 103 and tables["groups"].count() == 3
 
 
+def test_few_rows_reach_the_driver_however_many_lines_are_wanted(spark, monkeypatch):
+    frame, got = type(spark.range(0)), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(real(self)) or got[-1])
+    odd = [0, -1, 1, line_dedup.SLOTS - 1, -line_dedup.SLOTS, (1 << 63) - 1, -1 << 63]
+    many = spark.range(100_000).selectExpr("id as line", "xxhash64(id) as raw").union(spark.createDataFrame(list(enumerate(odd)), "line long, raw long"))
+    docs = spark.createDataFrame([(1, "Ab 12\n- -\ncd")], SCHEMA)
+    raw = line_dedup.line_table(docs, "doc_id", "text").select("line", "raw")
+    found = line_dedup.line_texts(docs, "text", many.union(raw))
+    assert sum(map(len, got)) <= 1000
+    assert sorted(r.normal for r in real(found)) == ["ab 00", "cd"]
+    marked = np.flatnonzero(np.unpackbits(line_dedup.slot_bits(many), bitorder="little"))
+    assert marked.tolist() == sorted({r.raw % line_dedup.SLOTS for r in real(many)})
+    assert not line_dedup.slot_bits(many.where("false")).any()
+
+
 def test_edges_of_many_groups_leave_together():
     import pyarrow as pa
 

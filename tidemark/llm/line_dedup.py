@@ -54,6 +54,8 @@ STRIDE = 512
 LONG = 20_000
 #: Slots of the filter that tells which lines may be wanted.
 SLOTS = 1 << 22
+#: Bits of a bitmap that Spark makes.
+BITMAP = 1 << 15
 NOT_NEWLINE = np.ones(256, dtype=bool)
 NOT_NEWLINE[10] = False
 PLAIN = LOWER.copy()
@@ -220,19 +222,29 @@ class _Parts:
             self.label[k] = to
 
 
+def slot_bits(wanted: DataFrame) -> np.ndarray:
+    """``SLOTS`` bits, eight a byte and the low one first: those at ``raw`` modulo ``SLOTS`` are set.
+
+    Tasks and the shuffle put the bits together, so the driver gets ``SLOTS // BITMAP`` rows at most, whatever is wanted.
+    """
+    slot = F.pmod("raw", F.lit(SLOTS)) + 1  # Spark counts from 1
+    rows = wanted.groupBy(F.bitmap_bucket_number(slot)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot))).collect()
+    bits = np.zeros((SLOTS // BITMAP, BITMAP // 8), dtype=np.uint8)
+    for bucket, some in rows:
+        bits[bucket - 1] = np.frombuffer(some, dtype=np.uint8)
+    return bits.ravel()
+
+
 def line_texts(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """``(line, normal)``: the normal forms of the ``wanted (line, raw)`` lines.
 
     A bitmap of ``SLOTS`` bits, whatever the size of the input, spares most other lines; the join decides.
     Lines are told apart by a hash of their bytes, so only those that may be wanted are cut into words again.
     """
-    slots = wanted.select(F.pmod("raw", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    bitmap = np.zeros(SLOTS, dtype=bool)
-    bitmap[slots] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    sent = docs.sparkSession.sparkContext.broadcast(slot_bits(wanted))
 
     def run(batches):
-        marked = np.unpackbits(sent.value).view(bool)
+        marked = np.unpackbits(sent.value, bitorder="little").view(bool)
         for batch in batches:
             for texts in slices(batch.column(0)):
                 plain = Texts(PLAIN[texts.data], texts.offsets, texts.first)
