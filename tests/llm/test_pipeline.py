@@ -72,6 +72,20 @@ def test_documents_that_line_dedup_empties_go(spark):
         (1, line, 1), (3, "and one of its own", 18), (4, "", 1), (5, None, 1), (6, "--", 1)]
 
 
+def test_the_driver_gets_few_rows_from_line_dedup(spark, monkeypatch):
+    """A thousand lines and a near copy of each."""
+    rng = random.Random(22)
+    lines = [words(rng, 12) for _ in range(1000)]
+    rows = [(k, f"{t}{end}") for k, t in enumerate(lines) for end in ("", " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    frame, got = type(docs), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(len(real(self))) or real(self))
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert real(kept.selectExpr("count(*) as n", "count(distinct doc_id) as d"))[0] == (1000, 1000)
+    assert 0 < sum(got) <= 200
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark):
     rng = random.Random(21)
     base = [words(rng, 60) for _ in range(4)]
